@@ -24,13 +24,13 @@ def classification_report(rows: DataFrame, truth: str = "truth", prediction: str
     each = each.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     total = F.sum("support")
     accuracy = F.sum("hit") / total
-    tail = each.agg(
-        F.array(
-            F.struct(F.lit("accuracy").alias("class"), accuracy.alias("precision"), accuracy.alias("recall"), accuracy.alias("f1"), total.alias("support")),
-            F.struct(F.lit("macro avg").alias("class"), F.avg("precision"), F.avg("recall"), F.avg("f1"), total),
-            F.struct(F.lit("weighted avg").alias("class"), *[F.sum(F.col(c) * F.col("support")) / total for c in ("precision", "recall", "f1")], total),
-        ).alias("x")
-    ).select(F.inline("x"))
+
+    def line(name: str, precision: Column, recall: Column, f1: Column) -> Column:
+        return F.struct(F.lit(name).alias("class"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), total.alias("support"))
+
+    names = ("precision", "recall", "f1")
+    lines = [line("accuracy", accuracy, accuracy, accuracy), line("macro avg", *map(F.avg, names)), line("weighted avg", *[F.sum(F.col(c) * F.col("support")) / total for c in names])]
+    tail = each.agg(F.array(*lines).alias("x")).select(F.inline("x"))
     out = each.select("class", "precision", "recall", "f1", "support").union(tail)
     return out.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 

@@ -11,7 +11,11 @@ LABELS = ("positive", "negative", "na")
 
 def tally(votes: Column) -> Column:
     """Counts by label of an array of labels."""
-    return F.struct(*[F.size(F.filter(votes, lambda v, x=x: v == x)).alias(x) for x in LABELS])
+
+    def count(label: str) -> Column:
+        return F.size(F.filter(votes, lambda v: v == label))
+
+    return F.struct(*[count(x).alias(x) for x in LABELS])
 
 
 def winner(counts: Column) -> Column:
@@ -43,13 +47,13 @@ def final_selection(stages: Column) -> Column:
 
 
 def paper_votes(mentions: DataFrame, group: list[str], order: list[str], evidence: Column) -> DataFrame:
-    """One relation per group: the most common one, ties to the first seen; its distinct evidences in order, joined by ' ||| '.
+    """One relation per group: the most common one, ties to the first seen, then by label; its distinct evidences in order, joined by ' ||| '.
 
     Mentions labelled na or relate have no vote.
     """
     real = mentions.where(~F.col("rel_type").isin("na", "relate"))
     counts = real.groupBy(*group, "rel_type").agg(F.count(F.lit(1)).alias("votes"), F.min(F.struct(*order)).alias("_first"), F.array_join(F.array_sort(F.collect_set(evidence)), " ||| ").alias("evidence"))
-    best = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("votes"), "_first"))
+    best = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("votes"), "_first", "rel_type"))
     return counts.withColumn("_r", best).where("_r = 1").select(*group, F.col("rel_type").alias("relation"), "votes", "evidence")
 
 
