@@ -1,6 +1,6 @@
 """Substring deduplication by fixed-block anchors.
 
-Every repeat of ``window`` words holds, in each of its places, a whole block of ``window // 2 + 1`` words that stands at a multiple of
+Every repeat of ``window`` words holds, in each of its places, a whole block of ``(window + 1) // 2`` words that stands at a multiple of
 that length in its own text. These non-overlapping blocks are the index, and every rolling window of the same length probes it; a
 block that another place repeats is an anchor. Around the anchors alone whole windows are compared, and the windows found
 repeated join to maximal repeats. Filters of bounded size stand for the index and the anchors while texts are scanned: they let
@@ -226,7 +226,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(base: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """Of (t, text), t being the text's hash: (t, spans) with the window starts, first to last, that stand elsewhere too."""
-    k = window // 2 + 1
+    k = (window + 1) // 2
     blocks = scratch.write("blocks", _block_rows(base, k))
     probes = _probe_rows(base, k, build_filter(blocks, "h"))
     met = blocks.select("h", F.lit(1).alias("b"), F.lit(0).alias("p")).unionByName(probes.select("h", F.lit(0).alias("b"), F.lit(1).alias("p")))

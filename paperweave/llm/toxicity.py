@@ -25,20 +25,23 @@ from .frames import pick
 from .textops import runs
 
 #: Letters that a character may stand for.
-LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+LOOKALIKES = {"*": "aeiou", "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 NOISE = "*.-_~^'`´·,;:/\\#%&=\"<>[]{})?"
 #: Costs in nats of the channel: a resemblance, a repetition, a dropped symbol, a dropped digit, a dropped blank, a kept gap.
-RESEMBLES, REPEATS, DROPS, DROPS_DIGIT, JOINS, GAP = 0.7, 1.2, 0.9, 3.0, 0.4, 0.7
+RESEMBLES, REPEATS, DROPS, DROPS_DIGIT, JOINS, GAP = 0.7, 1.2, 0.9, 9.0, 0.4, 0.7
 LETTERS = 28  # classes: gap, a to z, any other letter
 OTHER = 27
 
 _SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][0-9@$!|+(€£*.\-_~^'`´·/\\#%&=]+[^\W\d_]|[0-9@$!|+(€£][^\W\d_]{2,}|[^\W\d_]{2,}[0-9@$|+€£](?![0-9@$|+€£])")
 _PIECES = re.compile(r"[^\W\d_]+")
+_SEPARATE = re.compile(r"(?:[\w@$!|+€£][*.\-_~^'`´·,;:/\\#%&=]+){2,}[\w@$!|+€£]")
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$-_~^=/\\|+"
 #: Lengths of word beginnings that are features beside the whole word.
 PREFIXES = (3, 4, 5, 6)
 #: Labelled rows that the classifier is fitted on at most, drawn by a hash of doc_id; features that it keeps at most.
-FIT_ROWS, FEATURES = 20_000, 4_000
+FIT_ROWS, FEATURES = 20_000, 2_000
+#: Standard errors by which a feature's rates must differ between the classes.
+LEAST_SCORE = 3.5
 THRESHOLD = 0.3
 
 
@@ -129,8 +132,10 @@ class Restorer:
             core = token.strip(_EDGE)
             if len(token) > 1 and token[0] in "$@!|+" and token[1:2].isalnum():
                 core = token[0] + core
+            if _SEPARATE.fullmatch(core):  # single characters apart are one word
+                core = "".join(c for c in core if c.isalnum() or c in "@$!|+€£")
             # a token without blanks that is longer than any word is decoded in pieces of 64
-            found = tuple(w for i in range(0, len(core), 64) for w in _PIECES.findall(viterbi(core[i : i + 64], self.model))) if _SUSPECT.search(core) else tuple(_PIECES.findall(core))
+            found = tuple(w for i in range(0, len(core), 64) for w in _PIECES.findall(viterbi(core[i : i + 64], self.model))) if _SUSPECT.search(core) or any(c in LOOKALIKES for c in core) and any(c.isalpha() for c in core) else tuple(_PIECES.findall(core))
             if len(self.known) >= self.memory:
                 self.known.clear()
             self.known[token] = found
@@ -146,7 +151,7 @@ class Restorer:
                 if len(run) >= 3 and len(set(run)) > 1:
                     for i in range(0, len(run), 64):
                         yield from _PIECES.findall(viterbi(" ".join(run[i : i + 64]), self.model))
-                        yield "".join(run[i : i + 64])
+                        yield from _PIECES.findall(viterbi("".join(run[i : i + 64]), self.model))
                 run = []
 
     def words(self, text: str) -> set[str]:
@@ -183,25 +188,37 @@ def held_out(doc_id: object) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def fit_logistic(rows: list[tuple[int, list[int]]], n: int, l2: float = 0.02, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent over sparse binary features."""
+def fit_logistic(rows: list[tuple[int, list[int]]], n: int, l2: float = 0.3, rounds: int = 12) -> tuple[np.ndarray, float]:
+    """Weights and bias over sparse binary features: Newton steps, each solved by conjugate gradients."""
     y = np.array([r[0] for r in rows], float)
     cols = np.concatenate([np.array(r[1], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    rate = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
-    w, b = np.zeros(n + 1), math.log(rate / (1 - rate))
-    w[n] = b
-    v, t = w.copy(), 1.0
-    widest = max((len(r[1]) for r in rows), default=0) + 1
-    step = 4.0 / (widest + 4 * l2)
-    for _ in range(steps):
-        z = np.bincount(owner, v[cols], len(rows)) + v[n]
-        g = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        grad = np.r_[np.bincount(cols, g[owner], n), g.sum()] / max(1, len(rows))
-        grad[:n] += l2 / max(1, len(rows)) * v[:n] * 10
-        new = v - step * grad
-        u = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + (t - 1) / u * (new - w), new, u
+    ridge = np.r_[np.full(n, l2), 1e-6]
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, v[cols], len(rows)) + v[n]
+
+    def back(g: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(cols, g[owner], n), g.sum()]
+
+    w = np.zeros(n + 1)
+    w[n] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
+        grad, s = back(p - y) + ridge * w, np.maximum(p * (1 - p), 1e-4)
+        step, r = np.zeros(n + 1), -grad
+        d, rr = r.copy(), float(r @ r)
+        for _ in range(60):
+            if rr < 1e-10:
+                break
+            h = back(s * forward(d)) + ridge * d
+            a = rr / float(d @ h)
+            step, r = step + a * d, r - a * h
+            rr, old = float(r @ r), rr
+            d = r + rr / old * d
+        w = w + step
+        if float(np.abs(step).max()) < 1e-4:
+            break
     return w[:n], float(w[n])
 
 
@@ -238,7 +255,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: in
     # how far the feature's rate among toxic rows departs from that among clean ones, in standard errors
     p = (F.col("t") + F.col("c") + 1.0) / (n1 + n0 + 2.0)
     score = (F.col("t") / n1 - F.col("c") / n0) / F.sqrt(p * (1 - p) * (1.0 / n1 + 1.0 / n0))
-    chosen = [r[0] for r in sums.where("t + c >= 2").orderBy(F.abs(score).desc(), "feature").limit(keep).select("feature").collect()]
+    telling = sums.where("t + c >= 2").withColumn("score", F.abs(score)).where(F.col("score") >= LEAST_SCORE)
+    chosen = [r[0] for r in telling.orderBy(F.col("score").desc(), "feature").limit(keep).select("feature").collect()]
     place = {f: i for i, f in enumerate(chosen)}
     sent_place = spark.sparkContext.broadcast(place)
 
