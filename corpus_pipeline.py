@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperweave.llm.decontaminate import decontaminate
 from paperweave.llm.frames import numbered, pick
-from paperweave.llm.jaccard_join import jaccard_components
+from paperweave.llm.jaccard_join import BROADCAST_IDS, jaccard_components
 from paperweave.llm.mixing import count_words, sample
 from paperweave.llm.scratch import Scratch
 from paperweave.llm.sharding import shard_documents
@@ -32,6 +32,14 @@ def _restored(wide: DataFrame, names: list[str]) -> DataFrame:
     return wide.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among ids (one column). Few ids are broadcast, after they are counted; more are joined by shuffling."""
+    wide, names = numbered(docs)
+    ids = Scratch(docs.sparkSession).write("gone", ids.toDF("_gone").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return _restored(wide.join(ids, F.col(_place(names, "doc_id")).cast("long").eqNullSafe(F.col("_gone")), "left_anti"), names)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose restored text scores below the threshold."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -40,19 +48,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest doc_id; of rows that repeat it one. Rows without any words stay."""
+    """Of each group of near duplicates the row with the smallest doc_id; rows that share it all stay. Rows without any words stay."""
     found = jaccard_components(docs, NEAR_WORDS, NEAR_LEAST)
-    gone = found.where(F.col("n_shingles") > 0).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    wide, names = numbered(docs)
-    return _restored(wide.join(gone, F.col(_place(names, "doc_id")).cast("long").eqNullSafe(F.col("_gone")), "left_anti"), names)
+    return _without(docs, found.where(F.col("n_shingles") > 0).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no window of a benchmark item occurs."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    wide, names = numbered(docs)
-    return _restored(wide.join(gone, F.col(_place(names, "doc_id")).cast("long").eqNullSafe(F.col("_gone")), "left_anti"), names)
+    return _without(docs, found.where("contaminated").select("doc_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
