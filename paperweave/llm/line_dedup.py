@@ -111,7 +111,8 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = M
     drops = lines.join(common, ["h1", "h2"]).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
     drops = scratch.write("drops", drops.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")))
     scratch.drop(lines, common)
-    d = pick(docs, "doc_id", "text").alias("d").join(drops.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left")
+    # the same join at every size; left to itself it is a broadcast on small tables only
+    d = pick(docs, "doc_id", "text").alias("d").join(drops.hint("merge").alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left")
     parts = text_lines(F.col("text"))
 
     def stays(line: Column) -> Column:
