@@ -77,7 +77,7 @@ def paper_body(text: Column) -> Column:
     start = F.when(first > 0, first).otherwise(1)
     back = F.position(F.reverse(F.lit("references")), F.reverse(text))
     n = F.char_length(text)
-    end = F.when(back > 0, n - back - F.lit(9)).otherwise(n)
+    end = F.when(back > 0, n - back - F.lit(8)).otherwise(n)
     return F.substring(text, start, F.greatest(end - start, F.lit(0)))
 
 

@@ -64,7 +64,7 @@ def html_to_text(spark, sf_dir):
 
 @query(
     """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x abstract ' ELSE '' END || text || CASE WHEN doc_id % 3 = 0 THEN ' references a references b' ELSE '' END AS t FROM documents),
-    p AS (SELECT doc_id, t, greatest(1, strpos(t, 'abstract')) AS a, CASE WHEN strpos(t, 'references') > 0 THEN length(t) - strpos(reverse(t), 'secnerefer') - 9 ELSE length(t) END AS e FROM t)
+    p AS (SELECT doc_id, t, greatest(1, strpos(t, 'abstract')) AS a, CASE WHEN strpos(t, 'references') > 0 THEN length(t) - strpos(reverse(t), 'secnerefer') - 8 ELSE length(t) END AS e FROM t)
     SELECT doc_id, substr(t, a, greatest(e - a, 0)) AS body FROM p"""
 )
 def fulltext_slice(spark, sf_dir):
