@@ -15,54 +15,76 @@ def message(role: str | Column, content: Column) -> Column:
 
 
 def merge_system(messages: Column) -> Column:
-    """System messages go into the next message, followed by a line end; a system message at the end goes."""
+    """A system message goes, with a line end, before the user message that follows it; any other system message goes away."""
     indexed = F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), m["content"].alias("content"), i.alias("i")))
-    previous = lambda x: F.get(messages, x["i"] - 1)
-    merged = F.transform(
-        F.filter(indexed, lambda x: x["role"] != "system"),
-        lambda x: message(x["role"], F.when((x["i"] > 0) & (previous(x)["role"] == "system"), F.concat(previous(x)["content"], F.lit("\n"), x["content"])).otherwise(x["content"])),
-    )
-    return merged
 
+    def merged(x: Column) -> Column:
+        before = F.get(messages, x["i"] - 1)
+        led = (x["i"] > 0) & (x["role"] == "user") & (before["role"] == "system")
+        return message(x["role"], F.when(led, F.concat(before["content"], F.lit("\n"), x["content"])).otherwise(x["content"]))
 
-def _lines(messages: Column, line: Callable[[Column], Column], tail: str) -> Column:
-    return F.concat(F.array_join(F.transform(messages, line), "\n"), F.lit(tail))
+    return F.transform(F.filter(indexed, lambda x: x["role"] != "system"), merged)
 
 
-def _prefixed(messages: Column, user: str, assistant: str, system: str, tail: str) -> Column:
-    prefix = lambda m: F.when(m["role"] == "user", user).when(m["role"] == "assistant", assistant).otherwise(system)
-    return _lines(messages, lambda m: F.concat(prefix(m), m["content"]), tail)
+#: What stands before a message by role (user, assistant, anything else), and what ends the prompt.
+PREFIXES = {
+    "claude": ("Human: ", "Assistant: ", "Instruction: ", "Assistant:"),
+    "phi": ("Instruct: ", "Output: ", "Output: ", "Output:"),
+    "plain": ("", "Completion: ", "", "Completion: "),
+}
+#: The template whose words a model's name contains first, in this order.
+MODEL_WORDS = {
+    "chatml": ("orca", "default"),
+    "llama3": ("llama3",),
+    "instruct": ("mistral_instruct", "mixtral", "biomistral", "llama"),
+    "zephyr": ("zephyr",),
+    "claude": ("claude", "llama2", "jurassic"),
+    "phi": ("phi",),
+    "stablelm": ("stablelm",),
+}
 
 
-def default_prompt(messages: Column) -> Column:
-    return _prefixed(messages, "user: ", "assistant: ", "system: ", "\nassistant: ")
+def _joined(messages: Column, line: Callable[[Column], Column], tail: str) -> Column:
+    return F.concat(F.array_join(F.transform(messages, line), ""), F.lit(tail))
 
 
-def phi_prompt(messages: Column) -> Column:
-    return _prefixed(messages, "Instruct: ", "Output: ", "", "\nOutput: ")
+def prefixed_prompt(kind: str) -> Callable[[Column], Column]:
+    user, assistant, other, tail = PREFIXES[kind]
 
+    def prompt(messages: Column) -> Column:
+        shown = merge_system(messages) if kind == "claude" else messages
+        return _joined(shown, lambda m: F.concat(F.when(m["role"] == "user", user).when(m["role"] == "assistant", assistant).otherwise(other), m["content"], F.lit(" \n")), tail)
 
-def claude_prompt(messages: Column) -> Column:
-    return _prefixed(merge_system(messages), "Human: ", "Assistant: ", "", "\nAssistant: ")
+    return prompt
 
 
 def chatml_prompt(messages: Column) -> Column:
-    return _lines(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>")), "\n<|im_start|>assistant\n")
+    return _joined(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n")), "<|im_start|>assistant\n")
 
 
 def instruct_prompt(messages: Column) -> Column:
-    """Turns in brackets, the system's words with the first one's; an approximation of a template that ships with the model."""
-    turn = lambda m: F.when(m["role"] == "user", F.concat(F.lit("[INST] "), m["content"], F.lit(" [/INST]"))).otherwise(F.concat(m["content"], F.lit("</s>")))
-    return F.array_join(F.transform(merge_system(messages), turn), "")
+    """Turns in brackets, system merged; the template itself ships with the model, so this approximates it."""
+    return _joined(merge_system(messages), lambda m: F.when(m["role"] == "user", F.concat(F.lit("[INST] "), m["content"], F.lit(" [/INST]"))).otherwise(F.concat(m["content"], F.lit("</s>"))), "")
 
 
-TEMPLATES = {"phi": phi_prompt, "claude": claude_prompt, "orca": chatml_prompt, "mistral": instruct_prompt}
+def marked_prompt(open_: str, close: str) -> Callable[[Column], Column]:
+    """Role marks before and an end mark after each message; approximates templates that ship with their models."""
+    return lambda messages: _joined(messages, lambda m: F.concat(F.replace(F.lit(open_), F.lit("{role}"), m["role"]), m["content"], F.lit(close)), open_.replace("{role}", "assistant"))
+
+
+TEMPLATES = {
+    "chatml": chatml_prompt,
+    "llama3": marked_prompt("<|start_header_id|>{role}<|end_header_id|>\n\n", "<|eot_id|>"),
+    "instruct": instruct_prompt,
+    "zephyr": marked_prompt("<|{role}|>\n", "</s>\n"),
+    "stablelm": marked_prompt("<|{role}|>\n", "<|endoftext|>\n"),
+} | {k: prefixed_prompt(k) for k in PREFIXES}
 
 
 def prompt_for(model: str, messages: Column) -> Column:
-    """The template whose key the model's name contains, else role prefixes."""
-    name = model.lower()
-    return next((t for k, t in TEMPLATES.items() if k in name), default_prompt)(messages)
+    """The template that the model's name asks for, else the plain one."""
+    kind = next((k for k, words in MODEL_WORDS.items() if any(w in model for w in words)), "plain")
+    return TEMPLATES[kind](messages)
 
 
 def edit_message(messages: Column, at: int, before: str = "", after: str = "") -> Column:
@@ -78,9 +100,10 @@ def fill_template(template: str, **values: Column) -> Column:
     return out
 
 
-def training_dialogue(system: str, question: Column, answer: Column) -> Column:
-    """A user turn that begins with the system's words, and the answer."""
-    return F.array(message("user", F.concat(F.lit(system), F.lit("\n"), question)), message("assistant", answer))
+def training_dialogue(system: str | None, question: Column, answer: Column) -> Column:
+    """System, user and assistant turn; without the first for models that have none."""
+    turns = [message("user", question), message("assistant", answer)]
+    return F.array(*([message("system", F.lit(system))] if system is not None else []), *turns)
 
 
 def first_line(c: Column) -> Column:
@@ -97,23 +120,36 @@ def answer_label(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("negative")), "negative").when(F.contains(c, F.lit("positive")), "positive").otherwise("na")
 
 
-#: Phrases after which a reasoned answer states its conclusion.
-CONCLUSIONS = ("final answer", "in conclusion", "therefore", "thus", "in summary", "overall")
+#: Phrases with which a reasoned answer states its conclusion, in the order in which they are looked for.
+CONCLUSIONS = (
+    "therefore the correct answer",
+    "therefore, the correct answer",
+    "therefore the correct alternative",
+    "therefore, the correct alternative",
+    "therefore the correct relation",
+    "therefore, the correct relation",
+)
+_CONCLUDED = r"\b(positive|negative|relate| na|na[.\n])\b"
 
 
-def concluded_label(c: Column) -> Column:
-    """The label in what follows the first concluding phrase found, in the order of the list; the whole text where there is none."""
-    low = F.lower(c)
-    tail = low
+def conclusion(c: Column) -> Column:
+    """What follows the first phrase found, lower-cased; null where there is none."""
+    low, out = F.lower(c), F.lit(None).cast("string")
     for phrase in reversed(CONCLUSIONS):
         at = F.position(F.lit(phrase), low)
-        tail = F.when(at > 0, F.substring(low, at, F.char_length(low))).otherwise(tail)
-    return F.regexp_extract(tail, "(positive|negative|relate|na)", 1)
+        out = F.when(at > 0, F.substring(low, at, F.char_length(low))).otherwise(out)
+    return out
+
+
+def concluded_label(c: Column) -> Column:
+    """The first label in the conclusion; empty where it has none, null without a conclusion."""
+    found = F.regexp_extract(F.replace(conclusion(c), F.lit("'"), F.lit("")), _CONCLUDED, 1)
+    return F.when(F.contains(found, F.lit("na")), "na").otherwise(found)
 
 
 def keywords(c: Column, microbe: Column, disease: Column) -> Column:
-    """First line without the names of the entities."""
-    return F.btrim(F.replace(F.replace(F.lower(first_line(c)), F.lower(microbe), F.lit("")), F.lower(disease), F.lit("")), F.lit(BLANKS))
+    """First line without the names of the entities, disease first."""
+    return F.replace(F.replace(F.btrim(F.split(c, "\n", -1)[0], F.lit(BLANKS)), disease, F.lit("")), microbe, F.lit(""))
 
 
 def substitute_entities(c: Column, old_disease: Column, new_disease: Column, old_microbe: Column, new_microbe: Column) -> Column:

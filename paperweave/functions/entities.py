@@ -7,24 +7,32 @@ from pyspark.sql import functions as F
 
 from .text import span_of
 
-#: Semantic types that entities must have.
+#: The semantic types that entities must have, and the words that stand for none.
 BACTERIA_TYPE = "T007"
 DISEASE_TYPES = ("T019", "T020", "T033", "T037", "T046", "T047", "T048", "T049", "T184", "T190", "T191")
-#: What those of diseases stand for.
+STOP_BACTERIA, STOP_DISEASES = ("bacteria", "bacterias", "probiotic", "probiotics"), ("disease", "diseases")
+#: What the types stand for.
 TYPE_NAMES = {
-    "T019": "Congenital Abnormality",
-    "T020": "Acquired Abnormality",
-    "T033": "Finding",
+    "T019": "Congenital Abnormality (conditions present at birth)",
+    "T020": "Acquired Abnormality (conditions developed after birth)",
+    "T033": "Finding (lab results, signs & symptoms suggesting a disorder)",
     "T037": "Injury or Poisoning",
-    "T046": "Pathologic Function",
-    "T047": "Disease or Syndrome",
-    "T048": "Mental or Behavioral Dysfunction",
-    "T049": "Cell or Molecular Dysfunction",
-    "T184": "Sign or Symptom",
-    "T190": "Anatomical Abnormality",
-    "T191": "Neoplastic Process",
+    "T046": "Pathologic Function (abnormal processes associated with disease)",
+    "T047": "Disease or Syndrome (a collection of signs/symptoms)",
+    "T048": "Mental or Behavioral Dysfunction (e.g., depression, autism)",
+    "T049": "Cell or Molecular Dysfunction (abnormalities at a cellular level)",
+    "T184": "Sign or Symptom (indications of a disease)",
+    "T190": "Anatomical Abnormality (structural deviations from normal)",
+    "T191": "Neoplastic Process (tumors, cancers)",
 }
-STOP_BACTERIA, STOP_DISEASES = ("bacteria", "bacterias", "probiotic", "probiotics"), ("disease", "diseases")
+
+
+def type_name(kind: Column) -> Column:
+    """What a type stands for; 'None' for a missing one."""
+    out = F.lit(None).cast("string")
+    for k, v in TYPE_NAMES.items():
+        out = F.when(kind == k, v).otherwise(out)
+    return F.when(kind.isNull(), "None").otherwise(out)
 
 
 def dictionary_hits(sentence: Column, terms: list[str]) -> Column:

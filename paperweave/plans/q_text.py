@@ -183,15 +183,23 @@ def yes_no(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.yes_no(F.substring("text", 1, 40)).alias("answer"))
 
 
-_TAIL = "low"
+_TAIL = "NULL"
 for _p in reversed(C.CONCLUSIONS):
     _TAIL = f"CASE WHEN strpos(low, '{_p}') > 0 THEN substr(low, strpos(low, '{_p}')) ELSE {_TAIL} END"
+_ANSWER = "concat(text, CASE turn % 4 WHEN 0 THEN ' negative. Therefore, the correct answer is: POSITIVE' WHEN 1 THEN ' therefore the correct relation: it is na. Not relate' WHEN 2 THEN ' Therefore the correct answer: unknown' ELSE '' END)"
 
 
-@query(f"SELECT conv_id, turn, regexp_extract({_TAIL}, '(positive|negative|relate|na)', 1) AS label FROM (SELECT conv_id, turn, lower(text || CASE turn % 3 WHEN 0 THEN ' negative. Therefore: POSITIVE' WHEN 1 THEN ' overall relate thus negative' ELSE '' END) AS low FROM conversations)")
+@query(
+    rf"""WITH t AS (SELECT conv_id, turn, lower({_ANSWER}) AS low FROM conversations), f AS (SELECT conv_id, turn, regexp_extract(replace({_TAIL}, chr(39), ''), '\b(positive|negative|relate| na|na[.\n])\b', 1) AS x FROM t)
+    SELECT conv_id, turn, CASE WHEN contains(x, 'na') THEN 'na' ELSE x END AS label FROM f"""
+)
 def concluded_label(spark, sf_dir):
-    t = F.expr("concat(text, CASE turn % 3 WHEN 0 THEN ' negative. Therefore: POSITIVE' WHEN 1 THEN ' overall relate thus negative' ELSE '' END)")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.concluded_label(t).alias("label"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.concluded_label(F.expr(_ANSWER)).alias("label"))
+
+
+@query("SELECT conv_id, turn, replace(replace(trim(string_split(text, chr(10))[1], chr(32) || chr(9) || chr(13) || chr(11) || chr(12) || chr(10)), 'the', ''), 'and', '') AS keywords FROM conversations")
+def keyword_cleanup(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.keywords(F.col("text"), F.lit("and"), F.lit("the")).alias("keywords"))
 
 
 def _chats(spark, sf_dir):
@@ -199,7 +207,7 @@ def _chats(spark, sf_dir):
     return c.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
-_MERGED = """m AS (SELECT conv_id, turn, role, CASE WHEN lag(role) OVER w = 'system' THEN lag(text) OVER w || chr(10) || text ELSE text END AS content FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+_MERGED = """m AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND lag(role) OVER w = 'system' THEN lag(text) OVER w || chr(10) || text ELSE text END AS content FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 
 
 @query(f"WITH {_MERGED} SELECT conv_id, count(*) FILTER (role <> 'system') AS n, coalesce(string_agg(role || '>' || content, chr(10) ORDER BY turn) FILTER (role <> 'system'), '') AS chat FROM m GROUP BY conv_id")
@@ -211,7 +219,7 @@ def chat_merge_system(spark, sf_dir):
 def _prompt(model: str, line: str, tail: str, source: str = "conversations", content: str = "text") -> None:
     with_ = f"WITH {_MERGED} " if source == "m" else ""
     keep = " FILTER (role <> 'system')" if source == "m" else ""
-    sql = f"{with_}SELECT conv_id, coalesce(string_agg({line.format(content)}, chr(10) ORDER BY turn){keep}, '') || {tail} AS prompt FROM {source} GROUP BY conv_id"
+    sql = f"{with_}SELECT conv_id, coalesce(string_agg({line.format(content)}, '' ORDER BY turn){keep}, '') || {tail} AS prompt FROM {source} GROUP BY conv_id"
 
     def run(spark, sf_dir):
         return _chats(spark, sf_dir).select("conv_id", C.prompt_for(model, F.col("messages")).alias("prompt"))
@@ -219,16 +227,18 @@ def _prompt(model: str, line: str, tail: str, source: str = "conversations", con
     query(sql, f"chat_prompt_{model}")(run)
 
 
-_prompt("default", "CASE role WHEN 'user' THEN 'user: ' WHEN 'assistant' THEN 'assistant: ' ELSE 'system: ' END || {0}", "chr(10) || 'assistant: '")
-_prompt("phi", "CASE role WHEN 'user' THEN 'Instruct: ' WHEN 'assistant' THEN 'Output: ' ELSE '' END || {0}", "chr(10) || 'Output: '")
-_prompt("claude", "CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END || {0}", "chr(10) || 'Assistant: '", "m", "content")
-_prompt("orca", "'<|im_start|>' || role || chr(10) || {0} || '<|im_end|>'", "chr(10) || '<|im_start|>assistant' || chr(10)")
+_END = " || ' ' || chr(10)"
+_prompt("plain", "CASE role WHEN 'assistant' THEN 'Completion: ' ELSE '' END || {0}" + _END, "'Completion: '")
+_prompt("phi", "CASE role WHEN 'user' THEN 'Instruct: ' ELSE 'Output: ' END || {0}" + _END, "'Output:'")
+_prompt("claude", "CASE role WHEN 'user' THEN 'Human: ' ELSE 'Assistant: ' END || {0}" + _END, "'Assistant:'", "m", "content")
+_prompt("orca", "'<|im_start|>' || role || chr(10) || {0} || '<|im_end|>' || chr(10)", "'<|im_start|>assistant' || chr(10)")
+_prompt("mixtral", "CASE role WHEN 'user' THEN '[INST] ' || {0} || ' [/INST]' ELSE {0} || '</s>' END", "''", "m", "content")
 
 
-@query("SELECT conv_id, turn, 'user' AS role_1, 'Classify.' || chr(10) || text AS content_1, 'assistant' AS role_2, role AS content_2 FROM conversations")
+@query("SELECT conv_id, turn, CAST(3 AS INTEGER) AS n, 'Classify.' AS content_1, text AS content_2, role AS content_3 FROM conversations")
 def training_dialogue(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("m", C.training_dialogue("Classify.", F.col("text"), F.col("role")))
-    return c.select("conv_id", "turn", F.col("m")[0]["role"].alias("role_1"), F.col("m")[0]["content"].alias("content_1"), F.col("m")[1]["role"].alias("role_2"), F.col("m")[1]["content"].alias("content_2"))
+    return c.select("conv_id", "turn", F.size("m").alias("n"), *[F.col("m")[i]["content"].alias(f"content_{i + 1}") for i in range(3)])
 
 
 @query("SELECT p_partkey, replace(replace('Does {microbe} change {disease}?', '{microbe}', p_name), '{disease}', p_type) AS prompt FROM part")

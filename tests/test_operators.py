@@ -178,10 +178,14 @@ def test_coincidence(spark):
 def test_answers_and_prompts(spark):
     assert one(spark, C.answer_label(F.col("t")), t="positive, not negative") == "negative"
     assert one(spark, C.answer_label(F.col("t")), t="Positive") == "na"
+    assert one(spark, C.concluded_label(F.col("t")), t="Positive. Therefore, the correct answer is 'na'.") == "na"
+    assert one(spark, C.concluded_label(F.col("t")), t="therefore the correct relation: none") == ""
+    assert one(spark, C.concluded_label(F.col("t")), t="positive") is None
     assert one(spark, C.first_line(F.col("t")), t="\n  yes \nno") == "yes"
     m = F.array(C.message("system", F.lit("s")), C.message("user", F.lit("u")), C.message("assistant", F.lit("a")))
-    assert one(spark, C.prompt_for("claude-x", m)) == "Human: s\nu\nAssistant: a\nAssistant: "
-    assert one(spark, C.prompt_for("other", m)).startswith("system: s\nuser: u")
+    assert one(spark, C.prompt_for("claude-x", m)) == "Human: s\nu \nAssistant: a \nAssistant:"
+    assert one(spark, C.prompt_for("other", m)) == "s \nu \nCompletion: a \nCompletion: "
+    assert one(spark, C.prompt_for("phi-2", m)) == "Output: s \nInstruct: u \nOutput: a \nOutput:"
     assert one(spark, C.instruct_prompt(m)) == "[INST] s\nu [/INST]a</s>"
 
 
