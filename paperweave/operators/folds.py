@@ -6,24 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def placed(rows: DataFrame, order: list[str], out: str = "_i", span: int = 1 << 16) -> DataFrame:
+    """Adds each row's place, from 0, in an order that an integer column leads.
+
+    Rows are ranked within spans of the leading column, in parallel, and the spans' counts are added up; no task sees all rows.
+    """
+    lead = F.floor(F.col(order[0]) / span)
+    parts = rows.withColumn("_p", lead)
+    firsts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    firsts = firsts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn("_r", rank).join(firsts, "_p").withColumn(out, F.col("_first") + F.col("_r") - 1).drop("_p", "_r", "_first")
+
+
+def counted(rows: DataFrame, out: str = "_n") -> DataFrame:
+    """Adds the number of rows."""
+    return rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias(out))))
+
+
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds a rank in a reproducible random order."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)))
+    return placed(rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), ["_h", key], "rank", 1 << 54).drop("_h")
 
 
 def chunk_folds(rows: DataFrame, order: list[str], n: int, merge_last: bool = True) -> DataFrame:
-    """Adds ``fold``: chunks of size N div n in order. With merge_last the chunk after the n-th joins the one before it.
+    """Adds ``fold``: chunks of size N div n in an order that an integer column leads. With merge_last the last of more than n chunks
+    joins the one before it.
 
     Only the very last chunk is merged, so few rows can leave more than n folds; fewer rows than folds is an error.
     """
-    size = F.floor(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) / n)
-    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_c", size)
-    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    chunks = F.ceil(total / F.col("_c"))
+    ranked = counted(placed(rows, order)).withColumn("_c", F.floor(F.col("_n") / n))
+    chunks = F.ceil(F.col("_n") / F.col("_c"))
     fold = F.floor(F.col("_i") / F.col("_c"))
     if merge_last:
         fold = F.least(fold, F.when(chunks > n, chunks - 2).otherwise(chunks - 1))
-    return ranked.withColumn("fold", fold.cast("long")).drop("_i", "_c")
+    return ranked.withColumn("fold", fold.cast("long")).drop("_i", "_c", "_n")
 
 
 def stratified_folds(rows: DataFrame, label: str, order: list[str], n: int, filler: object, size: int) -> DataFrame:
@@ -48,12 +65,10 @@ def rotated_role(fold: Column, k: int, n: int) -> Column:
 
 
 def first_n_split(rows: DataFrame, order: list[str], n_test: int, train_part: float = 0.8) -> DataFrame:
-    """Adds ``split``: the first rows test, the others train and validate in the given proportion."""
-    i = F.row_number().over(Window.orderBy(*order))
-    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    ranked = rows.withColumn("_i", i).withColumn("_n", total)
+    """Adds ``split``: the first rows, in an order that an integer column leads, test; the others train and validate in proportion."""
+    ranked = counted(placed(rows, order))
     cut = F.lit(n_test) + F.floor((F.col("_n") - n_test) * train_part)
-    return ranked.withColumn("split", F.when(F.col("_i") <= n_test, "test").when(F.col("_i") <= cut, "train").otherwise("validation")).drop("_i", "_n")
+    return ranked.withColumn("split", F.when(F.col("_i") < n_test, "test").when(F.col("_i") < cut, "train").otherwise("validation")).drop("_i", "_n")
 
 
 def external_split(pairs: DataFrame, external: DataFrame, key: list[str]) -> DataFrame:
@@ -73,15 +88,21 @@ def hash_split(rows: DataFrame, key: list[str], parts: dict[str, float], seed: i
     return rows.withColumn("split", out.otherwise(names[-1]) if out is not None else F.lit(names[-1]))
 
 
-def negative_pairs(pairs: DataFrame, a: str, b: str, ratio: float = 1.0, seed: int = 0, rounds: int = 3) -> DataFrame:
-    """(a, b, strength 0): ends shuffled against each other and no existing pair, ``ratio`` times as many where that many are found."""
+def negative_pairs(pairs: DataFrame, a: str, b: str, ratio: float = 1.0, seed: int = 0, rounds: int = 3, parts: int = 256) -> DataFrame:
+    """(a, b, strength 0): ends shuffled against each other and no existing pair, ``ratio`` times as many where that many are found.
+
+    Each end of a pair draws a part and a place in it; ends that meet in part and place make a new pair.
+    """
     ends = pairs.select(a, b)
-    drawn = None
+
+    def drawn(end: str, s: int) -> DataFrame:
+        h = F.xxhash64(F.col(a), F.col(b), F.lit(s))
+        one = ends.select(end, h.alias("_h"), F.pmod(h, F.lit(parts)).alias("_p"))
+        return one.select(end, "_p", F.row_number().over(Window.partitionBy("_p").orderBy("_h", end)).alias("_i"))
+
+    new = None
     for r in range(rounds):
-        left = ends.select(a, F.row_number().over(Window.orderBy(F.xxhash64(F.col(a), F.col(b), F.lit(seed + 2 * r)), a, b)).alias("_i"))
-        right = ends.select(b, F.row_number().over(Window.orderBy(F.xxhash64(F.col(a), F.col(b), F.lit(seed + 2 * r + 1)), a, b)).alias("_i"))
-        one = left.join(right, "_i").select(a, b)
-        drawn = one if drawn is None else drawn.unionByName(one)
-    fresh = drawn.distinct().join(ends.distinct(), [a, b], "left_anti")
-    want = int(ends.count() * ratio)
-    return fresh.orderBy(F.xxhash64(F.col(a), F.col(b), F.lit(seed)), a, b).limit(want).withColumn("strength", F.lit(0))
+        one = drawn(a, seed + 2 * r).join(drawn(b, seed + 2 * r + 1), ["_p", "_i"]).select(a, b)
+        new = one if new is None else new.unionByName(one)
+    fresh = new.distinct().join(ends.distinct(), [a, b], "left_anti")
+    return fresh.orderBy(F.xxhash64(F.col(a), F.col(b), F.lit(seed)), a, b).limit(int(ends.count() * ratio)).withColumn("strength", F.lit(0))
