@@ -5,9 +5,9 @@ few n-grams, so in fewer fragments than a set has of its own: of the first fragm
 is equal in both. Sets that share such a fragment are candidates, a whole fragment being a far rarer key than any n-gram. Candidates
 are compared fragment by fragment: overlaps are counted apart and summed per pair.
 
-Equal sets are one set throughout. Within a shared fragment each set is paired with one representative only; pairs between sets that
-are linked already are never formed, and what remains between different components is then compared in full, so groups of copies cost
-their size and no link between components is lost.
+Equal sets are one set throughout. Within a shared fragment each set is first paired with one leader only, whose sizes allow similarity.
+Pairs between sets that are linked already are never formed; what remains between different components is compared more fully and in the
+end in full, so groups of copies cost their size and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -114,9 +114,12 @@ def _profiles(base: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in gram_sets(batch, k):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())], ["doc_id", "key", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sizes_by_range(s) for s in sets], pa.binary())],
+                    ["doc_id", "key", "n", "sizes"],
+                )
 
-    return base.mapInArrow(scan, "doc_id long, key long, n int")
+    return base.mapInArrow(scan, "doc_id long, key long, n int, sizes binary")
 
 
 def _signature_rows(base: DataFrame, k: int, sim: Similarity) -> DataFrame:
@@ -145,75 +148,115 @@ def _signature_rows(base: DataFrame, k: int, sim: Similarity) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig, n, key: those of signatures that two sets have, each with the signature's first set."""
-    kept: list[np.ndarray] | None = None  # the last row, not given out yet
-    rep, shared = (0, 0), False
+    """Of rows sorted by sig, n, key: those of signatures that two sets have, each once. One row is carried on."""
+    kept: list[np.ndarray] | None = None
+    shared = False  # whether the carried row's signature has been met in another set
     for batch in batches:
-        sig, n, key = (batch.column(c).to_numpy() for c in ("sig", "n", "key"))
+        c = [batch.column(x).to_numpy() for x in ("sig", "n", "key")]
         if kept is not None:
-            sig, n, key = (np.r_[a, b] for a, b in zip(kept, (sig, n, key), strict=True))
+            c = [np.r_[a, b] for a, b in zip(kept, c, strict=True)]
+        sig, n, key = c
         if not len(sig):
             continue
-        same = np.r_[False, sig[1:] == sig[:-1]]
-        fresh = ~(same & np.r_[False, key[1:] == key[:-1]])
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
         sig, n, key = sig[fresh], n[fresh], key[fresh]
         same = np.r_[False, sig[1:] == sig[:-1]]
-        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(sig))))
-        rep_key, rep_n = key[first].copy(), n[first].copy()
-        if kept is not None:  # the carried row's signature may have begun earlier
-            head = first == 0
-            rep_key[head], rep_n[head] = rep
         multi = same | np.r_[same[1:], False]
-        if kept is not None and shared:
-            multi[0] = True
+        multi[0] |= shared
         out = multi.copy()
         out[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, key, n, rep_key, rep_n)], ["sig", "key", "n", "rep", "rep_n"])
-        kept, rep, shared = [sig[-1:], n[-1:], key[-1:]], (rep_key[-1], rep_n[-1]), bool(multi[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, key, n)], ["sig", "key", "n"])
+        kept, shared = [sig[-1:], n[-1:], key[-1:]], bool(multi[-1])
     if kept is not None and shared:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kept[0], kept[2], kept[1], np.array([rep[0]]), np.array([rep[1]], np.int32))], ["sig", "key", "n", "rep", "rep_n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kept[0], kept[2], kept[1])], ["sig", "key", "n"])
 
 
 # ---- comparing --------------------------------------------------------------------------------------------------------------
 
 
-def _set_rows(docs: DataFrame, k: int) -> DataFrame:
+def _sets_of(base: DataFrame, firsts: DataFrame, keys: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(key, grams) of the wanted keys, from one document each."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, sets in gram_sets(batch, k):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([sizes_by_range(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["key", "sizes", "grams"],
-                )
+            for _, sets in gram_sets(batch, k):
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "grams"])
 
-    return docs.mapInArrow(scan, "key long, sizes binary, grams binary")
+    ids = scratch.write("ids", firsts.join(keys, "key").where("own IS NOT NULL").select(F.col("own").alias("doc_id")).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    found = base.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi").mapInArrow(scan, "key long, grams binary")
+    return scratch.write("sets", found.join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key"]))
 
 
-def _sets_of(base: DataFrame, profiles: DataFrame, keys: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(key, sizes, grams) of the wanted keys, from one document each."""
-    ids = scratch.write("ids", profiles.join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL").select("doc_id").distinct())
-    few = ids.count() <= BROADCAST_IDS
-    sets = _set_rows(base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), k)
-    out = scratch.write("sets", sets.join(keys, "key", "left_semi").dropDuplicates(["key"]))
-    scratch.drop(ids)
-    return out
+def _candidates(rows: DataFrame, sim: Similarity, most: int | None) -> DataFrame:
+    """Of (sig, key, n, label, sizes): pairs (a, b, na, nb) within a signature whose labels differ and whose sizes allow similarity.
 
+    Sizes are the set's and those by range, whose differences bound that of the sets from below. With ``most`` 0 a set is paired with
+    the first leader that passes, or leads itself; else with at most so many sets before it, or with all of them where it is None.
+    """
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None
 
-def _near_enough(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b, na, nb) without those whose sizes by range differ by more than similar sets may."""
-    sizes = sets.select("key", "sizes")
-    both = pairs.join(sizes.select(F.col("key").alias("a"), F.col("sizes").alias("sa")), "a").join(sizes.select(F.col("key").alias("b"), F.col("sizes").alias("sb")), "b")
-    both = both.select("a", "b", "na", "nb", "sa", "sb")
+        def group(key: np.ndarray, n: np.ndarray, label: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
+            counts = dict(zip(*np.unique(label, return_counts=True), strict=True))
+            if len(counts) < 2:
+                return
+            # the largest label first: what it has needs no comparison within it
+            weight = np.array([counts[x] for x in label])
+            order = np.lexsort((key, n, label, -weight))
+            key, n, label = key[order], n[order].astype(np.int64), label[order]
+            x = np.frombuffer(b"".join(sizes[order].tolist()), np.uint8).reshape(-1, COUNTED).astype(np.int16)
+            lead = np.zeros(len(key), np.int64)
+            leaders = 0
+            for i in range(len(key)):
+                before = lead[:leaders] if most == 0 else np.arange(i)
+                lo, hi = np.minimum(n[before], n[i]), np.maximum(n[before], n[i])
+                j = before[(label[before] != label[i]) & (lo * sim.den >= hi * sim.num)]
+                if len(j):
+                    j = j[np.abs(x[j] - x[i]).sum(1) <= (n[j] + n[i]) * sim.part.numerator // sim.part.denominator]
+                if most == 0:
+                    j = j[:1]
+                    if not len(j):
+                        lead[leaders] = i
+                        leaders += 1
+                elif most and len(j) > most:
+                    j = j[np.argsort(mix(key[j].view(U) ^ U(key[i].view(U))))[:most]]
+                for m in j.tolist():
+                    p, q = (m, i) if key[m] < key[i] else (i, m)
+                    yield key[p], key[q], n[p], n[q]
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            c = list(zip(*found, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64).astype(t)) for v, t in zip(c, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["a", "b", "na", "nb"])
+
+        def groups(c: list) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(np.r_[True, c[0][1:] != c[0][:-1], True])
+            found: list[tuple] = []
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                for one in group(*(x[i:j] for x in c[1:])):
+                    found.append(one)
+                    if len(found) >= 20_000:
+                        yield batch_of(found)
+                        found = []
+            yield batch_of(found)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            c = [batch.column(x).to_numpy() for x in ("sig", "key", "n", "label")]
+            c.append(np.array([*batch.column("sizes").to_pylist(), None], object)[:-1])
+            if held is not None:
+                c = [np.r_[a, b] for a, b in zip(held, c, strict=True)]
+            if not len(c[0]):
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTED).astype(np.int16) for c in ("sa", "sb"))
-            most = (batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()) * sim.part.numerator // sim.part.denominator
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(np.abs(x - y).sum(1) <= most))
+            last = int(np.searchsorted(c[0], c[0][-1]))
+            if last:
+                yield from groups([x[:last] for x in c])
+            held = [x[last:] for x in c]
+        if held is not None:
+            yield from groups(held)
 
-    return both.mapInArrow(keep, "a long, b long, na int, nb int")
+    dealt = rows.select("sig", "key", "n", "label", "sizes").repartition("sig").sortWithinPartitions("sig")
+    return dealt.mapInArrow(pair, "a long, b long, na int, nb int").distinct()
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -255,59 +298,13 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """(a, b) of the pairs (a, b, na, nb) that are similar."""
     grams = sets.select("key", "grams")
-    theirs = pairs.select("a", "b").join(grams, F.col("b") == F.col("key")).select("a", "b", "grams")
-    own = grams.join(pairs.select("a").distinct(), F.col("key") == F.col("a"), "left_semi").select(F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    theirs = pairs.select("a", "b").join(grams.hint("merge"), F.col("b") == F.col("key")).select("a", "b", "grams")
+    own = grams.join(pairs.select("a").distinct().hint("merge"), F.col("key") == F.col("a"), "left_semi").select(F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     dealt = _cut(theirs).unionByName(_cut(own)).repartition("a", "frag").sortWithinPartitions("a", "frag", F.col("b").asc_nulls_first())
     sums = dealt.mapInArrow(_overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     return sums.join(pairs, ["a", "b"]).where(sim.similar(F.col("common"), F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _across(rows: DataFrame, sim: Similarity) -> DataFrame:
-    """Of (sig, key, n, label, sizes): pairs within a signature whose labels differ and whose sizes allow similarity.
-
-    The sets of the largest label come first; each later set is held against all before it at once, and only pairs that pass leave.
-    """
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None
-
-        def group(key: np.ndarray, n: np.ndarray, label: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-            _, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
-            if len(counts) < 2 or len(key) < 3:
-                return
-            top = inverse == counts.argmax()
-            order = np.argsort(~top, kind="stable")
-            key, n, label = key[order], n[order].astype(np.int64), label[order]
-            x = np.frombuffer(b"".join(sizes[order].tolist()), np.uint8).reshape(-1, COUNTED).astype(np.int16)
-            for i in range(int(top.sum()), len(key)):
-                lo, hi = np.minimum(n[:i], n[i]), np.maximum(n[:i], n[i])
-                j = np.flatnonzero((label[:i] != label[i]) & (lo * sim.den >= hi * sim.num))
-                j = j[np.abs(x[j] - x[i]).sum(1) <= (n[j] + n[i]) * sim.part.numerator // sim.part.denominator]
-                if len(j):
-                    less = key[j] < key[i]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.where(less, key[j], key[i])), pa.array(np.where(less, key[i], key[j])), pa.array(np.where(less, n[j], n[i]).astype(np.int32)), pa.array(np.where(less, n[i], n[j]).astype(np.int32))],
-                        ["a", "b", "na", "nb"],
-                    )
-
-        for batch in batches:
-            c = [batch.column(x).to_numpy() for x in ("sig", "key", "n", "label")]
-            c.append(np.array([*batch.column("sizes").to_pylist(), None], object)[:-1])
-            if held is not None:
-                c = [np.r_[a, b] for a, b in zip(held, c, strict=True)]
-            if not len(c[0]):
-                continue
-            cut = np.flatnonzero(np.r_[True, c[0][1:] != c[0][:-1]])
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                yield from group(*(x[i:j] for x in c[1:]))
-            held = [x[cut[-1] :] for x in c]
-        if held is not None:
-            yield from group(*held[1:])
-
-    dealt = rows.select("sig", "key", "n", "label", "sizes").repartition("sig").sortWithinPartitions("sig", "n", "key")
-    return dealt.mapInArrow(pair, "a long, b long, na int, nb int").distinct()
-
-
 def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction | str | float = Fraction(9, 10)) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -320,27 +317,34 @@ def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction | str | floa
     scratch = Scratch(docs.sparkSession)
     base = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     profiles = scratch.write("profiles", _profiles(base, k))
+    firsts = scratch.write("firsts", profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("own"), F.first("sizes").alias("sizes")))
     dealt = _signature_rows(base, k, sim).repartition("sig").sortWithinPartitions("sig", "n", "key")
-    shared = scratch.write("shared", dealt.mapInArrow(_shared, "sig long, key long, n int, rep long, rep_n int"))
-    stars = shared.where("rep != key").select(F.col("rep").alias("a"), F.col("key").alias("b"), F.col("rep_n").alias("na"), F.col("n").alias("nb"))
-    stars = scratch.write("stars", stars.where(F.col("na") * sim.den >= F.col("nb") * sim.num).distinct())
-    sets = _sets_of(base, profiles, shared.select("key").distinct(), k, scratch)
-    tried = scratch.write("tried", _near_enough(stars, sets, sim))
-    links = scratch.write("links", _links(tried, sets, sim))
-    labels = connected(links, scratch)
-    # what the representatives left open: sets that share a fragment and are in different components
-    known = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    split = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo != hi AND g > 2").select("sig")
-    known = known.join(split, "sig", "left_semi").join(sets.select("key", "sizes"), "key")
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.write("rest", _across(known, sim).join(done, ["a", "b"], "left_anti"))
-    more = scratch.write("more", _links(rest, sets, sim))
-    if more.head(1):
-        labels = connected(links.unionByName(more), scratch)
-    scratch.drop(shared, stars, sets, tried, rest)
-    firsts = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("own"))
+    shared = scratch.write("shared", dealt.mapInArrow(_shared, "sig long, key long, n int"))
+    shared = scratch.write("sized", shared.join(firsts.select("key", "sizes").hint("merge"), "key"))
+    labels, links, tried = None, None, None
+    # leaders settle most groups; what stays split is compared ever more fully, and in the end with every set that its sizes allow
+    for most in (0, 8, None):
+        rows = shared.withColumn("label", F.col("key"))
+        if labels is not None:
+            rows = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+            split = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("sig")
+            rows = rows.join(split, "sig", "left_semi")
+        pairs = _candidates(rows, sim, most)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.write("pairs", pairs)
+        if not pairs.head(1):
+            continue
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        sets = _sets_of(base, firsts, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), k, scratch)
+        found = scratch.write("links", _links(pairs, sets, sim))
+        scratch.drop(sets)
+        links = found if links is None else links.unionByName(found)
+        labels = connected(links, scratch)
+    if labels is None:
+        labels = firsts.select(F.col("key").alias("node"), F.col("key").alias("label")).limit(0)
     smallest = firsts.join(labels, F.col("key") == F.col("node"), "left").select("key", "own", F.coalesce("label", "key").alias("label"))
     by_label = smallest.groupBy("label").agg(F.min("own").alias("component"))
     by_key = smallest.join(by_label, "label").select(F.col("key").alias("of"), "component")
-    out = profiles.join(by_key, (F.col("key") == F.col("of")) & (F.col("n") > 0), "left")
+    out = profiles.select("doc_id", "key", "n").join(by_key, (F.col("key") == F.col("of")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
