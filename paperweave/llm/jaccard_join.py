@@ -255,7 +255,8 @@ def _candidates(rows: DataFrame, sim: Similarity, most: int | None) -> DataFrame
         if held is not None:
             yield from groups(held)
 
-    dealt = rows.select("sig", "key", "n", "label", "sizes").repartition("sig").sortWithinPartitions("sig")
+    # by a hash of sig: dealt by sig itself, a join below would stand in for the exchange and the sort, and may be replaced as it runs
+    dealt = rows.select("sig", "key", "n", "label", "sizes").repartition(F.xxhash64("sig")).sortWithinPartitions("sig")
     return dealt.mapInArrow(pair, "a long, b long, na int, nb int").distinct()
 
 
