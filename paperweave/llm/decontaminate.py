@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import pick
+from .scratch import small_batches
 from .textops import LOWER, NOT_ALNUM, U, row_slices, runs, shingles, word_bounds, word_hashes
 
 WINDOW = 10
@@ -196,6 +197,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     Items are read on the driver in blocks of ``block_words`` words; evaluation sets are small beside a corpus, and a larger one costs
     one more scan step a block, in the same stage and without a shuffle.
     """
+    small_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     items = [(r[0], r[1]) for r in pick(benchmark, "item_id", "text").where(F.col("item_id").isNotNull()).distinct().sort("item_id", "text").toLocalIterator()]
     blocks = item_blocks(items, window, block_words)

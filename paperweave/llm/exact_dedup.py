@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import pick
+from .scratch import small_batches
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Bytes of keys that one trie holds before it spills a subtree.
@@ -191,6 +192,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_owners(docs: DataFrame) -> DataFrame:
     """One row per distinct normalised text: SHA-256, the largest doc_id that holds it, number of rows."""
+    small_batches(docs.sparkSession)
     base = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return base.mapInArrow(_merge_copies, _TEXTS).repartition("n_bytes", "content").mapInArrow(_own, _OWNERS)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import numbered, pick, uniform
+from .scratch import small_batches
 from .textops import BLANK, runs, word_bounds
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -27,6 +28,7 @@ SIZE_STEPS, HASH_PARTS = 32, 16
 
 def count_words(docs: DataFrame, column: str = "text", out: str = "size") -> DataFrame:
     """``docs`` without ``column``, and its number of words ``[^\\x20\\x09-\\x0D]+``."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != column]
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != column), T.StructField(out, T.LongType())])
 

@@ -23,11 +23,23 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch at most. Texts are long; a batch stands in memory several times, in the executor and in its Python workers.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most ``BATCH_ROWS`` rows from here on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    return spark
+
+
 class Scratch:
     """Named Parquet tables below a folder of their own; a table that is no longer read can be dropped."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/paperweave-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = small_batches(spark), f"{shared_folder(spark)}/paperweave-{uuid.uuid4().hex}", 0
 
     def write(self, name: str, frame: DataFrame) -> DataFrame:
         self.n += 1

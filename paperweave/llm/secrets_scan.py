@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import pick
+from .scratch import small_batches
 
 #: Kinds in the order in which spans with one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
@@ -158,4 +159,5 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
+    small_batches(docs.sparkSession)
     return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(scan, _SCHEMA)

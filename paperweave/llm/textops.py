@@ -12,7 +12,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Rows are handled in runs of about this many bytes of text, whatever the batch brings.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: A single longer text is hashed in blocks of about this many bytes, cut at separators.
 BLOCK_BYTES = 4 << 20
 

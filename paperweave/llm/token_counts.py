@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import pick
+from .scratch import small_batches
 from .textops import runs
 
 #: Characters of a chunk, and those that two chunks share at first.
@@ -157,4 +158,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, chunk: in
                     done += len(call)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import pick
+from .scratch import small_batches
 from .textops import runs
 
 #: Letters that a character may stand for.
@@ -123,7 +124,7 @@ def viterbi(observed: str, model: np.ndarray) -> str:
 class Restorer:
     """Restored words of texts; what a token becomes is remembered, up to ``memory`` tokens."""
 
-    def __init__(self, model: np.ndarray, memory: int = 200_000):
+    def __init__(self, model: np.ndarray, memory: int = 50_000):
         self.model, self.memory, self.known = model, memory, {}
 
     def token(self, token: str) -> tuple[str, ...]:
@@ -227,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: in
 
     The rows are those with the smallest hash of doc_id. Rows without a label, or whose doc_ids disagree on it, teach nothing.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     letters = language_model(letter_counts(docs))
     known = pick(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -242,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: in
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen[y].update({f for w in restorer.words(text.as_py() or "") for f in features(w)})
-            if len(seen[0]) + len(seen[1]) > 400_000:
+            if len(seen[0]) + len(seen[1]) > 200_000:
                 yield _counted(seen)
                 seen = (Counter(), Counter())
         yield _counted(seen)
@@ -277,8 +278,9 @@ def _counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
 
 
 class Scorer:
-    def __init__(self, model: Model, memory: int = 200_000):
-        self.restorer, self.model, self.memory = Restorer(model.letters, memory), model, memory
+    def __init__(self, model: Model, memory: int = 100_000):
+        # tokens are remembered with their features, so the restorer need not remember them too
+        self.restorer, self.model, self.memory = Restorer(model.letters, 1), model, memory
         self.known: dict[str, tuple[str, ...]] = {}
 
     def _of(self, token: str) -> tuple[str, ...]:
