@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shipping import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +19,13 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
     def register(f: Query) -> Query:
         key = name or f.__name__
-        QUERIES[key] = f
+
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql:
             ORACLES[key] = sql
         return f
