@@ -7,12 +7,12 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
-from .scratch import ship
 from .secrets_scan import scan_secrets
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
