@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 
-def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
+#: Links that one task joins at most (16 MB); more are joined on the cluster, round by round.
+TASK_LINKS = 1_000_000
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    for i in range(0, len(nodes), 50_000):
+        part = nodes[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], ["node", "label"])
+
+
+def connected(links: DataFrame, scratch: Scratch, task_links: int = TASK_LINKS) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): the smallest node it can reach.
 
-    Each round takes the smallest label among neighbours and then the label's own label, so long chains shorten by halves.
+    Links are counted first. Up to ``task_links`` are joined in one task; beyond, each round takes the smallest label among neighbours
+    and then the label's own label, so long chains shorten by halves.
     """
+    if links.count() <= task_links:
+        return scratch.write("labels", links.select("a", "b").coalesce(1).mapInArrow(_union, "node long, label long"))
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     both = scratch.write("edges", both)
     labels = scratch.write("labels", both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))

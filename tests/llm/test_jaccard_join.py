@@ -76,3 +76,14 @@ def test_bounds():
     sim = Similarity(Fraction(9, 10))
     assert sim.differ(100, 100) == 10 and sim.largest(9) == 10 and sim.largest(8) == 8
     assert sim.similar(90, 190) and not sim.similar(89, 189)
+
+
+@pytest.mark.parametrize("task_links", [0, 1000])
+def test_components_of_chains_and_stars(spark, task_links):
+    from paperweave.llm.components import connected
+    from paperweave.llm.scratch import Scratch
+
+    links = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 20)] + [(110, 15), (300, 299)]
+    got = connected(spark.createDataFrame(links, "a long, b long"), Scratch(spark), task_links)
+    want = {x: 0 for x in [*range(21), *range(100, 120)]} | {299: 299, 300: 299}
+    assert {r.node: r.label for r in got.collect()} == want
