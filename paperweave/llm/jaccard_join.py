@@ -26,7 +26,7 @@ from .scratch import Scratch
 from .textops import BLANK, LOWER, U, mix, row_slices, runs, shingles, signed, word_bounds, word_hashes
 
 #: Ranges of the n-gram order in which overlaps are counted apart, and those whose sizes bound a pair's difference.
-FRAGMENTS, COUNTED = 4, 128
+FRAGMENTS, COUNTED = 8, 128
 #: Sets that a task remembers having sent.
 SEEN = 1_000_000
 #: Ids that are broadcast at most (16 MB); beyond, the join is shuffled.
@@ -175,17 +175,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(base: DataFrame, firsts: DataFrame, keys: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(key, grams) of the wanted keys, from one document each."""
+    """(key, frag, grams) of the wanted keys, from one document each, a row for each fragment that the set fills."""
+    edges = np.array([(f << 64) // FRAGMENTS for f in range(1, FRAGMENTS)], U)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in gram_sets(batch, k):
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "grams"])
+                rows = [(set_key(s), f, x.tobytes()) for s in sets for f, x in enumerate(np.split(s, np.searchsorted(s, edges))) if len(x)]
+                cols = list(zip(*rows, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "frag", "grams"])
 
     ids = scratch.write("ids", firsts.join(keys, "key").where("own IS NOT NULL").select(F.col("own").alias("doc_id")).distinct())
     few = ids.count() <= BROADCAST_IDS
-    found = base.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi").mapInArrow(scan, "key long, grams binary")
-    return scratch.write("sets", found.join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key"]))
+    found = base.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi").mapInArrow(scan, "key long, frag int, grams binary")
+    return scratch.write("sets", found.join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key", "frag"]))
 
 
 def _candidates(rows: DataFrame, sim: Similarity, most: int | None) -> DataFrame:
@@ -260,48 +263,30 @@ def _candidates(rows: DataFrame, sim: Similarity, most: int | None) -> DataFrame
     return dealt.mapInArrow(pair, "a long, b long, na int, nb int").distinct()
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """Rows of (a, b, grams), one for each fragment."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(f << 64) // FRAGMENTS for f in range(1, FRAGMENTS)], U)
-        for batch in batches:
-            frag, grams, at = [], [], []
-            for i, g in enumerate(batch.column("grams")):
-                s = np.frombuffer(g.as_py(), U)
-                for f, x in enumerate(np.split(s, np.searchsorted(s, edges))):
-                    frag.append(f)
-                    grams.append(x.tobytes())
-                    at.append(i)
-            part = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(frag, pa.int32()), pa.array(grams, pa.binary())], ["a", "b", "frag", "grams"])
-
-    return rows.mapInArrow(cut, "a long, b long, frag int, grams binary")
-
-
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by a, frag, with the row of a itself (b null) first: each b's overlap with a in the fragment."""
-    own = np.zeros(0, U)
+    own, of = np.zeros(0, U), None
     for batch in batches:
         a, b, n = [], [], []
-        for x, y, g in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("grams"), strict=True):
+        for x, y, f, g in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("frag").to_pylist(), batch.column("grams"), strict=True):
             s = np.frombuffer(g.as_py(), U)
             if y is None:
-                own = s
-                continue
-            i = np.searchsorted(own, s)
-            a.append(x)
-            b.append(y)
-            n.append(int((own[np.minimum(i, len(own) - 1)] == s).sum()) if len(own) else 0)
+                own, of = s, (x, f)
+            elif of == (x, f):  # else a has nothing in the fragment
+                i = np.searchsorted(own, s)
+                a.append(x)
+                b.append(y)
+                n.append(int((own[np.minimum(i, len(own) - 1)] == s).sum()))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "common"])
 
 
 def _links(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """(a, b) of the pairs (a, b, na, nb) that are similar."""
-    grams = sets.select("key", "grams")
-    theirs = pairs.select("a", "b").join(grams.hint("merge"), F.col("b") == F.col("key")).select("a", "b", "grams")
-    own = grams.join(pairs.select("a").distinct().hint("merge"), F.col("key") == F.col("a"), "left_semi").select(F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    dealt = _cut(theirs).unionByName(_cut(own)).repartition("a", "frag").sortWithinPartitions("a", "frag", F.col("b").asc_nulls_first())
+    theirs = pairs.select("a", "b").join(sets.hint("merge"), F.col("b") == F.col("key")).select("a", "b", "frag", "grams")
+    firsts = pairs.select("a").distinct().hint("merge")
+    own = sets.join(firsts, F.col("key") == F.col("a"), "left_semi").select(F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "frag", "grams")
+    both = theirs.unionByName(own).repartition(F.xxhash64("a", "frag"))
+    dealt = both.sortWithinPartitions("a", "frag", F.col("b").asc_nulls_first())
     sums = dealt.mapInArrow(_overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     return sums.join(pairs, ["a", "b"]).where(sim.similar(F.col("common"), F.col("na") + F.col("nb"))).select("a", "b")
 
