@@ -151,10 +151,11 @@ def best_candidate(spark, sf_dir):
     SELECT doc_id AS sentence, word, string_agg(token, '' ORDER BY pos) AS text, CAST(ceil(avg(prediction)) AS BIGINT) AS prediction FROM tok GROUP BY doc_id, word"""
 )
 def token_to_word(spark, sf_dir):
-    w = _sentences(spark, sf_dir).where("seq = 0").select("doc_id", F.posexplode(F.split("sentence", " ", -1)).alias("i", "w")).where("w != ''")
+    w = _sentences(spark, sf_dir).where("seq IS NOT NULL").select("doc_id", "seq", F.posexplode(F.split("sentence", " ", -1)).alias("i", "w")).where("w != ''")
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("w") + 2) / 3).cast("int") - 1), lambda j: F.substring(F.col("w"), j * 3 + 1, F.lit(3)))
-    t = w.select(F.col("doc_id").alias("sentence"), (F.col("i") + 1).cast("long").alias("word"), F.posexplode(pieces).alias("position", "token"))
-    return N.words_from_tokens(t.withColumn("prediction", (F.col("word") + F.col("position")) % 3))
+    t = w.select(F.struct("doc_id", "seq").alias("sentence"), (F.col("i") + 1).cast("long").alias("word"), F.posexplode(pieces).alias("position", "token"))
+    words = N.words_from_tokens(t.withColumn("prediction", (F.col("word") + F.col("position")) % 3))
+    return words.select("sentence.doc_id", "sentence.seq", "word", "text", "prediction")
 
 
 @query("SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS id FROM (SELECT DISTINCT unnest(string_split(lang || ' ' || source, ' ')) AS tag FROM documents)")
@@ -180,7 +181,7 @@ def answer_label(spark, sf_dir):
 
 @query(f"SELECT conv_id, turn, CASE WHEN contains(lower(t), 'yes') THEN 'yes' WHEN contains(lower(t), 'no') THEN 'no' ELSE trim(t, {_BL}) END AS answer FROM (SELECT conv_id, turn, substr(text, 1, 40) AS t FROM conversations)")
 def yes_no(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.yes_no(F.substring("text", 1, 40)).alias("answer"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.yes_no(F.col("text")).alias("answer"))
 
 
 _TAIL = "NULL"
