@@ -68,11 +68,6 @@ def node_upsert(spark, sf_dir):
 _BRANDS = f"{MICROBE_PARENTS}, parents AS (SELECT * FROM microbe_parents WHERE child LIKE 'b%' UNION ALL SELECT * FROM disease_parents)"
 
 
-def _small_hierarchy(spark, sf_dir):
-    g = GraphView(spark, sf_dir)
-    return g.microbe_parents.where("child LIKE 'b%'").unionByName(g.disease_parents)
-
-
 @query(
     f"""WITH RECURSIVE {DISEASE_PARENTS}, {MICROBE_PARENTS}, parents AS (SELECT * FROM microbe_parents UNION ALL SELECT * FROM disease_parents),
     f AS (SELECT child, min(parent) AS nx FROM parents GROUP BY child),
@@ -98,7 +93,8 @@ def lineage_first_child(spark, sf_dir):
     SELECT DISTINCT o.x AS node, t.y AS relative FROM e o JOIN e t ON o.y = t.x AND NOT (o.child = t.child AND o.parent = t.parent)"""
 )
 def two_hop_relatives(spark, sf_dir):
-    return P.two_hop_relatives(_small_hierarchy(spark, sf_dir))
+    g = GraphView(spark, sf_dir)
+    return P.two_hop_relatives(g.microbe_parents.unionByName(g.disease_parents))
 
 
 @query(f"WITH {DISEASE_PARENTS}, l AS (SELECT a.child AS node, a.child AS n0, a.parent AS n1, b.parent AS n2 FROM disease_parents a JOIN disease_parents b ON a.parent = b.child) SELECT DISTINCT n0 AS child, n1 AS parent FROM l UNION SELECT n1, n2 FROM l")

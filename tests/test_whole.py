@@ -23,3 +23,15 @@ def test_token_to_word_takes_every_sentence(spark, tmp_path):
     got = run(spark, tmp_path, "token_to_word")
     assert [r[:4] for r in got] == [(1, 0, 1, "ab"), (1, 0, 2, "cdef"), (1, 1, 1, "second"), (1, 1, 2, "one")]
     assert [r[4] for r in got] == [1, 1, 2, 2]
+
+
+def test_two_hop_relatives_take_part_edges(spark, tmp_path):
+    parts = [(1, "B1", "T1"), (2, "B1", "T2"), (3, "B2", "T2"), (4, "B2", "T2")]
+    nations = [(1, 0), (2, 0), (3, 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string").withColumn("p_name", F.col("p_type")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(nations, "n_nationkey int, n_regionkey int").withColumn("n_name", F.lit("n")).write.parquet(f"{tmp_path}/nation.parquet")
+    edges = {e for k, b, t in parts for e in ((f"p{k}", f"b{b}"), (f"b{b}", f"t{t}"))} | {e for n, r in nations for e in ((f"n{n}", f"r{r}"), (f"r{r}", "root"))}
+    ends = [(x, y, e) for e in edges for x, y in (e, e[::-1])]
+    want = {(x, z) for x, y, e in ends for w, z, f in ends if y == w and e != f}
+    assert {("p1", "tT1"), ("p3", "p4"), ("tT2", "p3")} <= want
+    assert run(spark, tmp_path, "two_hop_relatives") == sorted(want, key=repr)
