@@ -198,7 +198,7 @@ CASE WHEN l_returnflag = 'N' AND l_linenumber < 3 THEN 'na' WHEN l_linestatus =
 
 
 def _external(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     word = F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") < 3), "unclear").otherwise(F.col("l_linestatus"))
     return l.select(
         F.when(F.col("l_orderkey") % 17 != 0, F.col("l_partkey") % 2200).alias("b_cui"),
