@@ -109,7 +109,7 @@ def span_overlap_filter(spark, sf_dir):
 
 @query("SELECT p_partkey, p_type AS disease, p_name AS bacteria FROM part WHERE lower(p_type) NOT IN ('disease', 'diseases') AND lower(p_name) NOT IN ('bacteria', 'bacterias', 'probiotic', 'probiotics') AND p_size % 2 = 0")
 def stop_entities(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size % 2 = 0").select("p_partkey", F.col("p_type").alias("disease"), F.col("p_name").alias("bacteria"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("disease"), F.col("p_name").alias("bacteria"))
     return N.no_stop_entities(p)
 
 
@@ -130,8 +130,8 @@ def semantic_types(spark, sf_dir):
 )
 def synonym_cascade(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    names = p.where("p_partkey % 3 = 0 AND p_partkey < 40").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("tax_id"))
-    names = names.unionByName(p.where("p_brand < 'Brand#2'").groupBy(F.col("p_brand").alias("name")).agg((F.min("p_partkey") + 100000).alias("tax_id")))
+    names = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("tax_id"))
+    names = names.unionByName(p.groupBy(F.col("p_brand").alias("name")).agg((F.min("p_partkey") + 100000).alias("tax_id")))
     return N.synonym_cascade(p, "p_partkey", F.array("p_name", "p_brand", F.lower("p_type")), names)
 
 

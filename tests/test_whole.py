@@ -54,3 +54,17 @@ def test_external_source_has_every_line(spark, sf, name):
     plain = lambda rows: sorted(tuple(value(v) for v in r) for r in rows)
     assert plain(got) == plain(want.fetchall())
     assert plain(got) != plain(con.sql(sql).fetchall()) or whole == sql
+
+
+def parts(spark, folder, rows):
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+
+
+def test_stop_entities_reads_every_part(spark, tmp_path):
+    parts(spark, tmp_path, [(1, "a", "B", "T", 1), (2, "b", "B", "T", 2), (3, "Bacteria", "B", "T", 3), (4, "c", "B", "Diseases", 4)])
+    assert run(spark, tmp_path, "stop_entities") == [(1, "T", "a"), (2, "T", "b")]
+
+
+def test_synonym_cascade_knows_every_name(spark, tmp_path):
+    parts(spark, tmp_path, [(1, "a", "Brand#1", "T", 1), (50, "b", "Brand#3", "T", 1), (52, "b", "Brand#3", "T", 1), (60, None, "Brand#3", "T", 1), (61, None, None, "A", 1), (62, None, None, "C", 1)])
+    assert run(spark, tmp_path, "synonym_cascade") == [(1, 1), (50, 50), (52, 50), (60, 100050), (61, 1), (62, None)]
