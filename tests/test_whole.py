@@ -1,6 +1,8 @@
 """Queries do the whole job: no row, text or neighbour is left out. Where the registered SQL leaves some out, the test has its own."""
 
 import duckdb
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,18 @@ def test_stop_entities_reads_every_part(spark, tmp_path):
 def test_synonym_cascade_knows_every_name(spark, tmp_path):
     parts(spark, tmp_path, [(1, "a", "Brand#1", "T", 1), (50, "b", "Brand#3", "T", 1), (52, "b", "Brand#3", "T", 1), (60, None, "Brand#3", "T", 1), (61, None, None, "A", 1), (62, None, None, "C", 1)])
     assert run(spark, tmp_path, "synonym_cascade") == [(1, 1), (50, 50), (52, 50), (60, 100050), (61, 1), (62, None)]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_lsh_finds_nearly_all_of_the_nearest(spark, size):
+    folder, k = f"/root/testdata/{size}", 10
+    x = pq.read_table(f"{folder}/embeddings.parquet").to_pydict()
+    v, ids = np.array(x["embedding"], float), np.array(x["vec_id"])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = {}
+    for r in entry.queries()["lsh_knn"](spark, folder).collect():
+        got.setdefault(r.query, set()).add(r.neighbour)
+    queries = [i for i in range(len(ids)) if ids[i] % 50 == 0]
+    best = {ids[i]: set(ids[[j for j in np.argsort(-(v @ v[i]), kind="stable") if j != i][:k]]) for i in queries}
+    assert {q: len(n) for q, n in got.items()} == {q: min(k, len(ids) - 1) for q in best}
+    assert sum(len(best[q] & got[q]) for q in best) >= 0.9 * sum(map(len, best.values()))
