@@ -32,31 +32,56 @@ def _restored(wide: DataFrame, names: list[str]) -> DataFrame:
     return wide.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among ids (one column). Few ids are broadcast, after they are counted; more are joined by shuffling."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``numbered`` with one more column, _row: a key of each row's own, which doc_id need not be. It is written, so that it stays."""
     wide, names = numbered(docs)
-    ids = Scratch(docs.sparkSession).write("gone", ids.toDF("_gone").distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-    return _restored(wide.join(ids, F.col(_place(names, "doc_id")).cast("long").eqNullSafe(F.col("_gone")), "left_anti"), names)
+    return Scratch(docs.sparkSession).write("keyed", wide.withColumn("_row", F.monotonically_increasing_id())), names
+
+
+def _texts(wide: DataFrame, names: list[str]) -> DataFrame:
+    """(doc_id, text) for the operators, with the row's key as doc_id."""
+    return wide.select(F.col("_row").alias("doc_id"), F.col(_place(names, "text")).alias("text"))
+
+
+def _counted(frame: DataFrame) -> DataFrame:
+    """A written table: few rows are broadcast, after they are counted; more are joined by shuffling."""
+    frame = Scratch(frame.sparkSession).write("counted", frame)
+    return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame.hint("merge")
+
+
+def _without(wide: DataFrame, names: list[str], rows: DataFrame) -> DataFrame:
+    """The rows whose key is not among rows (one column)."""
+    gone = _counted(rows.toDF("_gone"))
+    return _restored(wide.join(gone, F.col("_row") == F.col("_gone"), "left_anti"), names)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose restored text scores below the threshold."""
+    """Rows whose restored text scores below the threshold; all rows where the labels teach nothing that tells texts apart."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.weights:
+        return docs
     wide, names = numbered(docs)
     return _restored(score_rows(wide, model, _place(names, "text"), "_score").where(F.col("_score") < THRESHOLD), names)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest doc_id; rows that share it all stay. Rows without any words stay."""
-    found = jaccard_components(docs, NEAR_WORDS, NEAR_LEAST)
-    return _without(docs, found.where(F.col("n_shingles") > 0).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    wide, names = _keyed(docs)
+    found = jaccard_components(_texts(wide, names), NEAR_WORDS, NEAR_LEAST).where(F.col("n_shingles") > 0)
+    found = Scratch(spark).write("found", found.select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_group")))
+    several = _counted(found.where("_of != _group").select("_group").distinct())
+    members = found.join(several, "_group", "left_semi")
+    members = wide.select("_row", F.col(_place(names, "doc_id")).cast("long").alias("_id")).join(members, F.col("_row") == F.col("_of"))
+    members = Scratch(spark).write("members", members.select("_row", "_id", "_group"))
+    smallest = _counted(members.groupBy("_group").agg(F.min("_id").alias("_least")))
+    return _without(wide, names, members.join(smallest, "_group").where(~F.col("_id").eqNullSafe(F.col("_least"))).select("_row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no window of a benchmark item occurs."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    wide, names = _keyed(docs)
+    found = decontaminate(_texts(wide, names), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(wide, names, found.where("contaminated").select("doc_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
