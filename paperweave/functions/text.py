@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\x0b\x0c\n"
-MAX_CHARS = 1_000_000
 
 
 def protect_decimals(c: Column) -> Column:
@@ -26,12 +25,12 @@ def span_of(text: Column, part: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Lower-cased sentences of the first million characters, in order.
+    """Lower-cased sentences of the whole text, in order.
 
     Decimals are protected first; then . ! ? * and line ends cut. Sentences are stripped, those of one character or none go, and
     - / | become blanks.
     """
-    parts = F.split(protect_decimals(F.lower(F.substring(text, 1, MAX_CHARS))), r"[.!?*\n]", -1)
+    parts = F.split(protect_decimals(F.lower(text)), r"[.!?*\n]", -1)
     kept = F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(BLANKS))), lambda s: F.char_length(s) > 1)
     return F.transform(kept, lambda s: F.translate(s, "-/|", "   "))
 

@@ -115,3 +115,8 @@ def test_pipeline_drops_near_duplicate_rows_alone(spark, corpus):
 
 def test_pipeline_finds_nothing_toxic_without_labels(spark, corpus):
     assert left(P.drop_toxic(spark, *corpus)) == sorted(DOCS, key=repr)
+
+
+def test_sentences_reach_past_a_million_characters(spark, tmp_path):
+    spark.createDataFrame([(1, "word " * 220_000 + ". The LAST one.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r[1:] for r in run(spark, tmp_path, "sentence_split")][-1] == (1, "the last one")
