@@ -85,7 +85,7 @@ def cosine_of_pairs(spark, sf_dir):
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    return G.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4, restarts=3)
+    return G.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4)
 
 
 @query()
@@ -112,13 +112,13 @@ def fastrp_embedding(spark, sf_dir):
 
 @query()
 def walk_word2vec(spark, sf_dir):
-    return G.walk_embeddings(G.random_walks(_weighted(spark, sf_dir), 6, 1))
+    return G.walk_embeddings(G.random_walks(_weighted(spark, sf_dir)))
 
 
 @query()
 def metapath_word2vec(spark, sf_dir):
     e = _weighted(spark, sf_dir).withColumn("type", F.when(F.col("a").startswith("p"), "to_disease").otherwise("to_microbe"))
-    return G.walk_embeddings(G.random_walks(e, per_node=1, metapath=["to_disease", "to_microbe"] * 2))
+    return G.walk_embeddings(G.random_walks(e, metapath=["to_disease", "to_microbe"] * 2))
 
 
 @query()
@@ -134,10 +134,10 @@ def link_prediction(spark, sf_dir):
 
     g = GraphView(spark, sf_dir)
     s = g.strengths.where("strength_raw > 0").select(F.concat(F.lit("p"), F.col("cui_microbe").cast("string")).alias("m"), F.concat(F.lit("n"), F.col("cui_disease").cast("string")).alias("d"))
-    emb = G.fastrp(_weighted(spark, sf_dir), dim=8)
+    emb = G.fastrp(_weighted(spark, sf_dir))
     none = negative_pairs(s, "m", "d").select("m", "d", F.lit(0.0).alias("label"))
     data = G.pair_features(s.withColumn("label", F.lit(1.0)).unionByName(none), emb, emb, "m", "d").select("m", "d", "features", "label").persist()
-    model, _ = G.train_link_prediction(data, folds=2)
+    model, _ = G.train_link_prediction(data)
     return G.predict_links(model, data.where("label = 0").drop("label"), "m")
 
 

@@ -1,5 +1,7 @@
 """Queries do the whole job: no row, text or neighbour is left out. Where the registered SQL leaves some out, the test has its own."""
 
+import inspect
+
 import duckdb
 import numpy as np
 import pyarrow.parquet as pq
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
+from paperweave.operators import graph_ml as G
 
 
 TABLES = "nation supplier part orders lineitem".split()
@@ -120,3 +123,30 @@ def test_pipeline_finds_nothing_toxic_without_labels(spark, corpus):
 def test_sentences_reach_past_a_million_characters(spark, tmp_path):
     spark.createDataFrame([(1, "word " * 220_000 + ". The LAST one.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r[1:] for r in run(spark, tmp_path, "sentence_split")][-1] == (1, "the last one")
+
+
+@pytest.mark.parametrize(
+    "name, steps",
+    [("kmeans_clusters", {"kmeans": ["restarts"]}), ("walk_word2vec", {"random_walks": ["length", "per_node"]}), ("metapath_word2vec", {"random_walks": ["per_node"]}), ("link_prediction", {"fastrp": ["dim"], "train_link_prediction": ["folds"]})],
+)
+def test_learning_queries_use_the_operators_defaults(spark, sf, monkeypatch, name, steps):
+    used = {}
+
+    class Stop(Exception):
+        pass
+
+    def watched(step, f):
+        def call(*a, **b):
+            bound = inspect.signature(f).bind(*a, **b)
+            used[step] = {k: bound.arguments[k] for k in steps[step] if k in bound.arguments}
+            if len(used) == len(steps):
+                raise Stop
+            return f(*a, **b)
+
+        return call
+
+    for step in steps:
+        monkeypatch.setattr(G, step, watched(step, getattr(G, step)))
+    with pytest.raises(Stop):
+        entry.queries()[name](spark, sf)
+    assert used == {step: {} for step in steps}
