@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-#: Links that one task joins at most (16 MB); more are joined on the cluster, round by round.
-TASK_LINKS = 1_000_000
+#: Links that a task joins at once.
+AT_ONCE = 1_000_000
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
+    """Links with the same components, each node linked to the smallest that it reaches within ``at_once`` links of the task or so."""
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -23,29 +24,38 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x] = x = up[up[x]]
         return x
 
+    def out() -> Iterator[pa.RecordBatch]:
+        nodes = list(up)
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], ["a", "b"])
+
+    done = 0
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             up.setdefault(a, a)
             up.setdefault(b, b)
             x, y = top(a), top(b)
             up[max(x, y)] = min(x, y)
-    nodes = list(up)
-    for i in range(0, len(nodes), 50_000):
-        part = nodes[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], ["node", "label"])
+        done += batch.num_rows
+        if done >= at_once:
+            yield from out()
+            up.clear()
+            done = 0
+    yield from out()
 
 
-def connected(links: DataFrame, scratch: Scratch, task_links: int = TASK_LINKS) -> DataFrame:
+def connected(links: DataFrame, scratch: Scratch, at_once: int = AT_ONCE) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): the smallest node it can reach.
 
-    Links are counted first. Up to ``task_links`` are joined in one task; beyond, each round takes the smallest label among neighbours
-    and then the label's own label, so long chains shorten by halves.
+    Each task first replaces its links by stars, which have the same components. Then each round takes the smallest label among
+    neighbours and then the label's own label, so long chains shorten by halves; the last round changes nothing.
     """
-    if links.count() <= task_links:
-        return scratch.write("labels", links.select("a", "b").coalesce(1).mapInArrow(_union, "node long, label long"))
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
+    stars = scratch.write("stars", links.select("a", "b").mapInArrow(lambda batches: _stars(batches, at_once), "a long, b long"))
+    both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     both = scratch.write("edges", both)
     labels = scratch.write("labels", both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    scratch.drop(stars)
     while True:
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("m"))
         step = labels.join(near, labels.node == near.u).select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))

@@ -1,13 +1,16 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of n-grams is that of their hashes, and fragments are ranges of it. Two sets that are as similar as asked differ in
-few n-grams, so in fewer fragments than a set has of its own: of the first fragments that a set fills, one more than may differ, one
-is equal in both. Sets that share such a fragment are candidates, a whole fragment being a far rarer key than any n-gram. Candidates
-are compared fragment by fragment: overlaps are counted apart and summed per pair.
-
-Equal sets are one set throughout. Within a shared fragment each set is first paired with one leader only, whose sizes allow similarity.
-Pairs between sets that are linked already are never formed; what remains between different components is compared more fully and in the
-end in full, so groups of copies cost their size and no link between components is lost.
+few n-grams, so all but few of the fragments that a set fills are the same in both. A set that shares fewer of its fragments with any
+other set has no link and is left out. Of the others a fragment prefix suffices: with fragments in order of how many sets share them, the
+rarest, as many as may differ and one more, hold one that both sets have. Sets that meet in such a fragment are candidates, so a passage
+that many documents share brings nothing together unless it is nearly all they have. Candidates are compared fragment by fragment:
+overlaps are counted apart and summed per pair.
+
+Equal sets are one set throughout. A fragment with many sets is split into cells of bounded size. In a cell each set is first paired
+with one leader only, whose sizes allow similarity. Pairs between sets that are linked already are never formed; what remains between
+different components is compared more fully and in the end in full, cell by cell, so groups of copies cost their size and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -27,6 +30,10 @@ from .textops import BLANK, LOWER, U, mix, row_slices, runs, shingles, signed, w
 
 #: Ranges of the n-gram order in which overlaps are counted apart, and those whose sizes bound a pair's difference.
 FRAGMENTS, COUNTED = 8, 128
+#: Up to this size, as a power of two, every n-gram is a fragment of its own.
+SMALL = 7
+#: Sets sharing a fragment beyond which their number is not counted further; sets in a cell, in which candidates are sought.
+COMMON, CELL = 1024, 4096
 #: Sets that a task remembers having sent.
 SEEN = 1_000_000
 #: Ids that are broadcast at most (16 MB); beyond, the join is shuffled.
@@ -82,24 +89,28 @@ class Similarity:
         return self.den * common >= self.num * (total - common)
 
 
-def signatures(s: np.ndarray, sim: Similarity) -> np.ndarray:
-    """Keys of the set's leading fragments, for each class of sizes that a similar set of at least its own size may be in.
+def signatures(s: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the set's fragments, for each class of sizes that a similar set of at least its own size may be in, and with each key
+    how many of the class's keys any set similar to it in that class must have too.
 
-    Sizes from 2^c to 2^(c+1) are a class with a number of fragments of its own, chosen so that far more are filled than may differ.
+    Sizes from 2^c to 2^(c+1) are a class with a number of fragments of its own, chosen so that far more are filled than may differ; c
+    stands in the lowest 6 bits of the key. Were hashes so uneven that no more are filled, links could be missed; from 128 n-grams on
+    that is less likely than 10^-20, and below each n-gram has a fragment of its own.
     """
     n = len(s)
-    out = []
+    keys, needs = [], []
     ratio = float(sim.part) * (1 + sim.den / sim.num)
-    for c in range(n.bit_length() - 1, sim.largest(n).bit_length()):
-        m = max(16, int(np.ceil((1 << c) * 2 * ratio / 0.75)))
-        frag = ((s >> U(32)) * U(m)) >> U(32)
-        new = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]])
-        end = np.r_[new[1:], n]
-        take = slice(0, sim.spread(n) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.r_[U(0), np.cumsum(mix(s), dtype=U)]
-            out.append(mix(sums[end[take]] - sums[new[take]] + mix(frag[new[take]] * U(64) + U(c)) + (end - new)[take].astype(U)))
-    return np.concatenate(out)
+    with np.errstate(over="ignore"):
+        sums = np.r_[U(0), np.cumsum(mix(s), dtype=U)]
+        for c in range(n.bit_length() - 1, sim.largest(n).bit_length()):
+            m = 1 << 32 if c < SMALL else int(np.ceil((1 << c) * 2 * ratio / 0.75))
+            frag = ((s >> U(32)) * U(m)) >> U(32)
+            new = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]])
+            end = np.r_[new[1:], n]
+            key = mix(sums[end] - sums[new] + mix(frag[new] * U(64) + U(c)) + (end - new).astype(U))
+            keys.append((key & ~U(63)) | U(c))
+            needs.append(np.full(len(new), max(1, len(new) - sim.differ(n, min(sim.largest(n), (2 << c) - 1)))))
+    return np.concatenate(keys), np.concatenate(needs)
 
 
 def sizes_by_range(s: np.ndarray) -> bytes:
@@ -123,11 +134,13 @@ def _profiles(base: DataFrame, k: int) -> DataFrame:
 
 
 def _signature_rows(base: DataFrame, k: int, sim: Similarity) -> DataFrame:
+    """(sig, key, info) of every set that another one may be similar to; info has the set's size above and the need below 32 bits."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, sets in gram_sets(batch, k):
-                sigs, keys, sizes = [], [], []
+                sigs, keys, infos = [], [], []
                 for s in sets:
                     # nothing but an equal set is similar to one too small to differ
                     if not len(s) or sim.spread(len(s)) == 0:
@@ -135,40 +148,57 @@ def _signature_rows(base: DataFrame, k: int, sim: Similarity) -> DataFrame:
                     key = set_key(s)
                     if key not in seen:
                         seen.add(key)
-                        g = signatures(s, sim)
-                        sigs.append(g)
-                        keys.append(np.full(len(g), key))
-                        sizes.append(np.full(len(g), len(s), np.int32))
+                        sig, need = signatures(s, sim)
+                        sigs.append(sig)
+                        keys.append(np.full(len(sig), key))
+                        infos.append((len(s) << 32) | need)
                 if len(seen) > SEEN:
                     seen.clear()
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], ["sig", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(infos))], ["sig", "key", "info"])
 
-    return base.mapInArrow(scan, "sig long, key long, n int")
+    return base.mapInArrow(scan, "sig long, key long, info long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig, n, key: those of signatures that two sets have, each once. One row is carried on."""
-    kept: list[np.ndarray] | None = None
-    shared = False  # whether the carried row's signature has been met in another set
+    """Of rows sorted by sig, key: those of signatures that two sets have, each once, with the number of sets, ``COMMON`` at most.
+    Fewer rows than that are carried on."""
+    names = ["sig", "key", "info"]
+    carry, hot = [np.zeros(0, np.int64)] * 3, None  # hot: a signature known to be common
+
+    def rows(c: list[np.ndarray], df: np.ndarray, ok: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(x[ok]) for x in c], pa.array(df[ok].astype(np.int32))], [*names, "df"])
+
+    def counted(sig: np.ndarray) -> tuple[np.ndarray, int]:
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        size = np.diff(np.r_[first, len(sig)])
+        df = np.minimum(np.repeat(size, size), COMMON)
+        if hot is not None and sig[0] == hot:
+            df[: size[0]] = COMMON
+        return df, int(first[-1])
+
     for batch in batches:
-        c = [batch.column(x).to_numpy() for x in ("sig", "n", "key")]
-        if kept is not None:
-            c = [np.r_[a, b] for a, b in zip(kept, c, strict=True)]
-        sig, n, key = c
-        if not len(sig):
+        c = [np.r_[a, batch.column(n).to_numpy()] for a, n in zip(carry, names, strict=True)]
+        if not len(c[0]):
             continue
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
-        sig, n, key = sig[fresh], n[fresh], key[fresh]
-        same = np.r_[False, sig[1:] == sig[:-1]]
-        multi = same | np.r_[same[1:], False]
-        multi[0] |= shared
-        out = multi.copy()
-        out[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, key, n)], ["sig", "key", "n"])
-        kept, shared = [sig[-1:], n[-1:], key[-1:]], bool(multi[-1])
-    if kept is not None and shared:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kept[0], kept[2], kept[1])], ["sig", "key", "n"])
+        fresh = np.r_[True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])]
+        c = [x[fresh] for x in c]
+        df, last = counted(c[0])
+        if df[-1] == COMMON:
+            hot, last = c[0][-1], len(df) - 1
+        yield rows(c, df, (np.arange(len(df)) < last) & (df > 1))
+        carry = [x[last:] for x in c]
+    if len(carry[0]):
+        df, _ = counted(carry[0])
+        yield rows(carry, df, df > 1)
+
+
+def _prefixes(shared: DataFrame) -> DataFrame:
+    """(sig, key, n): of each set and class with enough shared signatures, the rarest ones, one of which any similar set has as well."""
+    need = F.col("info").bitwiseAND((1 << 32) - 1)
+    of = Window.partitionBy("key", F.col("sig").bitwiseAND(63))
+    ranked = shared.withColumn("_all", F.count(F.lit(1)).over(of)).withColumn("_i", F.row_number().over(of.orderBy("df", "sig")))
+    return ranked.where((F.col("_i") + need) <= (F.col("_all") + 1)).select("sig", "key", F.shiftright("info", 32).cast("int").alias("n"))
 
 
 # ---- comparing --------------------------------------------------------------------------------------------------------------
@@ -188,78 +218,92 @@ def _sets_of(base: DataFrame, firsts: DataFrame, keys: DataFrame, k: int, scratc
     ids = scratch.write("ids", firsts.join(keys, "key").where("own IS NOT NULL").select(F.col("own").alias("doc_id")).distinct())
     few = ids.count() <= BROADCAST_IDS
     found = base.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi").mapInArrow(scan, "key long, frag int, grams binary")
-    return scratch.write("sets", found.join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key", "frag"]))
+    sets = scratch.write("sets", found.join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key", "frag"]))
+    scratch.drop(ids)
+    return sets
+
+
+def _cells(rows: DataFrame, full: bool) -> DataFrame:
+    """Of (sig, key, n, label, sizes): the rows of signatures with more than one label, with the cell (sig, i, j) in which they are compared.
+
+    Signatures of up to ``CELL`` sets are one cell. Those of more are dealt into blocks, each a cell of its own; with ``full`` every two
+    blocks are a cell besides, in which sets of different blocks meet.
+    """
+    many = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo != _hi")
+    rows = rows.join(many.select(F.col("sig").alias("_s"), F.ceil(F.col("_n") / CELL).cast("int").alias("_blocks")).hint("merge"), F.col("sig") == F.col("_s"))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("key", "sig"), F.col("_blocks")).cast("int"))
+    if full:
+        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    else:
+        rows = rows.withColumn("j", F.col("i"))
+    return rows.select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "key", "n", "label", "sizes")
 
 
 def _candidates(rows: DataFrame, sim: Similarity, most: int | None) -> DataFrame:
-    """Of (sig, key, n, label, sizes): pairs (a, b, na, nb) within a signature whose labels differ and whose sizes allow similarity.
+    """Of (sig, key, n, label, sizes): pairs (a, b, na, nb) within a cell whose labels differ and whose sizes allow similarity.
 
     Sizes are the set's and those by range, whose differences bound that of the sets from below. With ``most`` 0 a set is paired with
     the first leader that passes, or leads itself; else with at most so many sets before it, or with all of them where it is None.
     """
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None
-
-        def group(key: np.ndarray, n: np.ndarray, label: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
-            counts = dict(zip(*np.unique(label, return_counts=True), strict=True))
-            if len(counts) < 2:
-                return
-            # the largest label first: what it has needs no comparison within it
-            weight = np.array([counts[x] for x in label])
-            order = np.lexsort((key, n, label, -weight))
-            key, n, label = key[order], n[order].astype(np.int64), label[order]
-            x = np.frombuffer(b"".join(sizes[order].tolist()), np.uint8).reshape(-1, COUNTED).astype(np.int16)
-            lead = np.zeros(len(key), np.int64)
-            leaders = 0
-            for i in range(len(key)):
-                before = lead[:leaders] if most == 0 else np.arange(i)
-                lo, hi = np.minimum(n[before], n[i]), np.maximum(n[before], n[i])
-                j = before[(label[before] != label[i]) & (lo * sim.den >= hi * sim.num)]
-                if len(j):
-                    j = j[np.abs(x[j] - x[i]).sum(1) <= (n[j] + n[i]) * sim.part.numerator // sim.part.denominator]
-                if most == 0:
-                    j = j[:1]
-                    if not len(j):
-                        lead[leaders] = i
-                        leaders += 1
-                elif most and len(j) > most:
-                    j = j[np.argsort(mix(key[j].view(U) ^ U(key[i].view(U))))[:most]]
-                for m in j.tolist():
-                    p, q = (m, i) if key[m] < key[i] else (i, m)
-                    yield key[p], key[q], n[p], n[q]
-
-        def batch_of(found: list[tuple]) -> pa.RecordBatch:
-            c = list(zip(*found, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64).astype(t)) for v, t in zip(c, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["a", "b", "na", "nb"])
-
-        def groups(c: list) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.r_[True, c[0][1:] != c[0][:-1], True])
-            found: list[tuple] = []
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                for one in group(*(x[i:j] for x in c[1:])):
+    def group(block: np.ndarray, key: np.ndarray, n: np.ndarray, label: np.ndarray, x: np.ndarray, apart: bool) -> Iterator[tuple]:
+        n = n.astype(np.int64)  # sorted, so that sets too small for another lie before a place
+        least = np.searchsorted(n * sim.den, n * sim.num, "left")
+        lead = np.zeros(len(key), np.int64)
+        leaders = 0
+        for i in range(len(key)):
+            before = lead[np.searchsorted(lead[:leaders], least[i]) : leaders] if most == 0 else np.arange(least[i], i)
+            j = before[(label[before] != label[i]) & ((block[before] != block[i]) | (not apart))]
+            if len(j):
+                j = j[np.abs(x[j] - x[i]).sum(1) <= (n[j] + n[i]) * sim.part.numerator // sim.part.denominator]
+            if most == 0:
+                j = j[:1]
+                if not len(j):
+                    lead[leaders] = i
+                    leaders += 1
+            elif most and len(j) > most:
+                j = j[np.argsort(mix(key[j].view(U) ^ U(key[i].view(U))))[:most]]
+            for m in j.tolist():
+                p, q = (m, i) if key[m] < key[i] else (i, m)
+                yield key[p], key[q], n[p], n[q]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*found, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64).astype(t)) for v, t in zip(c, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["a", "b", "na", "nb"])
+
+    def cells(c: list) -> Iterator[pa.RecordBatch]:
+        sig, lo, hi = c[:3]
+        cut = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), True])
+        found: list[tuple] = []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if (c[6][i:j] != c[6][i]).any():
+                x = np.frombuffer(b"".join(c[7][i:j].tolist()), np.uint8).reshape(-1, COUNTED).astype(np.int16)
+                for one in group(*(y[i:j] for y in c[3:7]), x, lo[i] != hi[i]):
                     found.append(one)
                     if len(found) >= 20_000:
                         yield batch_of(found)
                         found = []
-            yield batch_of(found)
+        yield batch_of(found)
 
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None
         for batch in batches:
-            c = [batch.column(x).to_numpy() for x in ("sig", "key", "n", "label")]
+            c = [batch.column(y).to_numpy() for y in ("sig", "lo", "hi", "i", "key", "n", "label")]
             c.append(np.array([*batch.column("sizes").to_pylist(), None], object)[:-1])
             if held is not None:
                 c = [np.r_[a, b] for a, b in zip(held, c, strict=True)]
             if not len(c[0]):
                 continue
-            last = int(np.searchsorted(c[0], c[0][-1]))
+            same = (c[0] == c[0][-1]) & (c[1] == c[1][-1]) & (c[2] == c[2][-1])
+            last = int(np.argmax(same))
             if last:
-                yield from groups([x[:last] for x in c])
-            held = [x[last:] for x in c]
+                yield from cells([y[:last] for y in c])
+            held = [y[last:] for y in c]
         if held is not None:
-            yield from groups(held)
+            yield from cells(held)
 
-    # by a hash of sig: dealt by sig itself, a join below would stand in for the exchange and the sort, and may be replaced as it runs
-    dealt = rows.select("sig", "key", "n", "label", "sizes").repartition(F.xxhash64("sig")).sortWithinPartitions("sig")
+    # by a hash of the cell: dealt by sig itself, a join below would stand in for the exchange and the sort, and may be replaced as it runs
+    dealt = _cells(rows, most is None).repartition(F.xxhash64("sig", "lo", "hi")).sortWithinPartitions("sig", "lo", "hi", "n", "key")
     return dealt.mapInArrow(pair, "a long, b long, na int, nb int").distinct()
 
 
@@ -304,29 +348,32 @@ def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction | str | floa
     base = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     profiles = scratch.write("profiles", _profiles(base, k))
     firsts = scratch.write("firsts", profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("own"), F.first("sizes").alias("sizes")))
-    dealt = _signature_rows(base, k, sim).repartition("sig").sortWithinPartitions("sig", "n", "key")
-    shared = scratch.write("shared", dealt.mapInArrow(_shared, "sig long, key long, n int"))
-    shared = scratch.write("sized", shared.join(firsts.select("key", "sizes").hint("merge"), "key"))
-    labels, links, tried = None, None, None
+    dealt = _signature_rows(base, k, sim).repartition("sig").sortWithinPartitions("sig", "key")
+    shared = scratch.write("shared", dealt.mapInArrow(_shared, "sig long, key long, info long, df int"))
+    rows = scratch.write("prefixes", _prefixes(shared).join(firsts.select("key", "sizes").hint("merge"), "key"))
+    scratch.drop(shared)
+    labels, links, tried, spent = None, None, None, [rows]
     # leaders settle most groups; what stays split is compared ever more fully, and in the end with every set that its sizes allow
     for most in (0, 8, None):
-        rows = shared.withColumn("label", F.col("key"))
-        if labels is not None:
-            rows = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-            split = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("sig")
-            rows = rows.join(split, "sig", "left_semi")
-        pairs = _candidates(rows, sim, most)
+        if labels is None:
+            named = rows.withColumn("label", F.col("key"))
+        else:
+            named = rows.join(labels.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        pairs = _candidates(named, sim, most)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
         pairs = scratch.write("pairs", pairs)
+        spent.append(pairs)
         if not pairs.head(1):
             continue
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         sets = _sets_of(base, firsts, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), k, scratch)
         found = scratch.write("links", _links(pairs, sets, sim))
         scratch.drop(sets)
+        spent.append(found)
         links = found if links is None else links.unionByName(found)
         labels = connected(links, scratch)
+    scratch.drop(*spent)
     if labels is None:
         labels = firsts.select(F.col("key").alias("node"), F.col("key").alias("label")).limit(0)
     smallest = firsts.join(labels, F.col("key") == F.col("node"), "left").select("key", "own", F.coalesce("label", "key").alias("label"))

@@ -1,9 +1,10 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
-from paperweave.llm.jaccard_join import Similarity, jaccard_components
+from paperweave.llm.jaccard_join import Similarity, jaccard_components, signatures
 
 from .common import ROWS, frame, lower, plain, rows, words
 
@@ -72,18 +73,43 @@ def test_chain_and_copies(spark):
     assert rows(jaccard_components(plain(spark, texts), 3, Fraction(9, 10))) == brute(texts, 3, Fraction(9, 10))
 
 
+@pytest.mark.parametrize("cell", [2, 5])
+def test_fragments_of_many_sets_are_compared_cell_by_cell(spark, monkeypatch, cell):
+    from paperweave.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    texts = made(4, 60)
+    assert rows(jaccard_components(plain(spark, texts), 3, Fraction(4, 5))) == brute(texts, 3, Fraction(4, 5))
+
+
+@pytest.mark.parametrize("least", [Fraction(9, 10), Fraction(4, 5)])
+def test_similar_sets_share_the_fragments_they_need(least):
+    """At the limit of what may differ, in every size: both sets' keys have at least the needs of both in common, in the larger's class."""
+    r, sim = np.random.default_rng(5), Similarity(least)
+    for n in [3, 8, 40, 100, 127, 128, 200, 300, 700, 1500]:
+        for extra in {0, (sim.largest(n) - n) // 2, sim.largest(n) - n}:
+            a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            swap = max(0, (sim.differ(n, n + extra) - extra) // 2)
+            b = np.unique(np.r_[a[swap:], r.integers(0, 1 << 63, swap + extra, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+            assert sim.similar(n - swap, len(a) + len(b))
+            (x, need_x), (y, need_y) = signatures(a, sim), signatures(b, sim)
+            c = len(b).bit_length() - 1
+            x, need_x, y, need_y = x[x & 63 == c], need_x[x & 63 == c], y[y & 63 == c], need_y[y & 63 == c]
+            assert len(x) and len(y) and len(np.intersect1d(x, y)) >= max(need_x[0], need_y[0])
+
+
 def test_bounds():
     sim = Similarity(Fraction(9, 10))
     assert sim.differ(100, 100) == 10 and sim.largest(9) == 10 and sim.largest(8) == 8
     assert sim.similar(90, 190) and not sim.similar(89, 189)
 
 
-@pytest.mark.parametrize("task_links", [0, 1000])
-def test_components_of_chains_and_stars(spark, task_links):
+@pytest.mark.parametrize("at_once", [1, 1000])
+def test_components_of_chains_and_stars(spark, at_once):
     from paperweave.llm.components import connected
     from paperweave.llm.scratch import Scratch
 
     links = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 20)] + [(110, 15), (300, 299)]
-    got = connected(spark.createDataFrame(links, "a long, b long"), Scratch(spark), task_links)
+    got = connected(spark.createDataFrame(links, "a long, b long"), Scratch(spark), at_once)
     want = {x: 0 for x in [*range(21), *range(100, 120)]} | {299: 299, 300: 299}
     assert {r.node: r.label for r in got.collect()} == want
