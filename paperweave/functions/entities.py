@@ -38,7 +38,7 @@ def type_name(kind: Column) -> Column:
 def dictionary_hits(sentence: Column, terms: list[str]) -> Column:
     """Terms that occur as words of a sentence, in the order of the dictionary."""
     words = F.split(F.translate(sentence, "().,;", "     "), " +", -1)
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.array_contains(words, t))
+    return F.array_intersect(F.array(*[F.lit(t) for t in terms]), words)
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -41,18 +41,21 @@ def considered(rows: DataFrame) -> DataFrame:
     return ranked.withColumn("status", F.when(null, "null key").when(F.col("_r") > 1, "repeated").otherwise("first")).drop("_r")
 
 
-def lookup_with_relatives(pairs: DataFrame, strengths: DataFrame, microbe_relatives: DataFrame, disease_relatives: DataFrame) -> DataFrame:
+def lookup_with_relatives(pairs: DataFrame, strengths: DataFrame, microbe_steps: DataFrame, disease_relatives: DataFrame) -> DataFrame:
     """Of distinct (b_cui, d_cui): the pair's strength, or that of the first pair of two-hop relatives which has one.
 
-    Relatives are (node, relative); the first is that with the smallest microbe, then the smallest disease. Pairs without any keep
-    nulls. Only pairs that the exact join leaves open meet the relatives, and strengths narrow these before diseases are compared.
+    Microbes are (node, via) with each node one hop away, diseases (node, relative) two hops away; the first is that with the smallest
+    microbe, then the smallest disease. Pairs without any keep nulls. Siblings never meet: of the microbes that a node between them
+    joins to a disease the two smallest are kept, one of which is not the pair's own.
     """
     s = strengths.select(F.col("cui_microbe").alias("b_out"), F.col("cui_disease").alias("d_out"), "strength_raw", "strength_if")
     exact = pairs.join(s, (F.col("b_cui") == F.col("b_out")) & (F.col("d_cui") == F.col("d_out")))
     open_ = pairs.join(strengths, (F.col("b_cui") == F.col("cui_microbe")) & (F.col("d_cui") == F.col("cui_disease")), "left_anti")
-    m = microbe_relatives.select(F.col("node").alias("b_cui"), F.col("relative").alias("b_out"))
+    smallest = s.join(microbe_steps, F.col("b_out") == F.col("node"))
+    smallest = smallest.withColumn("_r", F.row_number().over(Window.partitionBy("via", "d_out").orderBy("b_out"))).where("_r <= 2").drop("_r", "node")
     d = disease_relatives.select(F.col("node").alias("d_cui"), F.col("relative").alias("d_out"))
-    near = open_.join(m, "b_cui").join(s, "b_out").join(d, ["d_cui", "d_out"])
+    ways = open_.join(microbe_steps, F.col("b_cui") == F.col("node")).drop("node").join(d, "d_cui")
+    near = ways.join(smallest, ["via", "d_out"]).where("b_out != b_cui")
     near = near.groupBy("b_cui", "d_cui").agg(F.min(F.struct("b_out", "d_out", "strength_raw", "strength_if")).alias("x")).select("b_cui", "d_cui", "x.*")
     found = exact.select("b_cui", "d_cui", "b_out", "d_out", "strength_raw", "strength_if").unionByName(near)
     return pairs.join(found, ["b_cui", "d_cui"], "left")
@@ -69,10 +72,10 @@ def coincidence_weighted(strength: Column, relation: Column) -> Column:
     return F.when((strength != 0) & (relation == "na"), None).otherwise(coincidence(strength, relation))
 
 
-def compare(rows: DataFrame, strengths: DataFrame, microbe_relatives: DataFrame, disease_relatives: DataFrame) -> DataFrame:
+def compare(rows: DataFrame, strengths: DataFrame, microbe_steps: DataFrame, disease_relatives: DataFrame) -> DataFrame:
     """The first row of each pair with what the graph says of it and how the two agree."""
     first = considered(rows).where("status = 'first'").drop("status")
-    found = lookup_with_relatives(first.select("b_cui", "d_cui"), strengths, microbe_relatives, disease_relatives)
+    found = lookup_with_relatives(first.select("b_cui", "d_cui"), strengths, microbe_steps, disease_relatives)
     j = first.join(found, ["b_cui", "d_cui"])
     return j.withColumn("agreement", coincidence(F.col("strength_raw"), F.col("relation"))).withColumn("agreement_if", coincidence_weighted(F.col("strength_if"), F.col("relation")))
 

@@ -44,7 +44,10 @@ def chunk_folds(rows: DataFrame, order: list[str], n: int, merge_last: bool = Tr
 
 
 def stratified_folds(rows: DataFrame, label: str, order: list[str], n: int, filler: object, size: int) -> DataFrame:
-    """Adds ``fold``: every class but the filler is chunked over n folds; the filler tops each fold up to ``size``, the last takes the rest."""
+    """Adds ``fold``: every class but the filler is chunked over n folds; the filler tops each fold up to ``size``, the last takes the rest.
+
+    An integer column leads the order.
+    """
     by_class = Window.partitionBy(label)
     others = rows.where(F.col(label) != F.lit(filler))
     i = F.row_number().over(by_class.orderBy(*order)) - 1
@@ -53,7 +56,7 @@ def stratified_folds(rows: DataFrame, label: str, order: list[str], n: int, fill
     have = others.groupBy("fold").agg(F.count(F.lit(1)).alias("have"))
     folds = rows.sparkSession.range(n).select(F.col("id").alias("fold")).join(have, "fold", "left").withColumn("room", F.greatest(F.lit(size) - F.coalesce("have", F.lit(0)), F.lit(0)))
     ends = folds.withColumn("end", F.sum("room").over(Window.orderBy("fold"))).withColumn("start", F.col("end") - F.col("room")).withColumn("end", F.when(F.col("fold") == n - 1, F.lit((1 << 62))).otherwise(F.col("end")))
-    fill = rows.where(F.col(label) == F.lit(filler)).withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
+    fill = placed(rows.where(F.col(label) == F.lit(filler)), order)
     # n rows of bounds
     fill = fill.join(F.broadcast(ends.select("fold", "start", "end")), (F.col("_i") >= F.col("start")) & (F.col("_i") < F.col("end"))).drop("_i", "start", "end")
     return others.unionByName(fill)
@@ -88,21 +91,21 @@ def hash_split(rows: DataFrame, key: list[str], parts: dict[str, float], seed: i
     return rows.withColumn("split", out.otherwise(names[-1]) if out is not None else F.lit(names[-1]))
 
 
-def negative_pairs(pairs: DataFrame, a: str, b: str, ratio: float = 1.0, seed: int = 0, rounds: int = 3, parts: int = 256) -> DataFrame:
+def negative_pairs(pairs: DataFrame, a: str, b: str, ratio: float = 1.0, seed: int = 0, rounds: int = 3) -> DataFrame:
     """(a, b, strength 0): ends shuffled against each other and no existing pair, ``ratio`` times as many where that many are found.
 
-    Each end of a pair draws a part and a place in it; ends that meet in part and place make a new pair.
+    In each round both columns of ends are ranked without gaps in a hash order of their own, and ends of one rank make a new pair, so
+    each round is a permutation of all ends.
     """
     ends = pairs.select(a, b)
 
-    def drawn(end: str, s: int) -> DataFrame:
-        h = F.xxhash64(F.col(a), F.col(b), F.lit(s))
-        one = ends.select(end, h.alias("_h"), F.pmod(h, F.lit(parts)).alias("_p"))
-        return one.select(end, "_p", F.row_number().over(Window.partitionBy("_p").orderBy("_h", end)).alias("_i"))
+    def ranked(end: str, s: int) -> DataFrame:
+        mixed = ends.select(end, F.xxhash64(F.col(a), F.col(b), F.lit(s)).alias("_h"))
+        return placed(mixed, ["_h", end], "_i", 1 << 54).select(end, "_i")
 
     new = None
     for r in range(rounds):
-        one = drawn(a, seed + 2 * r).join(drawn(b, seed + 2 * r + 1), ["_p", "_i"]).select(a, b)
+        one = ranked(a, seed + 2 * r).join(ranked(b, seed + 2 * r + 1), "_i").select(a, b)
         new = one if new is None else new.unionByName(one)
     fresh = new.distinct().join(ends.distinct(), [a, b], "left_anti")
     return fresh.orderBy(F.xxhash64(F.col(a), F.col(b), F.lit(seed)), a, b).limit(int(ends.count() * ratio)).withColumn("strength", F.lit(0))

@@ -50,8 +50,8 @@ def hops_of(path: DataFrame) -> DataFrame:
 def hop_edges(path: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges (src, dst, type, strength), in either direction, that join consecutive nodes of a path."""
     h = hops_of(path)
-    j = h.join(edges, ((F.col("a") == F.col("src")) & (F.col("b") == F.col("dst"))) | ((F.col("a") == F.col("dst")) & (F.col("b") == F.col("src"))))
-    return j.select("step", "src", "dst", "type", "strength")
+    ways = h.select("step", F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(h.select("step", F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
+    return edges.join(ways, ["src", "dst"]).select("step", "src", "dst", "type", "strength")
 
 
 def alternative_paths(edges: DataFrame, source: str, target: str, most_hops: int = 5, n: int = 5) -> DataFrame:
@@ -72,11 +72,19 @@ def alternative_paths(edges: DataFrame, source: str, target: str, most_hops: int
         walk = cut(step.select(F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array("e")).alias("used")))
         hit = walk.where(F.col("node") == target).select("path")
         done = hit if done is None else done.unionByName(hit)
+        if done.limit(n).count() == n:  # longer paths come later
+            break
     order = [F.size("path"), F.array_join("path", "\t")]
     first = done.orderBy(*order).limit(n).withColumn("number", F.row_number().over(Window.orderBy(*order)))
     return first.select(F.col("number").alias("path_no"), F.posexplode("path").alias("step", "node"))
 
 
+def adjacent(parents: DataFrame) -> DataFrame:
+    """(node, via): every node with each node one hop away, up or down."""
+    e = parents.select("child", "parent")
+    return e.toDF("node", "via").unionByName(e.toDF("via", "node")).distinct()
+
+
 def two_hop_relatives(parents: DataFrame) -> DataFrame:
     """(node, relative) over exactly two different undirected edges of (child, parent): grandparents, grandchildren, siblings, co-parents."""
     e = parents.distinct().select("child", "parent")

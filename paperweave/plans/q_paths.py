@@ -65,7 +65,7 @@ def node_upsert(spark, sf_dir):
 
 # ---- hierarchies --------------------------------------------------------------------------------------------------------------
 
-_BRANDS = f"{MICROBE_PARENTS}, parents AS (SELECT * FROM microbe_parents WHERE child LIKE 'b%' UNION ALL SELECT * FROM disease_parents)"
+_ALL_PARENTS = f"{MICROBE_PARENTS}, parents AS (SELECT * FROM microbe_parents UNION ALL SELECT * FROM disease_parents)"
 
 
 @query(
@@ -89,7 +89,7 @@ def lineage_first_child(spark, sf_dir):
 
 
 @query(
-    f"""WITH {DISEASE_PARENTS}, {_BRANDS}, e AS (SELECT child AS x, parent AS y, child, parent FROM parents UNION ALL SELECT parent, child, child, parent FROM parents)
+    f"""WITH {DISEASE_PARENTS}, {_ALL_PARENTS}, e AS (SELECT child AS x, parent AS y, child, parent FROM parents UNION ALL SELECT parent, child, child, parent FROM parents)
     SELECT DISTINCT o.x AS node, t.y AS relative FROM e o JOIN e t ON o.y = t.x AND NOT (o.child = t.child AND o.parent = t.parent)"""
 )
 def two_hop_relatives(spark, sf_dir):
@@ -194,7 +194,7 @@ def top_predicted_links(spark, sf_dir):
 
 _WORDS = {"O": "positive", "F": "negative"}
 _EXT = """ext AS (SELECT CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_partkey % 2200 END AS b_cui, l_suppkey % 27 AS d_cui,
-CASE WHEN l_returnflag = 'N' AND l_linenumber < 3 THEN 'na' WHEN l_linestatus = 'O' THEN 'positive' ELSE 'negative' END AS relation, l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS seq FROM lineitem WHERE l_linenumber <= 4)"""
+CASE WHEN l_returnflag = 'N' AND l_linenumber < 3 THEN 'na' WHEN l_linestatus = 'O' THEN 'positive' ELSE 'negative' END AS relation, l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS seq FROM lineitem)"""
 
 
 def _external(spark, sf_dir):
@@ -246,10 +246,10 @@ def _compared(spark, sf_dir):
     g = GraphView(spark, sf_dir)
     ext = _external(spark, sf_dir)
     rows = ext.withColumn("seq", F.struct("seq", "relation"))
-    near = lambda parents, letter: P.two_hop_relatives(parents).where(f"node LIKE '{letter}%' AND relative LIKE '{letter}%'").select(F.substring("node", 2, 20).try_cast("long").alias("node"), F.substring("relative", 2, 20).try_cast("long").alias("relative"))
-    m = near(g.microbe_parents.where("child LIKE 'p%'"), "p")
-    d = near(g.disease_parents.where("child LIKE 'n%'"), "n")
-    return ext, rows, O.compare(rows, g.strengths, m, d).withColumn("seq", F.col("seq")["seq"]), g
+    cui = lambda c: F.substring(c, 2, 20).try_cast("long")
+    steps = P.adjacent(g.microbe_parents).where("node LIKE 'p%'").select(cui("node").alias("node"), "via")
+    d = P.two_hop_relatives(g.disease_parents.where("child LIKE 'n%'")).where("node LIKE 'n%' AND relative LIKE 'n%'").select(cui("node").alias("node"), cui("relative").alias("relative"))
+    return ext, rows, O.compare(rows, g.strengths, steps, d).withColumn("seq", F.col("seq")["seq"]), g
 
 
 @query(f"WITH {_FIRST} SELECT * FROM cmp")

@@ -11,7 +11,7 @@ from .registry import query, table
 
 _BL = "chr(32) || chr(9) || chr(13) || chr(11) || chr(12) || chr(10)"
 _PROTECT = r"regexp_replace({0}, '([0-9]+)\.([0-9]+)', '\1_\2', 'g')"
-_SENT = rf"""s0 AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({_PROTECT.format("lower(substr(text, 1, 1000000))")}, '[.!?*\n]'), lambda x: trim(x, {_BL})), lambda x: length(x) > 1) AS l FROM documents),
+_SENT = rf"""s0 AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({_PROTECT.format("lower(text)")}, '[.!?*\n]'), lambda x: trim(x, {_BL})), lambda x: length(x) > 1) AS l FROM documents),
 sent AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq, translate(l[i], '-/|', '   ') AS sentence FROM s0, unnest(range(1, len(l) + 1)) t(i)
 UNION ALL SELECT doc_id, NULL, '' FROM s0 WHERE len(l) = 0)"""
 
@@ -107,7 +107,7 @@ def span_overlap_filter(spark, sf_dir):
     return N.resolve_overlaps(_entities(spark, sf_dir)).select("doc_id", "seq", F.array_join(F.array_sort("diseases"), ",").alias("diseases"))
 
 
-@query("SELECT p_partkey, p_type AS disease, p_name AS bacteria FROM part WHERE lower(p_type) NOT IN ('disease', 'diseases') AND lower(p_name) NOT IN ('bacteria', 'bacterias', 'probiotic', 'probiotics') AND p_size % 2 = 0")
+@query("SELECT p_partkey, p_type AS disease, p_name AS bacteria FROM part WHERE lower(p_type) NOT IN ('disease', 'diseases') AND lower(p_name) NOT IN ('bacteria', 'bacterias', 'probiotic', 'probiotics')")
 def stop_entities(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("disease"), F.col("p_name").alias("bacteria"))
     return N.no_stop_entities(p)
@@ -124,8 +124,8 @@ def semantic_types(spark, sf_dir):
 
 @query(
     """WITH c AS (SELECT p_partkey, unnest([{'k': 0, 'n': p_name}, {'k': 1, 'n': p_brand}, {'k': 2, 'n': lower(p_type)}]) AS c FROM part),
-    n AS (SELECT p_name AS name, min(p_partkey) AS tax_id FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 40 GROUP BY p_name
-          UNION ALL SELECT p_brand, min(p_partkey) + 100000 FROM part WHERE p_brand < 'Brand#2' GROUP BY p_brand)
+    n AS (SELECT p_name AS name, min(p_partkey) AS tax_id FROM part GROUP BY p_name
+          UNION ALL SELECT p_brand, min(p_partkey) + 100000 FROM part GROUP BY p_brand)
     SELECT part.p_partkey, f.tax_id FROM part LEFT JOIN (SELECT p_partkey, arg_min(tax_id, c.k) AS tax_id FROM c JOIN n ON c.n = n.name GROUP BY p_partkey) f USING (p_partkey)"""
 )
 def synonym_cascade(spark, sf_dir):
@@ -146,9 +146,9 @@ def best_candidate(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_SENT}, w AS (SELECT doc_id, seq, string_split(sentence, ' ') AS w FROM sent WHERE seq = 0),
-    tok AS (SELECT doc_id, i AS word, j AS pos, w[i][j * 3 + 1 : j * 3 + 3] AS token, (i + j) % 3 AS prediction FROM w, unnest(range(1, len(w) + 1)) t(i), unnest(range(0, (length(w[i]) + 2) // 3)) u(j))
-    SELECT doc_id AS sentence, word, string_agg(token, '' ORDER BY pos) AS text, CAST(ceil(avg(prediction)) AS BIGINT) AS prediction FROM tok GROUP BY doc_id, word"""
+    f"""WITH {_SENT}, w AS (SELECT doc_id, seq, string_split(sentence, ' ') AS w FROM sent WHERE seq IS NOT NULL),
+    tok AS (SELECT doc_id, seq, i AS word, j AS pos, w[i][j * 3 + 1 : j * 3 + 3] AS token, (i + j) % 3 AS prediction FROM w, unnest(range(1, len(w) + 1)) t(i), unnest(range(0, (length(w[i]) + 2) // 3)) u(j))
+    SELECT doc_id, seq, word, string_agg(token, '' ORDER BY pos) AS text, CAST(ceil(avg(prediction)) AS BIGINT) AS prediction FROM tok GROUP BY doc_id, seq, word"""
 )
 def token_to_word(spark, sf_dir):
     w = _sentences(spark, sf_dir).where("seq IS NOT NULL").select("doc_id", "seq", F.posexplode(F.split("sentence", " ", -1)).alias("i", "w")).where("w != ''")
@@ -179,7 +179,7 @@ def answer_label(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.answer_label(F.expr(_TAGGED_SPARK)).alias("label"))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN contains(lower(t), 'yes') THEN 'yes' WHEN contains(lower(t), 'no') THEN 'no' ELSE trim(t, {_BL}) END AS answer FROM (SELECT conv_id, turn, substr(text, 1, 40) AS t FROM conversations)")
+@query(f"SELECT conv_id, turn, CASE WHEN contains(lower(t), 'yes') THEN 'yes' WHEN contains(lower(t), 'no') THEN 'no' ELSE trim(t, {_BL}) END AS answer FROM (SELECT conv_id, turn, text AS t FROM conversations)")
 def yes_no(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.yes_no(F.col("text")).alias("answer"))
 
