@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import q_eval, q_graph, q_paths, q_text, q_vectors  # noqa: F401  importing registers
+from .plans import q_eval, q_experiments, q_graph, q_paths, q_platform, q_text, q_vectors  # noqa: F401  importing registers
 from .plans.registry import ORACLES, QUERIES, Query
 
 

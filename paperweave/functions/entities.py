@@ -86,6 +86,33 @@ def best_candidate(mentions: DataFrame, aliases: DataFrame, key: str, order: lis
     return mentions.join(best, key, "left")
 
 
+def similar_first(candidates: DataFrame, mention: str, place: str, least: float = 0.9) -> DataFrame:
+    """Of (mention, place, similarity, tui): the first candidate of each mention, if it is more similar than ``least`` and a bacterium."""
+    first = candidates.withColumn("_r", F.row_number().over(Window.partitionBy(mention).orderBy(place))).where("_r = 1").drop("_r")
+    return first.where((F.col("similarity") > least) & accepted(F.col("tui"), False))
+
+
+def closest_candidate(rows: DataFrame, cui: str, candidate: str, distance: Column) -> DataFrame:
+    """(cui, candidate): the closest of several, a single one as it is, null where there is none; ties to the smallest."""
+    best = F.row_number().over(Window.partitionBy(cui).orderBy(distance.asc_nulls_last(), candidate))
+    return rows.withColumn("_r", best).where("_r = 1").select(cui, candidate)
+
+
+def merged_words(words: Column, predicted: Column) -> Column:
+    """Distinct hits among the words: two predicted ones in a row as one, else a word by itself unless the hit before contains it; the
+    last word always."""
+    n = F.size(words)
+
+    def step(hits: Column, i: Column) -> Column:
+        w, after = F.get(words, i), F.get(words, i + 1)
+        pair = (i < n - 1) & F.array_contains(predicted, after)
+        alone = (i == n - 1) | (F.size(hits) == 0) | ~F.contains(F.element_at(hits, -1), w)
+        more = F.when(pair, F.array(F.concat(w, F.lit(" "), after))).when(alone, F.array(w)).otherwise(F.array().cast("array<string>"))
+        return F.concat(hits, F.when(F.array_contains(predicted, w), more).otherwise(F.array().cast("array<string>")))
+
+    return F.array_distinct(F.aggregate(F.sequence(F.lit(0), n - 1), F.array().cast("array<string>"), step))
+
+
 def synonym_cascade(entities: DataFrame, key: str, candidates: Column, names: DataFrame) -> DataFrame:
     """(key, tax_id): that of the first candidate name which ``names`` (name, tax_id) has; null where it has none."""
     each = entities.select(key, F.posexplode(candidates).alias("priority", "name"))

@@ -47,6 +47,12 @@ def related_publications(evidence: DataFrame, key: str, cui: int) -> DataFrame:
     return evidence.where(F.col(key) == cui).select("pmid", "year", "journal", "rel_type").distinct()
 
 
+def publications_by_year(evidence: DataFrame, key: str, cui: int) -> DataFrame:
+    """The same in the order of years, each year's numbered by pmid."""
+    place = F.row_number().over(Window.partitionBy("year").orderBy("pmid", "rel_type"))
+    return related_publications(evidence, key, cui).withColumn("place", place).orderBy("year", "place")
+
+
 def one_hop(strengths: DataFrame, parents: DataFrame, cui: str, n: int = 50) -> DataFrame:
     """Neighbourhood over strength and parent edges in their own direction, relation as text; at most n, in order of the edge."""
     s = strengths.select(F.concat(F.lit("p"), F.col("cui_microbe").cast("string")).alias("source"), F.concat(F.lit("n"), F.col("cui_disease").cast("string")).alias("target"), F.col("strength_raw").cast("string").alias("relation"))

@@ -111,6 +111,12 @@ def lineages(parents: DataFrame, most: int = 50) -> DataFrame:
     return out
 
 
+def ranked_lineages(taxa: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Lineages of taxa (child, parent, tax_id) with the rank of each ancestor, from ranks (node, rank); entries without a taxon are dropped."""
+    lines = lineages(taxa.where("tax_id IS NOT NULL").select("child", "parent"))
+    return lines.join(ranks.select(F.col("node").alias("ancestor"), "rank"), "ancestor", "left").select("node", "line", "step", "ancestor", "rank")
+
+
 def descents(parents: DataFrame, most: int = 50) -> DataFrame:
     """The same downwards: a line per direct child, from there always on to the smallest child."""
     return lineages(parents.select(F.col("parent").alias("child"), F.col("child").alias("parent")), most)

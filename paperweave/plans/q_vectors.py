@@ -117,8 +117,10 @@ def walk_word2vec(spark, sf_dir):
 
 @query()
 def metapath_word2vec(spark, sf_dir):
-    e = _weighted(spark, sf_dir).withColumn("type", F.when(F.col("a").startswith("p"), "to_disease").otherwise("to_microbe"))
-    return G.walk_embeddings(G.random_walks(e, metapath=["to_disease", "to_microbe"] * 2))
+    e = _weighted(spark, sf_dir).select("a", "b", F.when(F.col("a").startswith("p"), "to_disease").otherwise("to_microbe").alias("type"))
+    up = GraphView(spark, sf_dir).disease_parents.where("child LIKE 'n%'").select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit("to_parent").alias("type"))
+    e = e.unionByName(up).unionByName(up.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("to_child").alias("type")))
+    return G.walk_embeddings(G.random_walks(e, metapath=["to_disease", "to_parent", "to_child", "to_microbe"]))
 
 
 @query()
@@ -130,15 +132,16 @@ def neighbour_mean(spark, sf_dir):
 
 @query()
 def link_prediction(spark, sf_dir):
-    from ..operators.folds import negative_pairs
-
+    """For each sign a model of its own, judged on pairs held out, and the ten likeliest partners of each microbe among pairs that the
+    graph does not have and no model was trained on."""
     g = GraphView(spark, sf_dir)
-    s = g.strengths.where("strength_raw > 0").select(F.concat(F.lit("p"), F.col("cui_microbe").cast("string")).alias("m"), F.concat(F.lit("n"), F.col("cui_disease").cast("string")).alias("d"))
     emb = G.fastrp(_weighted(spark, sf_dir))
-    none = negative_pairs(s, "m", "d").select("m", "d", F.lit(0.0).alias("label"))
-    data = G.pair_features(s.withColumn("label", F.lit(1.0)).unionByName(none), emb, emb, "m", "d").select("m", "d", "features", "label").persist()
-    model, _ = G.train_link_prediction(data)
-    return G.predict_links(model, data.where("label = 0").drop("label"), "m")
+    pairs = g.strengths.select(F.concat(F.lit("p"), F.col("cui_microbe").cast("string")).alias("m"), F.concat(F.lit("n"), F.col("cui_disease").cast("string")).alias("d"), "strength_raw")
+    out = None
+    for kind, x in (("POSITIVE", pairs.where("strength_raw > 0")), ("NEGATIVE", pairs.where("strength_raw < 0"))):
+        found = G.predict_unseen(x.select("m", "d"), pairs.select("m", "d"), emb).withColumn("type", F.lit(kind))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query(f"WITH {STRENGTHS} SELECT cui_microbe, cui_disease, CAST(sign(strength_raw) AS INTEGER) AS regressor, CASE WHEN strength_raw > 0 THEN 2 WHEN strength_raw < 0 THEN 1 ELSE 0 END AS ternary, CASE WHEN strength_raw <> 0 THEN 1 ELSE 0 END AS existence FROM strengths")

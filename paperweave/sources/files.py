@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -56,6 +58,26 @@ def run_name(model: str, dataset: str, k: int, few_shot: int = 0, alternatives:
     return f"{model}_{dataset}_k{k}_shots{few_shot}" + "_ALT" * alternatives + "_COT" * chain + "_CONF" * confidence
 
 
+def run_names(model: Column, dataset: Column, k: Column, shots: Column, alternatives: Column, chain: Column, confidence: Column) -> Column:
+    """The same over columns."""
+    suffixes = [F.when(c, s).otherwise("") for c, s in ((alternatives, "_ALT"), (chain, "_COT"), (confidence, "_CONF"))]
+    return F.concat(model, F.lit("_"), dataset, F.lit("_k"), k.cast("string"), F.lit("_shots"), shots.cast("string"), *suffixes)
+
+
+class Memo:
+    """Results by name and parameters, written once below a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def get(self, name: str, params: dict, build: Callable[[], DataFrame]) -> DataFrame:
+        key = hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()[:16]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}-{key}/_SUCCESS")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            build().write.mode("overwrite").parquet(f"{self.folder}/{name}-{key}")
+        return self.spark.read.parquet(f"{self.folder}/{name}-{key}")
+
+
 class RunStore:
     """Results of a run by row, resumable: rows that are stored are not asked for again."""
 
@@ -74,5 +96,11 @@ class RunStore:
     def pending(self, rows: DataFrame, key: str) -> DataFrame:
         return rows.join(self.done().select(key), key, "left_anti")
 
-    def append(self, results: DataFrame) -> None:
+    def append(self, results: DataFrame, dialogues: DataFrame | None = None) -> None:
         results.write.mode("append").parquet(f"{self.path}/results")
+        if dialogues is not None:
+            dialogues.write.mode("append").json(f"{self.path}/dialogues")
+
+    def index(self) -> int:
+        """How many rows are done."""
+        return self.done().count()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ARTICLE = "_id string, title string, publication_date string, abstract string, journal string, doi string, authors array<string>, issn string"
-#: Articles that one window's search returns at most.
+#: Articles that one search returns at most; what a window has beyond is asked for from there on.
 MOST_HITS = 9999
 
 
@@ -47,7 +47,8 @@ class Window(InputPartition):
 class LiteratureSource(DataSource):
     """spark.read.format("literature").option("client", "module:function").option("windows", "2020-01-01/2020-02-01,...").load()
 
-    The client takes (start, end) and yields rows of ``ARTICLE``; each window is a partition.
+    The client takes (start, end, first, most) and yields at most so many rows of ``ARTICLE`` from the first on, in an order that stays;
+    each window is a partition, and is read page by page to its end.
     """
 
     @classmethod
@@ -73,15 +74,18 @@ class _Reader(DataSourceReader):
 
         module, _, name = self.client.partition(":")
         client: Callable = getattr(importlib.import_module(module), name)
-        for i, row in enumerate(client(window.start, window.end)):
-            if i >= MOST_HITS:
+        at = 0
+        while True:
+            page = list(client(window.start, window.end, at, MOST_HITS))
+            yield from map(tuple, page)
+            at += len(page)
+            if len(page) < MOST_HITS:
                 return
-            yield tuple(row)
 
 
-def stub_client(start: str, end: str) -> Iterator[tuple]:
+def stub_client(start: str, end: str, first: int = 0, most: int = MOST_HITS) -> Iterator[tuple]:
     """Three articles a window, made from its start."""
-    for i in range(3):
+    for i in range(first, min(3, first + most)):
         yield (f"{start}-{i}", f"Title {i}", start[:4], f"Abstract {i} of {start}.", "Journal", None, ["A. Author"], None)
 
 
