@@ -39,15 +39,31 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = small_batches(spark), f"{shared_folder(spark)}/paperweave-{uuid.uuid4().hex}", 0
 
-    def write(self, name: str, frame: DataFrame) -> DataFrame:
+    def write(self, name: str, frame: DataFrame, *parts: str) -> DataFrame:
+        """The frame as a table of its own, in a folder for each value of the ``parts`` columns, which then come last."""
         self.n += 1
         path = f"{self.root}/{name}-{self.n}"
-        frame.write.mode("overwrite").parquet(path)
+        frame.write.mode("overwrite").partitionBy(*parts).parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def write_bucketed(self, name: str, frame: DataFrame, buckets: int, *by: str) -> DataFrame:
+        """A table dealt into buckets by columns and sorted by them, so that joins on them move none of its rows."""
+        self.n += 1
+        path, table = f"{self.root}/{name}-{self.n}", f"paperweave_{uuid.uuid4().hex}"
+        frame.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(table)
+        out = self.spark.table(table)
+        out._scratch_path, out._scratch_table = path, table
+        return out
+
+    def plain(self, table: DataFrame) -> DataFrame:
+        """A written table without regard to its buckets."""
+        return self.spark.read.schema(table.schema).parquet(table._scratch_path)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
+            if name := t.__dict__.get("_scratch_table"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
