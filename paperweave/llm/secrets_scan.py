@@ -2,7 +2,7 @@
 
 Patterns give the base spans. Long base64 and hexadecimal runs, armoured keys and dotted tokens are candidates besides; one is reported
 only if it decodes and what it decodes to has the structure of a key: nested DER lengths that fill their parents exactly, the
-length-prefixed fields of an SSH key, or a signed token's JSON header.
+length-prefixed fields of an SSH key, a signed token's JSON header, or the parameters of an encrypted key.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z0-9-]+:[^\n]*\n)*)([A-Za-z0-9+/=\s]*?)-----END \1-----")
+#: Bytes of a block of the ciphers that encrypted armour names.
+_CIPHERS = {"DES": 8, "AES": 16, "CAMELLIA": 16, "ARIA": 16, "SEED": 16, "SM4": 16, "BF": 8, "RC2": 8, "IDEA": 8, "CAST5": 8}
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
@@ -42,9 +44,9 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def der_elements(data: bytes, depth: int = 0) -> int | None:
-    """Elements of DER that fill ``data`` exactly, constructed ones being followed inside; None where it is no such thing."""
-    at, n = 0, 0
+def der_tags(data: bytes, depth: int = 0) -> list[int] | None:
+    """Tags of the DER elements that fill ``data`` exactly, those inside constructed ones included; None where it is no such thing."""
+    at, tags = 0, []
     while at < len(data):
         if len(data) - at < 2 or depth > 16:
             return None
@@ -58,22 +60,32 @@ def der_elements(data: bytes, depth: int = 0) -> int | None:
             at += more
         if at + size > len(data):
             return None
+        tags.append(tag)
         if tag & 0x20:
-            inner = der_elements(data[at : at + size], depth + 1)
+            inner = der_tags(data[at : at + size], depth + 1)
             if inner is None:
                 return None
-            n += inner
+            tags += inner
         at += size
-        n += 1
-    return n
+    return tags
 
 
 def is_der_key(data: bytes | None) -> bool:
-    """A SEQUENCE over all of ``data`` with at least two elements, integers, object identifiers or octets among them."""
+    """A SEQUENCE over all of ``data`` with at least two elements, an integer, object identifier or octet string among them."""
     if not data or len(data) < 16 or data[0] != 0x30:
         return False
-    n = der_elements(data)
-    return n is not None and n >= 3 and any(t in data for t in (b"\x02", b"\x04", b"\x06"))
+    tags = der_tags(data)
+    return tags is not None and len(tags) >= 3 and any(t in (0x02, 0x04, 0x06) for t in tags)
+
+
+def is_encrypted_key(headers: str, body: bytes | None) -> bool:
+    """Headers that name a cipher and its first block, and a body of whole blocks."""
+    found = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in headers.splitlines())}
+    name, _, first = found.get("dek-info", "").partition(",")
+    block = _CIPHERS.get(name.strip().upper().partition("-")[0])
+    if "ENCRYPTED" not in found.get("proc-type", "") or block is None or not body or len(body) % block:
+        return False
+    return re.fullmatch(r"(?:[0-9A-Fa-f]{2})+", first.strip()) is not None and len(first.strip()) // 2 == block
 
 
 def is_ssh_key(data: bytes | None) -> bool:
@@ -115,11 +127,10 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            body = unbase64(m[2])
-            if is_der_key(body) or is_ssh_key(body):
+            body = unbase64(m[3])
+            if is_der_key(body) or is_ssh_key(body) or is_encrypted_key(m[2], body):
                 out.append((m.start(), m.end(), "pem"))
-    if "eyJ" in text or "ewo" in text or "eyA" in text:
-        out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_token(m[1], m[2])]
+    out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_token(m[1], m[2])]
     for m in _B64.finditer(text):
         data = unbase64(m[0])
         kind = "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None

@@ -3,6 +3,8 @@ import hashlib
 import json
 import re
 
+import pytest
+
 from paperweave.llm import secrets_scan as S
 
 from .common import ROWS, frame
@@ -37,6 +39,27 @@ def test_structure_confirms():
     assert kinds(f"bearer {JWT}.") == ["jwt"]
 
 
+@pytest.mark.parametrize("head", ['{"alg":"HS256"}', '{\t"alg":"HS256"}', '{\r\n"alg":"HS256"}', ' \n{"typ":"JWT","alg":"none"}'])
+def test_token_headers_however_they_are_written(head):
+    token = f"{b64url(head.encode())}.{b64url(b'{}')}.{b64url(bytes(32))}"
+    assert S.confirmed_spans(f"see {token} there") == [(4, 4 + len(token), "jwt")]
+
+
+def test_encrypted_armour_by_its_parameters():
+    body = base64.b64encode(bytes(range(64))).decode()
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: {},{}\n\n{}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(key.format("AES-128-CBC", "0F" * 16, body)) == ["pem"]
+    assert kinds(key.format("DES-EDE3-CBC", "0F" * 8, body)) == ["pem"]
+    assert kinds(key.format("AES-128-CBC", "0F" * 8, body)) == []
+    assert kinds(key.format("AES-128-CBC", "0F" * 16, base64.b64encode(bytes(30)).decode())) == []
+    assert kinds(key.format("ROT13", "0F" * 16, body)) == []
+
+
+def test_tags_are_parsed_and_not_just_met():
+    strings = der(0x30, der(0x0C, b"\x02\x04\x06 and text") + der(0x0C, b"more text here"))
+    assert S.der_tags(strings) == [0x30, 0x0C, 0x0C] and not S.is_der_key(strings) and S.is_der_key(KEY)
+
+
 def test_structure_refuses():
     broken = base64.b64encode(KEY[:-3]).decode()
     assert kinds(f"key {broken} end") == []
