@@ -1,13 +1,15 @@
-"""Token counts of whole texts, huge ones by overlap resynchronisation.
+"""Token counts of whole texts, long ones by overlap resynchronisation.
 
 A text longer than a chunk is encoded in overlapping chunks with token offsets. Two neighbouring chunks are spliced at a boundary that
 both have and that is proven stable: a place where pre-tokenisation starts anew whatever stands before it, so that the tokens left of
-it depend on the left chunk alone and those right of it on the right one. An overlap without such a place is widened.
+it depend on the left chunk alone and those right of it on the right one. Such places are the beginnings of white space and the changes
+between letters, digits and other characters. An overlap without one is widened, and where there is none at all the chunk is doubled.
 """
 
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -22,7 +24,7 @@ from .scratch import small_batches
 from .textops import runs
 
 #: Characters of a chunk, and those that two chunks share at first.
-CHUNK, OVERLAP = 65_536, 256
+CHUNK, OVERLAP = 4_096, 64
 LIMIT = 512
 #: Texts handed to the library at once, in bytes.
 CALL_BYTES = 256 << 10
@@ -58,58 +60,96 @@ class Encoder:
         self.fast = tiktoken.Encoding(Path(path).stem, pat_str=split, mergeable_ranks=ranks, special_tokens=special)
         self.special = special
         self.marks = tuple(special)
+        sizes = {i: len(t) for t, i in ranks.items()} | {i: len(t.encode()) for t, i in special.items()}
+        self.sizes = np.zeros(max(sizes) + 1, np.int64)
+        self.sizes[list(sizes)] = list(sizes.values())
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """First and end character of each token, a token of part of a character having that character."""
         return self.slow.encode(text, add_special_tokens=False).offsets
 
-    def count_plain(self, text: str) -> int:
+    def _plain(self, text: str) -> list[int]:
         if any(m in text for m in self.marks):
-            return len(self.fast.encode(text, allowed_special="all"))
-        return len(self.fast.encode_ordinary(text))
+            return self.fast.encode(text, allowed_special="all")
+        return self.fast.encode_ordinary(text)
+
+    def count_plain(self, text: str) -> int:
+        return len(self._plain(text))
+
+    def plain_spans(self, text: str) -> np.ndarray:
+        """The same as ``spans``, by the second encoder."""
+        size = self.sizes[np.array(self._plain(text), np.int64)]
+        end = np.cumsum(size)
+        start = end - size
+        if len(text) < (end[-1] if len(end) else 0):
+            of = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1  # the character of each byte
+            start, end = of[start], of[end - 1] + 1
+        return np.stack([start, end], 1)
 
     def count_batch(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _kind(c: str) -> str:
+    """L, N, S for a letter, a number or white space, O for others; empty where versions of Unicode do not agree."""
+    k = unicodedata.category(c)
+    if k != unicodedata.ucd_3_2_0.category(c) or k == "Cn":
+        return ""
+    return "S" if c.isspace() else k[0] if k[0] in "LN" else "O"
+
+
 def stable_cuts(text: str, marks: tuple[str, ...]) -> Callable[[int], bool]:
-    """Whether splitting starts anew at a place: a single space after a letter or digit and before a letter or digit, in no special token."""
+    """Whether splitting starts anew at a place, in no special token.
+
+    White space begins there, or letters, digits and other characters change. A letter after an apostrophe is none, as it may
+    belong to a contraction, and so are the information separators, which not all libraries count as white space.
+    """
 
     def stable(i: int) -> bool:
-        if not 0 < i < len(text) - 1 or text[i] != " " or not text[i - 1].isalnum() or not text[i + 1].isalnum():
+        if not 0 < i < len(text) or "\x1c" <= text[i] <= "\x1f" or "\x1c" <= text[i - 1] <= "\x1f":
+            return False
+        before, after = _kind(text[i - 1]), _kind(text[i])
+        if not before or not after or before in ("S", after) or (text[i - 1] == "'" and after == "L"):
             return False
         return not any(text.startswith(m, j) for m in marks for j in range(max(0, i - len(m) + 1), i + 1))
 
     return stable
 
 
-def count_long(text: str, spans: Callable[[str], list[tuple[int, int]]], marks: tuple[str, ...], chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text, counted over overlapping chunks."""
+def count_long(text: str, spans: Callable[[str], np.ndarray | list[tuple[int, int]]], marks: tuple[str, ...], chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """Tokens of a text, counted over overlapping chunks. Each chunk is encoded once, but where it is doubled or an overlap widened."""
+
+    def tokens(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.asarray(spans(text[a:b]), np.int64).reshape(-1, 2) + a
+        return at[:, 0], at[:, 1]
+
     if len(text) <= chunk:
         return len(spans(text))
     stable = stable_cuts(text, marks)
-    total, start, begin = 0, 0, 0  # tokens before ``start`` are counted; the current chunk begins at ``begin``
-    here = spans(text[:chunk])
-    end = chunk
+    total, start, end, size = 0, 0, chunk, chunk  # tokens before ``start`` are counted
+    here = tokens(0, chunk)
     while end < len(text):
-        wide = overlap
-        while True:
+        wide, cut, tried = overlap, None, end
+        while cut is None and tried > start + 1:
             left = max(start, end - wide)
+            place = next((i for i in range(tried - 1, left, -1) if stable(i)), None)
+            if place is None:
+                tried, wide = left + 1, wide * 4
+                continue
             stop = min(len(text), end + chunk)
-            there = spans(text[left:stop])
-            mine = {s + begin for s, _ in here} & {e + begin for _, e in here}
-            both = mine & {s + left for s, _ in there}
-            cut = next((i for i in sorted(both, reverse=True) if left < i < end and stable(i)), None)
-            if cut is not None or left == start:
-                break
-            wide *= 4
-        if cut is None:  # not one stable place since the last splice: the chunk itself grows
-            end = min(len(text), end + chunk)
-            here, begin = spans(text[start:end]), start
+            there = tokens(left, stop)
+            if (here[0] == place).any() and (here[1] == place).any() and (there[0] == place).any():
+                cut = place
+            else:  # not aligned after all
+                tried, wide = place, wide * 4
+        if cut is None:
+            size *= 2
+            end = min(len(text), start + size)
+            here = tokens(start, end)
             continue
-        total += sum(start <= s + begin < cut for s, _ in here)
-        start, here, begin, end = cut, there, left, stop
-    return total + sum(s + begin >= start for s, _ in here)
+        total += int(((here[0] >= start) & (here[0] < cut)).sum())
+        start, here, end, size = cut, there, stop, chunk
+    return total + int((here[0] >= start).sum())
 
 
 @lru_cache(maxsize=2)
@@ -146,9 +186,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, chunk: in
                 n = np.zeros(len(texts), np.int64)
                 other = []
                 for i, t in enumerate(texts):
+                    plain = at[i] == at[i + 1] or data[at[i] : at[i + 1]].max() <= PLAIN_BYTE
                     if len(t) > chunk:
-                        n[i] = count_long(t, encoder.spans, encoder.marks, chunk, overlap)
-                    elif at[i] == at[i + 1] or data[at[i] : at[i + 1]].max() <= PLAIN_BYTE:
+                        n[i] = count_long(t, encoder.plain_spans if plain else encoder.spans, encoder.marks, chunk, overlap)
+                    elif plain:
                         n[i] = encoder.count_plain(t)
                     else:
                         other.append(i)

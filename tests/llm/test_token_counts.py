@@ -60,3 +60,32 @@ def test_rows(spark, library):
         want.append((r[0], len((r[1] or "").encode()), n, n > 512))
     assert got == sorted(want, key=repr)
     assert C.count_tokens(frame(spark, []), vocabulary()).count() == 0
+
+
+def test_plain_spans_are_the_librarys(encoder):
+    for t in ("Don't stop, 12 naïve cafés <|endoftext|> ß\n\n  end", "plain ascii only", "é", ""):
+        assert [tuple(x) for x in encoder.plain_spans(t).tolist()] == encoder.spans(t)
+
+
+def test_stable_places_split_anew_whatever_stands_before(library):
+    """At a stable place the count of the whole is the sum of the parts' counts."""
+    r = random.Random(9)
+    pieces = ["river", "12", " ", "  ", "\n", "\t ", "é", "'s", "'", "!?", "…", "漢", "。", "ー", "١٢", "Ⅷ", "²", "\u00a0", "\u3000", "🙂", "\x1f", "\x85", "ʼ", "̈", "<|endoftext|>", "don't", "'ll"]
+    for _ in range(300):
+        text = "".join(r.choice(pieces) for _ in range(12))
+        stable = C.stable_cuts(text, ("<|endoftext|>",))
+        for i in range(1, len(text)):
+            if stable(i):
+                assert count(library, text[:i]) + count(library, text[i:]) == count(library, text), (text, i)
+
+
+@pytest.mark.parametrize("text", ["漢字かな交じり文。" * 2000, "ไทย" * 6000, "a" * 20_000, "=" * 20_000, "ab1" * 7000])
+def test_long_texts_without_blanks(encoder, library, text):
+    sent = []
+
+    def spans(t):
+        sent.append(len(t))
+        return encoder.spans(t)
+
+    assert C.count_long(text, spans, encoder.marks) == count(library, text)
+    assert sum(sent) <= 3 * len(text)
