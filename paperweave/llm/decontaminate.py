@@ -8,7 +8,7 @@ be a window at p - o, which must lie within the text; there the window's words a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import pick
-from .scratch import small_batches
+from .scratch import Scratch, small_batches
 from .textops import LOWER, NOT_ALNUM, U, row_slices, runs, shingles, word_bounds, word_hashes
 
 WINDOW = 10
@@ -44,9 +44,9 @@ class Block:
     ids: list
 
 
-def item_blocks(items: list[tuple[object, str | None]], window: int, block_words: int) -> list[Block]:
-    blocks, todo = [], []
-    held = 0
+def item_blocks(items: Iterable[tuple[object, str | None]], window: int, block_words: int) -> Iterator[Block]:
+    """Blocks of items with words, each made when it is asked for."""
+    todo, held = [], 0
     for ident, text in items:
         raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
         low, starts, ends, _ = alnum_words(raw, np.array([0, len(raw)]))
@@ -55,11 +55,10 @@ def item_blocks(items: list[tuple[object, str | None]], window: int, block_words
             todo.append((ident, w))
             held += len(w)
         if held >= block_words:
-            blocks.append(_block(todo, window))
+            yield _block(todo, window)
             todo, held = [], 0
     if todo:
-        blocks.append(_block(todo, window))
-    return blocks
+        yield _block(todo, window)
 
 
 def _block(items: list[tuple[object, np.ndarray]], window: int) -> Block:
@@ -82,13 +81,9 @@ def _grams(words: np.ndarray, k: int, rows: np.ndarray | None = None) -> tuple[n
     return h[at], at
 
 
-def _lengths(blocks: list[Block], shingle: int) -> list[int]:
-    return sorted({int(min(shingle, s)) for b in blocks for s in np.unique(b.size)})
-
-
-def rarities(docs: DataFrame, blocks: list[Block], shingle: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By shingle length: the benchmark's shingles and how often each occurs in all of ``docs``. As many rows as the benchmark has."""
-    wanted = {k: np.unique(np.concatenate([_grams(b.words, k)[0] for b in blocks])) for k in _lengths(blocks, shingle)}
+def rarities(docs: DataFrame, block: Block, shingle: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By shingle length: the block's shingles and how often each occurs in all of ``docs``. As many rows as the block has."""
+    wanted = {k: np.unique(_grams(block.words, k)[0]) for k in sorted({int(min(shingle, n)) for n in np.unique(block.size)})}
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +105,7 @@ def rarities(docs: DataFrame, blocks: list[Block], shingle: int) -> dict[int, tu
     counts = {k: np.zeros(len(v), np.int64) for k, v in wanted.items()}
     for r in docs.mapInArrow(count, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.k][r.i] = r.n
+    sent.unpersist()
     return {k: (wanted[k], counts[k]) for k in wanted}
 
 
@@ -165,14 +161,14 @@ def window_hits(words: np.ndarray, at: np.ndarray, rows: np.ndarray, probe: Prob
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-_COLUMNS = "n_words long, spans array<struct<start: long, end: long, item: long>>"
+_COLUMNS = "n_words long, spans array<struct<start: long, end: long, item: string>>"
 
 
-def _scan(docs: DataFrame, probe: Probe, first_block: bool, base: int) -> DataFrame:
-    """Adds or extends n_words and spans (word start, word end, place of the item), with the text for the next block."""
+def _scan(docs: DataFrame, probe: Probe, first_block: bool) -> DataFrame:
+    """Adds or extends n_words and spans (word start, word end, item_id as text), with the text for the next block."""
     sent = docs.sparkSession.sparkContext.broadcast(probe)
     schema = "doc_id long, text string, " + _COLUMNS
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.int64())]))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.string())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,33 +180,33 @@ def _scan(docs: DataFrame, probe: Probe, first_block: bool, base: int) -> DataFr
                 b = sent.value.block
                 row = rows[start] if len(start) else start
                 spans: list[list] = part.column(3).to_pylist() if not first_block else [[] for _ in range(part.num_rows)]
-                for r, s, e, i in sorted(set(zip(row.tolist(), (start - cut[row]).tolist(), (start - cut[row] + b.size[win]).tolist(), (b.item[win] + base).tolist(), strict=True))):
-                    spans[r].append({"start": s, "end": e, "item": i})
+                for r, s, e, i in sorted(set(zip(row.tolist(), (start - cut[row]).tolist(), (start - cut[row] + b.size[win]).tolist(), b.item[win].tolist(), strict=True))):
+                    spans[r].append({"start": s, "end": e, "item": str(b.ids[i])})
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(cut)), pa.array(spans, kind)], ["doc_id", "text", "n_words", "spans"])
 
     return docs.mapInArrow(scan, schema)
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list]:
-    """Rows of (doc_id, text, n_words, spans) and the item_ids that the spans' item numbers stand for.
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows of (doc_id, text, n_words, spans), spans being word ranges that a window of an item covers, with the item_id as text.
 
-    Items are read on the driver in blocks of ``block_words`` words; evaluation sets are small beside a corpus, and a larger one costs
-    one more scan step a block, in the same stage and without a shuffle.
+    Items come from the cluster one by one and are joined in blocks of ``block_words`` words: no more than one block and a longest item
+    stand on the driver, or in a broadcast, at once. With a block to follow, what a block has found is written first.
     """
     small_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    items = [(r[0], r[1]) for r in pick(benchmark, "item_id", "text").where(F.col("item_id").isNotNull()).distinct().sort("item_id", "text").toLocalIterator()]
-    blocks = item_blocks(items, window, block_words)
-    if not blocks:
-        blocks = [Block(np.zeros(0, U), *[np.zeros(0, np.int64)] * 3, [])]
-        rarity = {}
-    else:
-        rarity = rarities(docs, blocks, shingle)
-    ids: list = []
-    for i, b in enumerate(blocks):
-        docs = _scan(docs, probes(b, rarity, shingle), i == 0, len(ids))
-        ids += b.ids
-    return docs, ids
+    base, scratch = docs, Scratch(docs.sparkSession)
+    items = pick(benchmark, "item_id", "text").where(F.col("item_id").isNotNull()).distinct().sort("item_id", "text")
+    first, written = True, None
+    for block in item_blocks(((r[0], r[1]) for r in items.toLocalIterator()), window, block_words):
+        if not first:
+            docs, old = scratch.write("found", docs), written
+            written = docs
+            if old is not None:
+                scratch.drop(old)
+        docs = _scan(docs, probes(block, rarities(base, block, shingle), shingle), first)
+        first = False
+    return _scan(docs, Probe(Block(np.zeros(0, U), *[np.zeros(0, np.int64)] * 3, []), {}), True) if first else docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -222,12 +218,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     items without an id are left out. Repeated rows of ``docs`` are scanned one by one; other columns are not read. An empty
     ``docs`` gives no rows, an empty ``benchmark`` clean rows.
     """
-    found, ids = contaminated_spans(docs, benchmark, window, shingle, block_words)
-    sent = docs.sparkSession.sparkContext.broadcast([str(i) for i in ids])
+    found = contaminated_spans(docs, benchmark, window, shingle, block_words)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = sent.value
         for batch in batches:
             hit, items = [], []
             for spans in batch.column("spans").to_pylist():
@@ -236,7 +230,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                     covered += max(0, s["end"] - max(end, s["start"]))
                     end = max(end, s["end"])
                 hit.append(covered)
-                items.append(sorted({names[s["item"]] for s in spans}))
+                items.append(sorted({s["item"] for s in spans}))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([h > 0 for h in hit], pa.bool_())],
                 ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"],

@@ -59,3 +59,18 @@ def test_awkward_rows(spark):
     none = decontaminate(frame(spark), spark.createDataFrame([], "item_id long, text string"))
     assert none.where("contaminated").count() == 0 and none.count() == len(ROWS)
     assert decontaminate(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_no_more_than_a_block_is_held(monkeypatch, spark):
+    """A benchmark of many blocks is read item by item, and only one block is probed for at a time."""
+    from paperweave.llm import decontaminate as D
+
+    texts, items = made(3)
+    seen, probes = [], D.probes
+    monkeypatch.setattr(D, "probes", lambda block, *a: seen.append(len(block.words)) or probes(block, *a))
+    given = iter(items)
+    first = next(D.item_blocks(given, 10, 30))
+    assert 30 <= len(first.words) < 30 + 25 and next(given, None) is not None
+    got = decontaminate(plain(spark, texts[:20]), spark.createDataFrame(items, "item_id long, text string"), block_words=60).drop("items")
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(texts[:20], items)
+    assert len(seen) > 2 and max(seen) < 60 + 25
