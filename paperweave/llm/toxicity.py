@@ -87,22 +87,25 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3)
 
 
+def emissions(c: str, last: str) -> list[tuple[str, float]]:
+    """What an observed character, after another, may stand for, nothing being '', and at what cost."""
+    if c.isalpha():
+        return [(c, 0.0), ("", REPEATS)] if c == last else [(c, 0.0)]
+    if c.isspace():
+        return [(" ", 0.0), ("", JOINS)]
+    return [*((x, RESEMBLES) for x in LOOKALIKES.get(c, "")), ("", DROPS_DIGIT if c.isdigit() else DROPS), (" ", GAP)]
+
+
 def viterbi(observed: str, model: np.ndarray) -> str:
-    """The likeliest letters and gaps behind ``observed`` (lower case)."""
+    """The likeliest letters and gaps behind ``observed`` (lower case).
+
+    Where all paths meet in one state what lies behind it is settled, so the paths held are as long as a stretch in doubt.
+    """
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # last two classes: cost, path
-    last = ""
+    last, out = "", []
     for c in observed:
-        emits: list[tuple[str, float]] = []
-        if c.isalpha():
-            emits.append((c, 0.0))
-            if c == last:
-                emits.append(("", REPEATS))
-        elif c.isspace():
-            emits += [(" ", 0.0), ("", JOINS)]
-        else:
-            emits += [(x, RESEMBLES) for x in LOOKALIKES.get(c, "")]
-            emits += [("", DROPS_DIGIT if c.isdigit() else DROPS), (" ", GAP)]
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        emits = emissions(c, last)
         for (a, b), (cost, path) in states.items():
             for e, extra in emits:
                 if not e:
@@ -112,13 +115,22 @@ def viterbi(observed: str, model: np.ndarray) -> str:
                     key, total, way = (b, k), cost + extra + model[a, b, k], (e, path)
                 if key not in new or total < new[key][0]:
                     new[key] = total, way
+        if len(new) == 1:
+            ((key, (cost, path)),) = new.items()
+            out += reversed(_emitted(path))
+            new = {key: (cost, None)}
         states, last = new, c
-    path = min(((cost + model[a, b, 0], way) for (a, b), (cost, way) in states.items()), key=lambda x: x[0])[1]
+    out += reversed(_emitted(min(((cost + model[a, b, 0], way) for (a, b), (cost, way) in states.items()), key=lambda x: x[0])[1]))
+    return "".join(out)
+
+
+def _emitted(path: tuple | None) -> list[str]:
+    """Letters of a path, the last first."""
     out = []
     while path is not None:
         out.append(path[0])
         path = path[1]
-    return "".join(reversed(out))
+    return out
 
 
 class Restorer:
@@ -135,8 +147,7 @@ class Restorer:
                 core = token[0] + core
             if _SEPARATE.fullmatch(core):  # single characters apart are one word
                 core = "".join(c for c in core if c.isalnum() or c in "@$!|+€£")
-            # a token without blanks that is longer than any word is decoded in pieces of 64
-            found = tuple(w for i in range(0, len(core), 64) for w in _PIECES.findall(viterbi(core[i : i + 64], self.model))) if _SUSPECT.search(core) or any(c in LOOKALIKES for c in core) and any(c.isalpha() for c in core) else tuple(_PIECES.findall(core))
+            found = tuple(_PIECES.findall(viterbi(core, self.model))) if _SUSPECT.search(core) or any(c in LOOKALIKES for c in core) and any(c.isalpha() for c in core) else tuple(_PIECES.findall(core))
             if len(self.known) >= self.memory:
                 self.known.clear()
             self.known[token] = found
@@ -150,9 +161,8 @@ class Restorer:
                 run.append(t)
             else:
                 if len(run) >= 3 and len(set(run)) > 1:
-                    for i in range(0, len(run), 64):
-                        yield from _PIECES.findall(viterbi(" ".join(run[i : i + 64]), self.model))
-                        yield from _PIECES.findall(viterbi("".join(run[i : i + 64]), self.model))
+                    yield from _PIECES.findall(viterbi(" ".join(run), self.model))
+                    yield from _PIECES.findall(viterbi("".join(run), self.model))
                 run = []
 
     def words(self, text: str) -> set[str]:

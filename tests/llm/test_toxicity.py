@@ -63,3 +63,61 @@ def test_awkward_rows(spark, tables):
 def test_logistic_fit_separates():
     w, b = T.fit_logistic([(1, [0]), (1, [0, 1]), (0, [1]), (0, [])] * 20, 2)
     assert w[0] > 2 and b < 0 and abs(w[1]) < w[0] and np.isfinite(w).all()
+
+
+def cheapest(observed, model):
+    """Every path through the lattice, tried one by one."""
+    best = None
+
+    def walk(i, a, b, cost, out):
+        nonlocal best
+        if i == len(observed):
+            cost += model[a, b, 0]
+            if best is None or cost < best[0] - 1e-12:
+                best = cost, {"".join(out)}
+            elif abs(cost - best[0]) <= 1e-12:
+                best[1].add("".join(out))
+            return
+        for e, extra in T.emissions(observed[i], observed[i - 1] if i else ""):
+            if e:
+                k = 0 if e == " " else T.letter_class(e)
+                walk(i + 1, b, k, cost + extra + model[a, b, k], [*out, e])
+            else:
+                walk(i + 1, a, b, cost + extra, out)
+
+    walk(0, 0, 0, 0.0, [])
+    return best[1]
+
+
+def test_viterbi_equals_trying_every_path(tables):
+    model = T.language_model(T.letter_counts(tables[0]))
+    r = random.Random(4)
+    for _ in range(150):
+        text = "".join(r.choice("stoneidm1034!@$*. ooé") for _ in range(r.randrange(1, 9)))
+        assert T.viterbi(text, model) in cheapest(text, model), text
+
+
+def test_long_disguise_is_one_word(tables):
+    """A disguised word is found wherever it stands in a token of any length."""
+    restorer = T.Restorer(T.language_model(T.letter_counts(tables[0])))
+    for before in range(55, 70):
+        assert "idiot" in restorer.words("garden" * (before // 6) + "." * (before % 6) + "-" + "1d10t" + "-river")
+    assert "idiot" in " ".join(restorer.restore(" ".join("river" * 12 + "x") + " i d i o t").split())
+
+
+def test_logistic_fit_is_the_minimum():
+    """No step in any direction makes the penalised loss smaller."""
+    r = random.Random(6)
+    rows = [(int(r.random() < 0.4), sorted(r.sample(range(4), r.randrange(4)))) for _ in range(60)]
+    w, b = T.fit_logistic(rows, 4)
+
+    def loss(v):
+        z = [v[4] + sum(v[i] for i in ids) for _, ids in rows]
+        return sum(np.log1p(np.exp(x)) - y * x for x, (y, _) in zip(z, rows, strict=True)) + 0.15 * sum(x * x for x in v[:4])
+
+    best = [*w, b]
+    for i in range(5):
+        for step in (-0.05, 0.05):
+            near = list(best)
+            near[i] += step
+            assert loss(near) >= loss(best) - 1e-6
