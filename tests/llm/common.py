@@ -1,6 +1,9 @@
 """Plain versions of what the operators compute, and rows that are awkward."""
 
 import re
+import struct
+
+import xxhash
 
 BLANK_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -45,3 +48,21 @@ def plain(spark, texts):
 
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+class Int(int):
+    """A 32-bit integer."""
+
+
+def xxhash64(*values):
+    """Spark's hash of columns: each value's hash seeds the next one's, and nulls change nothing."""
+    h = 42
+    for v in values:
+        if v is not None:
+            body = v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, Int) else "<q", v)
+            h = xxhash.xxh64_intdigest(body, seed=h)
+    return h
+
+
+def uniform(*values):
+    return ((xxhash64(*values) >> 11) + 0.5) / 2.0**53

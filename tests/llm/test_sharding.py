@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperweave.llm.sharding import even_tree, grown, place, shard_documents
 
-from .common import ROWS, frame
+from .common import ROWS, Int, frame, uniform
 
 
 def test_slots_are_gapless_and_growth_moves_into_the_new_shard_only(spark):
@@ -43,3 +44,25 @@ def test_rows(spark):
 def test_trees():
     assert sum(len(k) for r in even_tree(40) for k in r) == 40 and sum(len(k) for r in even_tree(3) for k in r) == 3
     assert grown(even_tree(40))[:-1] == even_tree(40)
+
+
+def descended(key, tree, seed=0):
+    """The shard of a key, drawn level by level."""
+
+    def drawn(weights, *path):
+        return min(range(len(weights)), key=lambda j: (-math.log(uniform(key, *path, Int(j))) / weights[j], j))
+
+    region = drawn([sum(map(sum, r)) for r in tree], Int(seed), "region")
+    rack = drawn([sum(k) for k in tree[region]], Int(seed), "rack", Int(region))
+    shard = drawn(tree[region][rack], Int(seed), "shard", Int(region), Int(rack))
+    return sum(len(k) for r in tree[:region] for k in r) + sum(map(len, tree[region][:rack])) + shard
+
+
+def test_shards_equal_the_draws_carried_out(spark):
+    ids = [*range(300), -5, 2**62, None]
+    docs = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
+    tree = even_tree(40)
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in shard_documents(docs).collect()}
+    assert got == {i: (descended(i, tree), descended(i, grown(tree))) for i in ids}
+    uneven = [[[1.0, 3.0], [2.0]], [[4.0], [0.5, 0.5, 0.5]]]
+    assert all(r.s == descended(r.id, uneven, 7) for r in place(spark.range(500), "id", "s", uneven, 7).collect())
