@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-import corpus_pipeline as P
 from paperweave.operators import graph_ml as G
 
 
@@ -91,35 +90,6 @@ def test_lsh_finds_nearly_all_of_the_nearest(spark, size):
     assert sum(len(best[q] & got[q]) for q in best) >= 0.9 * sum(map(len, best.values()))
 
 
-LONG = " ".join(f"w{i}" for i in range(60))
-OTHER = " ".join(f"v{i}" for i in range(60))
-DOCS = [(None, "here is the leak now"), (None, "clean words"), (1, "a leak again"), (1, "other clean words"), (2, LONG), (3, LONG + " z"), (3, OTHER), (None, LONG), (None, None), (4, ""), (None, OTHER + " t")]
-
-
-@pytest.fixture()
-def corpus(spark, tmp_path):
-    spark.createDataFrame([(1, "leak")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    return spark.createDataFrame(DOCS, "doc_id long, text string"), str(tmp_path)
-
-
-def left(frame):
-    return sorted((tuple(r) for r in frame.collect()), key=repr)
-
-
-def test_pipeline_drops_contaminated_rows_alone(spark, corpus):
-    assert left(P.drop_contaminated(spark, *corpus)) == sorted((r for r in DOCS if "leak" not in (r[1] or "")), key=repr)
-
-
-def test_pipeline_drops_near_duplicate_rows_alone(spark, corpus):
-    gone = [(3, LONG + " z"), (None, LONG), (None, OTHER + " t")]
-    assert left(P.keep_one_of_near_duplicates(spark, *corpus)) == sorted((r for r in DOCS if r not in gone), key=repr)
-
-
-def test_pipeline_finds_nothing_toxic_without_labels(spark, corpus):
-    assert left(P.drop_toxic(spark, *corpus)) == sorted(DOCS, key=repr)
-
-
 def test_sentences_reach_past_a_million_characters(spark, tmp_path):
     spark.createDataFrame([(1, "word " * 220_000 + ". The LAST one.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r[1:] for r in run(spark, tmp_path, "sentence_split")][-1] == (1, "the last one")
