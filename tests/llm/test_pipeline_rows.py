@@ -54,7 +54,7 @@ BAD = [(None, "idiot and moron here"), (None, "a quiet river"), (1, "you idiot m
 
 @pytest.fixture()
 def taught(spark, tmp_path):
-    rows = [(100 + i, "the idiot moron said" if i % 5 == 0 else "the quiet river and the garden") for i in range(90)]
+    rows = [(100 + i, "the idiot moron said" if i % 5 == 0 else f"the {chr(97 + i % 26)}{chr(97 + i // 26)}q") for i in range(90)]
     spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     return spark.createDataFrame(rows + BAD, "doc_id long, text string"), str(tmp_path), rows + BAD
 
