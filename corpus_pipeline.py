@@ -56,7 +56,11 @@ def _without(wide: DataFrame, names: list[str], rows: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose restored text scores below the threshold; all rows where the labels teach nothing that tells texts apart."""
+    """Rows whose restored text scores below the threshold; all rows where the labels teach nothing that tells texts apart.
+
+    A row is judged by its text alone, whatever its doc_id: null and empty texts score as texts without any feature do, long ones are
+    read whole, repeated rows go or stay together. Labels are joined by doc_id, null ones teach nothing. No documents give none.
+    """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not model.weights:
         return docs
@@ -65,7 +69,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest doc_id; rows that share it all stay. Rows without any words stay."""
+    """Of each group of near duplicates the row with the smallest doc_id; rows that share it all stay. Rows without any words stay.
+
+    Rows are told apart by a key of their own. A null doc_id is never the smallest, so such rows go where another of the group has an
+    id, and all stay where none has. Texts of any length are compared whole; null and empty ones are nobody's duplicate.
+    """
     wide, names = _keyed(docs)
     found = jaccard_components(_texts(wide, names), NEAR_WORDS, NEAR_LEAST).where(F.col("n_shingles") > 0)
     found = Scratch(spark).write("found", found.select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_group")))
@@ -78,14 +86,22 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no window of a benchmark item occurs."""
+    """Rows in which no window of a benchmark item occurs.
+
+    Each row goes for its own text, whatever its doc_id; null and empty texts have no window and stay, texts of any length are read
+    whole. An empty benchmark drops nothing.
+    """
     wide, names = _keyed(docs)
     found = decontaminate(_texts(wide, names), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(wide, names, found.where("contaminated").select("doc_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as its source's target weight asks for."""
+    """Each row as often as its source's target weight asks for, 0 to 3 times.
+
+    A null source is one of its own. Null and empty texts have size 0 and are drawn at their source's rate, like others; a source of
+    such texts alone gives none. Rows alike in doc_id, source and size share out what they are drawn in the order of their texts.
+    """
     wide, names = numbered(docs)
     ident, source, text = (_place(names, c) for c in ("doc_id", "source", "text"))
     key = F.xxhash64(F.col("doc_id"), F.col("source"), F.col("size"))
@@ -100,7 +116,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each row goes: 40 shards by a hierarchical weighted hash tree."""
+    """Where each row goes: 40 shards by a hierarchical weighted hash tree.
+
+    doc_id decides, so rows that share one, or have none, share a shard and take a slot each. A null text has size 16 and CRC 0.
+    """
     return shard_documents(docs)
 
 
