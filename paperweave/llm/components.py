@@ -48,22 +48,21 @@ def _stars(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Recor
 def connected(links: DataFrame, scratch: Scratch, at_once: int = AT_ONCE) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): the smallest node it can reach.
 
-    Each task first replaces its links by stars, which have the same components. Then each round takes the smallest label among
-    neighbours and then the label's own label, so long chains shorten by halves; the last round changes nothing.
+    Each task first replaces its links by stars, which have the same components. While any edge has two labels, a round takes the smallest
+    label among neighbours and then the label's own label, so long chains shorten by halves.
     """
-    stars = scratch.write("stars", links.select("a", "b").mapInArrow(lambda batches: _stars(batches, at_once), "a long, b long"))
-    both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    both = scratch.write("edges", both)
+    stars = links.select("a", "b").mapInArrow(lambda batches: _stars(batches, at_once), "a long, b long")
+    ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = scratch.write("edges", stars.select(F.inline(ways)).distinct())
     labels = scratch.write("labels", both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
-    scratch.drop(stars)
     while True:
+        near = both.where("u < v").join(labels.toDF("u", "_u"), "u").join(labels.toDF("v", "_v"), "v")
+        if not near.where("_u != _v").head(1):
+            scratch.drop(both)
+            return labels
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels.node == near.u).select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
-        step = scratch.write("step", step)
-        up = step.select(F.col("node").alias("parent"), F.col("label").alias("top"))
-        new = scratch.write("labels", step.join(up, step.label == up.parent, "left").select("node", F.least("label", "top").alias("label"), "old"))
+        step = scratch.write("step", labels.join(near, labels.node == near.u).select("node", F.least("label", "m").alias("label")))
+        up = step.toDF("parent", "top")
+        new = scratch.write("labels", step.join(up, step.label == up.parent, "left").select("node", F.least("label", "top").alias("label")))
         scratch.drop(step, labels)
         labels = new
-        if not new.where("label < old").head(1):
-            scratch.drop(both)
-            return labels.select("node", "label")
