@@ -6,17 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def placed(rows: DataFrame, order: list[str], out: str = "_i", span: int = 1 << 16) -> DataFrame:
-    """Adds each row's place, from 0, in an order that an integer column leads.
+#: Spans of values in which rows are ranked in parallel.
+SPANS = 1024
 
-    Rows are ranked within spans of the leading column, in parallel, and the spans' counts are added up; no task sees all rows.
+
+def span_of(rows: DataFrame, column: str, spans: int = SPANS) -> tuple[int, int]:
+    """(least value, width) of so many equal spans over an integer column."""
+    lo, hi = rows.agg(F.min(column), F.max(column)).first() or (None, None)
+    return (0, 1) if lo is None else (int(lo), (int(hi) - int(lo)) // spans + 1)
+
+
+def placed(rows: DataFrame, order: list[str], out: str = "_i") -> DataFrame:
+    """Adds each row's place, from 0, in an order that an integer column leads; rows without a value of it come first.
+
+    Rows are ranked within ``SPANS`` spans of the leading column, in parallel, and the spans' counts are added up; no task sees all rows.
     """
-    lead = F.floor(F.col(order[0]) / span)
-    parts = rows.withColumn("_p", lead)
+    least, width = span_of(rows, order[0])
+    lead = F.floor((F.col(order[0]).cast("decimal(20,0)") - F.lit(least)) / F.lit(width)).cast("int")
+    parts = rows.withColumn("_p", F.coalesce(lead, F.lit(-1)))
     firsts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     firsts = firsts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_first"))
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return parts.withColumn("_r", rank).join(firsts, "_p").withColumn(out, F.col("_first") + F.col("_r") - 1).drop("_p", "_r", "_first")
+    # at most SPANS + 1 rows
+    return parts.withColumn("_r", rank).join(F.broadcast(firsts), "_p").withColumn(out, F.col("_first") + F.col("_r") - 1).drop("_p", "_r", "_first")
 
 
 def counted(rows: DataFrame, out: str = "_n") -> DataFrame:
@@ -26,7 +38,7 @@ def counted(rows: DataFrame, out: str = "_n") -> DataFrame:
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds a rank in a reproducible random order."""
-    return placed(rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), ["_h", key], "rank", 1 << 54).drop("_h")
+    return placed(rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), ["_h", key], "rank").drop("_h")
 
 
 def chunk_folds(rows: DataFrame, order: list[str], n: int, merge_last: bool = True) -> DataFrame:
@@ -101,7 +113,7 @@ def negative_pairs(pairs: DataFrame, a: str, b: str, ratio: float = 1.0, seed: i
 
     def ranked(end: str, s: int) -> DataFrame:
         mixed = ends.select(end, F.xxhash64(F.col(a), F.col(b), F.lit(s)).alias("_h"))
-        return placed(mixed, ["_h", end], "_i", 1 << 54).select(end, "_i")
+        return placed(mixed, ["_h", end]).select(end, "_i")
 
     new = None
     for r in range(rounds):

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import placed
+
 
 def node_by_property(nodes: DataFrame, prop: str, value) -> DataFrame:
     """First node, by cui, whose property equals a value."""
@@ -79,16 +81,10 @@ def both_orientations(parents: DataFrame) -> DataFrame:
     return parents.select(F.col("child").alias("a"), F.col("parent").alias("b")).unionAll(parents.select(F.col("parent").alias("a"), F.col("child").alias("b")))
 
 
-def surrogate_ids(nodes: DataFrame, key: str, span: int = 1 << 16) -> DataFrame:
-    """(key, id) with ids from 0 in the order of an integer key.
-
-    Keys are numbered within spans of values, in parallel; a prefix sum over the spans' counts gives each its first id.
-    """
-    keys = nodes.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_p", F.floor(F.col(key) / span))
-    firsts = keys.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    firsts = firsts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(key))
-    return keys.withColumn("_r", rank).join(firsts, "_p").select(key, (F.col("_first") + F.col("_r") - 1).alias("id"))
+def surrogate_ids(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, id) with ids from 0 in the order of an integer key, numbered in parallel."""
+    keys = nodes.where(F.col(key).isNotNull()).select(key).distinct()
+    return placed(keys, [key], "id").select(key, "id")
 
 
 def map_ids(edges: DataFrame, key: str, ids: DataFrame, out: str) -> DataFrame:

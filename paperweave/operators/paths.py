@@ -22,7 +22,7 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = 15) -> DataFrame
         frontier = cut(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
         if not frontier.head(1):
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # each level is written once
     return seen
 
 
