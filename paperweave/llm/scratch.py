@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,8 +38,31 @@ def small_batches(spark: SparkSession) -> SparkSession:
 class Scratch:
     """Named Parquet tables below a folder of their own; a table that is no longer read can be dropped."""
 
+    #: Where tables are made while ``passing`` is open.
+    _open: list[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = small_batches(spark), f"{shared_folder(spark)}/paperweave-{uuid.uuid4().hex}", 0
+        if self._open:
+            self._open[-1].append(self)
+
+    @classmethod
+    @contextmanager
+    def passing(cls) -> Iterator[None]:
+        """All tables made inside are deleted at the end; what is to stay must be written to a folder made outside."""
+        cls._open.append([])
+        try:
+            yield
+        finally:
+            for made in cls._open.pop():
+                made.clear()
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def write(self, name: str, frame: DataFrame, *parts: str) -> DataFrame:
         """The frame as a table of its own, in a folder for each value of the ``parts`` columns, which then come last."""
@@ -65,5 +90,4 @@ class Scratch:
         for t in tables:
             if name := t.__dict__.get("_scratch_table"):
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch_path)

@@ -111,3 +111,16 @@ def test_stages_on_clashing_columns(spark, corpus):
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, wide, folder)
         assert out.columns == wide.columns and {tuple(r[2:]) for r in out.collect()} == {("a", "r", 1, True, 2, "other")}
+
+
+def test_run_leaves_only_its_last_table(spark, corpus, tmp_path, monkeypatch):
+    from paperweave.llm import scratch
+
+    docs, folder = corpus
+    docs.withColumn("source", F.lit("a")).write.parquet(f"{folder}/documents.parquet")
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr(scratch, "shared_folder", lambda spark: str(shared))
+    assert P.run(spark, folder).count() > 0
+    left = [p for p in shared.glob("*/*")]
+    assert [p.name.rstrip("0123456789") for p in left] == ["source_mixing-"]
