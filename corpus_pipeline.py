@@ -136,9 +136,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again in the folder that executors share."""
-    scratch = Scratch(spark)
+    """All stages over documents, each written and read again in the folder that executors share; what a stage made besides goes."""
+    scratch, last = Scratch(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(name, stage(spark, docs, sf_dir))
+        with Scratch.passing():
+            docs = scratch.write(name, stage(spark, docs, sf_dir))
+        if last is not None:
+            scratch.drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
