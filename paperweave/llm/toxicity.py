@@ -32,6 +32,8 @@ NOISE = "*.-_~^'`´·,;:/\\#%&=\"<>[]{})?"
 RESEMBLES, REPEATS, DROPS, DROPS_DIGIT, JOINS, GAP = 0.7, 1.2, 0.9, 9.0, 0.4, 0.7
 LETTERS = 28  # classes: gap, a to z, any other letter
 OTHER = 27
+#: Characters after which decoded paths are compared and what they share is settled.
+SETTLE = 256
 
 _SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][0-9@$!|+(€£*.\-_~^'`´·/\\#%&=]+[^\W\d_]|[0-9@$!|+(€£][^\W\d_]{2,}|[^\W\d_]{2,}[0-9@$|+€£](?![0-9@$|+€£])")
 _PIECES = re.compile(r"[^\W\d_]+")
@@ -96,14 +98,15 @@ def emissions(c: str, last: str) -> list[tuple[str, float]]:
     return [*((x, RESEMBLES) for x in LOOKALIKES.get(c, "")), ("", DROPS_DIGIT if c.isdigit() else DROPS), (" ", GAP)]
 
 
-def viterbi(observed: str, model: np.ndarray) -> str:
+def viterbi(observed: str, model: np.ndarray, settle: int = SETTLE) -> str:
     """The likeliest letters and gaps behind ``observed`` (lower case).
 
-    Where all paths meet in one state what lies behind it is settled, so the paths held are as long as a stretch in doubt.
+    Where all paths meet in one state what lies behind it is settled, and after every ``settle`` characters so is what they have in
+    common; so the paths held are about as long as a stretch in doubt, however long the text is.
     """
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # last two classes: cost, path
     last, out = "", []
-    for c in observed:
+    for i, c in enumerate(observed, 1):
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         emits = emissions(c, last)
         for (a, b), (cost, path) in states.items():
@@ -119,11 +122,35 @@ def viterbi(observed: str, model: np.ndarray) -> str:
             ((key, (cost, path)),) = new.items()
             out += reversed(_emitted(path))
             new = {key: (cost, None)}
+        elif i % settle == 0:
+            new = _settled(new, out)
         states, last = new, c
     out += reversed(_emitted(min(((cost + model[a, b, 0], way) for (a, b), (cost, way) in states.items()), key=lambda x: x[0])[1]))
     return "".join(out)
 
 
+def _settled(states: dict[tuple[int, int], tuple[float, tuple | None]], out: list[str]) -> dict[tuple[int, int], tuple[float, tuple | None]]:
+    """The states without what all their paths begin with, which goes to ``out``."""
+    steps = []
+    for _, path in states.values():
+        nodes = []
+        while path is not None:
+            nodes.append(path)
+            path = path[1]
+        steps.append(nodes[::-1])
+    same = 0
+    while all(len(x) > same and x[same] is steps[0][same] for x in steps):
+        same += 1
+    out += [x[0] for x in steps[0][:same]]
+    left = {}
+    for (key, (cost, _)), nodes in zip(states.items(), steps, strict=True):
+        path = None
+        for x in nodes[same:]:
+            path = (x[0], path)
+        left[key] = cost, path
+    return left
+
+
 def _emitted(path: tuple | None) -> list[str]:
     """Letters of a path, the last first."""
     out = []
@@ -253,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: in
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen[y].update({f for w in restorer.words(text.as_py() or "") for f in features(w)})
-            if len(seen[0]) + len(seen[1]) > 200_000:
+            if len(seen[0]) + len(seen[1]) > 100_000:
                 yield _counted(seen)
                 seen = (Counter(), Counter())
         yield _counted(seen)
@@ -288,7 +315,7 @@ def _counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
 
 
 class Scorer:
-    def __init__(self, model: Model, memory: int = 100_000):
+    def __init__(self, model: Model, memory: int = 50_000):
         # tokens are remembered with their features, so the restorer need not remember them too
         self.restorer, self.model, self.memory = Restorer(model.letters, 1), model, memory
         self.known: dict[str, tuple[str, ...]] = {}

@@ -121,3 +121,27 @@ def test_logistic_fit_is_the_minimum():
             near = list(best)
             near[i] += step
             assert loss(near) >= loss(best) - 1e-6
+
+
+@pytest.mark.parametrize("settle", [1, 7, 64])
+def test_settling_paths_changes_nothing(tables, settle):
+    model = T.language_model(T.letter_counts(tables[0]))
+    r = random.Random(settle)
+    for text in ("".join(r.choice("stoneidm1034!@$*. ooé") for _ in range(400)), " ".join(r.choice("stoneidm10") for _ in range(400)), "1" * 300, "i d 1 0 t " * 60):
+        assert T.viterbi(text, model, settle) == T.viterbi(text, model, 10**9)
+
+
+def test_paths_held_do_not_grow_with_the_text(tables):
+    model, held = T.language_model(T.letter_counts(tables[0])), []
+
+    def settled(states, out, real=T._settled):
+        left = real(states, out)
+        held.append(max(len(T._emitted(path)) for _, path in left.values()))
+        return left
+
+    old, T._settled = T._settled, settled
+    try:
+        T.viterbi(" ".join("idiotmoronstupid1d10t" * 300), model)
+    finally:
+        T._settled = old
+    assert len(held) > 20 and max(held) < 256
