@@ -6,11 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import models as M
+from ..operators import folds as K
 from ..operators import graph_ml as G
+from ..operators import graph_network as N
 from ..operators import vectors as V
+from ..operators.graph_attention import attention_layer, random_weights
 from ..sources import literature as S
 from ..streaming import pulls as T
 from .graph_view import STRENGTHS, GraphView
+from .lineage import cut, shared_path
 from .registry import query, table
 
 _SIM = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[]))"
@@ -150,6 +154,78 @@ def edge_labels(spark, sf_dir):
     return s.select("cui_microbe", "cui_disease", *[G.edge_labels(x, k).alias(k) for k in ("regressor", "ternary", "existence")])
 
 
+# ---- graph networks -----------------------------------------------------------------------------------------------------------
+
+_RELATIONS = [("mentions", "microbe", "disease"), ("mentioned", "disease", "microbe"), ("family", "family", "microbe"), ("member", "microbe", "family"), ("region", "region", "disease")]
+
+
+def _typed_graph(spark, sf_dir):
+    """Nodes (node, kind, x) with the logarithm of their degree and draws of their name as features, and edges (type, src, dst)."""
+    g = GraphView(spark, sf_dir)
+    p, n = (lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))), (lambda c: F.concat(F.lit("n"), F.col(c).cast("string")))
+    s = g.strengths.select(p("cui_microbe").alias("m"), n("cui_disease").alias("d"))
+    of, up = g.microbes.select(p("cui").alias("m"), F.concat(F.lit("b"), "family").alias("f")), g.diseases.select(n("cui").alias("d"), F.concat(F.lit("r"), F.col("region").cast("string")).alias("r"))
+    edge = lambda t, rows, a, b: rows.select(F.lit(t).alias("type"), F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
+    edges = edge("mentions", s, "m", "d").unionByName(edge("mentioned", s, "d", "m")).unionByName(edge("family", of, "f", "m")).unionByName(edge("member", of, "m", "f")).unionByName(edge("region", up, "r", "d"))
+    kinds = of.select(F.col("m").alias("node"), F.lit("microbe").alias("kind")).unionByName(of.select("f", F.lit("family")).toDF("node", "kind")).unionByName(up.select("d", F.lit("disease")).toDF("node", "kind")).unionByName(up.select("r", F.lit("region")).toDF("node", "kind")).distinct()
+    degree = edges.groupBy(F.col("dst").alias("node")).agg(F.log1p(F.count(F.lit(1))).alias("degree"))
+    draws = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1001)) / 500 - 1 for i in range(3)]
+    return kinds.join(degree, "node", "left").select("node", "kind", F.array(F.coalesce("degree", F.lit(0.0)), *draws).alias("x")), edges
+
+
+def _signed_pairs(spark, sf_dir):
+    """(l, r, y, split): pairs with a strength, and whether it is positive."""
+    s = GraphView(spark, sf_dir).strengths.where("strength_raw <> 0")
+    rows = s.select(F.concat(F.lit("p"), F.col("cui_microbe").cast("string")).alias("l"), F.concat(F.lit("n"), F.col("cui_disease").cast("string")).alias("r"), (F.col("strength_raw") > 0).cast("double").alias("y"))
+    return K.hash_split(rows, ["l", "r"], {"train": 0.7, "validation": 0.15, "test": 0.15}, 0)
+
+
+def _trained(spark, sf_dir):
+    nodes, edges = _typed_graph(spark, sf_dir)
+    nodes, edges, pairs = cut(nodes), cut(edges), cut(_signed_pairs(spark, sf_dir))
+    net = N.Network(_RELATIONS, 4)
+    training = N.Training(net, shared_path(spark, "training"), ("microbe", "disease"))
+    return nodes, edges, pairs, training, N.blocks(net, nodes, edges, pairs, ("microbe", "disease"))
+
+
+@query()
+def hetero_network_training(spark, sf_dir):
+    """Epoch by epoch, losses and accuracy of a network over typed edges that tells positive pairs from negative ones."""
+    _, _, _, training, rows = _trained(spark, sf_dir)
+    training.run(rows)
+    return training.log(spark)
+
+
+@query()
+def hetero_network_predictions(spark, sf_dir):
+    """Every pair with the probability that it is positive, its split and whether the network is right."""
+    nodes, edges, pairs, training, rows = _trained(spark, sf_dir)
+    net = training.run(rows)
+    found = N.scores(net, pairs, N.embeddings(net, nodes, edges))
+    return found.select("l", "r", "split", F.col("y").cast("int").alias("label"), F.round("score", 6).alias("probability"), ((F.col("score") >= 0.5) == (F.col("y") == 1)).alias("right"))
+
+
+@query()
+def graphsage_embedding(spark, sf_dir):
+    """Embeddings of all nodes from their degree, learnt so that linked nodes agree more than drawn ones."""
+    both = _weighted(spark, sf_dir)
+    edges = cut(both.select(F.lit("to").alias("type"), F.col("a").alias("src"), F.col("b").alias("dst")))
+    nodes = edges.groupBy(F.col("dst").alias("node")).agg(F.array(F.log1p(F.count(F.lit(1)))).alias("x")).withColumn("kind", F.lit("node"))
+    linked = edges.where("src < dst").select(F.col("src").alias("l"), F.col("dst").alias("r"))
+    drawn = K.negative_pairs(linked, "l", "r").select("l", "r", F.lit(0.0).alias("y"))
+    pairs = K.hash_split(linked.withColumn("y", F.lit(1.0)).unionByName(drawn), ["l", "r"], {"train": 0.8, "validation": 0.2}, 0)
+    net = N.Network([("to", "node", "node")], 1, decoder="inner", activation="sigmoid")
+    N.Training(net, shared_path(spark, "training"), ("node", "node")).run(N.blocks(net, nodes, edges, pairs, ("node", "node")))
+    return N.embeddings(net, nodes, edges).select("node", "embedding")
+
+
+@query()
+def attention_embedding(spark, sf_dir):
+    """One layer of attention over typed neighbourhoods, with drawn weights."""
+    nodes, edges = _typed_graph(spark, sf_dir)
+    return attention_layer(cut(nodes), cut(edges), _RELATIONS, random_weights(_RELATIONS, 4, heads=2, size=4))
+
+
 # ---- streams and sources ------------------------------------------------------------------------------------------------------
 
 
