@@ -53,28 +53,6 @@ def within_length(sentence: Column, words: int = 500, chars: int = 5000) -> Colu
     return (F.size(F.split(sentence, " ", -1)) < words) & (F.char_length(sentence) < chars)
 
 
-_ABBREVIATION = r"\(([A-Z]{2,10})\)"
-
-
-def abbreviations(c: Column) -> Column:
-    """(short, long) of each '(SHORT)' whose letters begin the words right before it, whatever their case."""
-    shorts = F.array_distinct(F.regexp_extract_all(c, F.lit(_ABBREVIATION), 1))
-
-    def definition(short: Column) -> Column:
-        before = F.split(F.rtrim(F.call_function("substring_index", c, F.concat(F.lit("("), short, F.lit(")")), F.lit(1))), " ", -1)
-        n = F.char_length(short)
-        words = F.slice(before, F.greatest(F.size(before) - n + 1, F.lit(1)), n)
-        initials = F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "")
-        return F.struct(short.alias("short"), F.when(initials == short, F.array_join(words, " ")).alias("long"))
-
-    return F.filter(F.transform(shorts, definition), lambda d: d["long"].isNotNull())
-
-
-def expand_abbreviations(c: Column) -> Column:
-    """Every abbreviation that the text defines is replaced by its long form."""
-    return F.aggregate(abbreviations(c), c, lambda t, d: F.replace(t, d["short"], d["long"]))
-
-
 def clean_words(c: Column) -> Column:
     """Words between blanks, without ( ) . , ;."""
     return F.split(F.translate(c, "().,;", ""), " ", -1)

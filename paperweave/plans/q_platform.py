@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dictionary as Y
 from ..functions import entities as N
 from ..functions import models as M
 from ..operators import folds as K
@@ -279,18 +280,54 @@ def closest_candidate(spark, sf_dir):
     return N.closest_candidate(own.join(candidates, "family", "left"), "cui", "candidate", far)
 
 
-_LONG = "'We saw ' || CASE doc_id % 3 WHEN 0 THEN 'tumour necrosis factor (TNF)' WHEN 1 THEN 'the other kind (TNF)' ELSE 'nothing' END || ' rise; TNF and IBD fell in inflammatory bowel disease (IBD) ' || doc_id"
+_LONG = "coalesce(text, '') || chr(10) || 'We saw ' || CASE doc_id % 3 WHEN 0 THEN 'tumour necrosis factor (TNF)' WHEN 1 THEN 'the other kind (TNF)' ELSE 'nothing' END || ' rise; TNF and IBD fell in inflammatory bowel disease (IBD), and TNFR is none'"
+_WORD = r"regexp_replace({0}, '(^|[^\w-]){1}($|[^\w-])', '\1{2}\2', 'g')"
 
 
 @query(
     f"""WITH t AS (SELECT doc_id, {_LONG} AS t FROM documents),
-    x AS (SELECT doc_id, t, replace(t, 'IBD', 'inflammatory bowel disease') AS u FROM t)
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(u, 'TNF', 'tumour necrosis factor') ELSE u END AS text FROM x"""
+    x AS (SELECT doc_id, {_WORD.format("t", "IBD", "inflammatory bowel disease")} AS u FROM t)
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_WORD.format("u", "TNF", "tumour necrosis factor")} ELSE u END AS text FROM x"""
 )
 def abbreviation_expansion(spark, sf_dir):
-    from ..functions.text import expand_abbreviations
+    """Texts, each with a sentence that defines abbreviations or does not."""
+    return table(spark, sf_dir, "documents").select("doc_id", Y.expand_abbreviations(F.expr(_LONG)).alias("text"))
 
-    return table(spark, sf_dir, "documents").select("doc_id", expand_abbreviations(F.expr(_LONG)).alias("text"))
+
+@query()
+def abbreviations_of_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", Y.expand_abbreviations(F.col("text")).alias("text"))
+
+
+def _names(spark, sf_dir):
+    """Names of parts, and all two and three words that follow each other in a benchmark item."""
+    words = table(spark, sf_dir, "benchmark").select(F.filter(F.regexp_extract_all("text", F.lit(Y.PATTERN), F.lit(0)), lambda w: ~w.isin(*Y.ENDS)).alias("w"))
+    out = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.lit("bacteria").alias("kind"))
+    for n, kind in ((2, "bacteria"), (3, "disease")):
+        some = words.where(F.size("w") >= n).select(F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i"), "w")
+        out = out.unionByName(some.select(F.array_join(F.slice("w", F.col("i"), n), " ").alias("name"), F.lit(kind).alias("kind")))
+    return out.distinct()
+
+
+@query(
+    rf"""WITH b AS (SELECT list_filter(regexp_extract_all(text, '{Y.PATTERN}'), lambda x: x NOT IN ('.', '!', '?', '*', chr(10))) AS w FROM benchmark),
+    n AS (SELECT DISTINCT p_name AS name, 'bacteria' AS kind, 2 AS n FROM part UNION SELECT array_to_string(w[i : i + 1], ' '), 'bacteria', 2 FROM b, unnest(range(1, len(w))) t(i) WHERE len(w) > 1
+      UNION SELECT array_to_string(w[i : i + 2], ' '), 'disease', 3 FROM b, unnest(range(1, len(w) - 1)) t(i) WHERE len(w) > 2),
+    d AS (SELECT doc_id, regexp_extract_all(text, '{Y.PATTERN}') AS w FROM documents),
+    t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+    p AS (SELECT doc_id, w, w IN ('.', '!', '?', '*', chr(10)) AS e, i, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, sum(CASE WHEN w IN ('.', '!', '?', '*', chr(10)) THEN 1 ELSE 0 END) OVER o AS ends FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    g AS (SELECT doc_id, CAST(i - 1 - ends AS INTEGER) AS first, w || ' ' || w2 || CASE WHEN k = 3 THEN ' ' || w3 ELSE '' END AS g, k FROM p, range(2, 4) r(k) WHERE NOT e)
+    SELECT doc_id, name, kind, first FROM g JOIN n ON g = name AND n = k"""
+)
+def dictionary_spans(spark, sf_dir):
+    return Y.find_names(table(spark, sf_dir, "documents"), "doc_id", "text", _names(spark, sf_dir)).select("doc_id", "name", "kind", "first")
+
+
+@query()
+def dictionary_pairs(spark, sf_dir):
+    """What is left of all names in the documents once longer ones have driven out those that they overlap, by document and kind."""
+    found = Y.find_names(table(spark, sf_dir, "documents"), "doc_id", "text", _names(spark, sf_dir))
+    return Y.without_overlaps(found, "doc_id", "disease").groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"))
 
 
 _HITS = """list_reduce(list_prepend(CAST([] AS VARCHAR[]), l), lambda acc, x: CASE

@@ -16,12 +16,6 @@ from paperweave.sources import files as S
 from paperweave.sources import literature as L
 
 
-def test_abbreviations_need_their_initials(spark):
-    texts = ["Tumour Necrosis Factor (TNF) and TNF", "no such thing (TNF) and TNF", "(AB) AB", None, ""]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.expand_abbreviations(F.col("t"))).collect()]
-    assert got == ["Tumour Necrosis Factor (Tumour Necrosis Factor) and Tumour Necrosis Factor", *texts[1:]]
-
-
 def test_rephrasing_gives_up_after_four_tries(spark):
     rows = [("a b c d", "c", "d"), ("a b c d", "a", "d"), ("a b", "x", "a"), (None, "x", "a")]
     got = spark.createDataFrame(rows, "t string, m string, d string").select(A.rephrased(A.stub_rephrase)("t", "m", "d")).collect()
