@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperweave.llm.decontaminate import decontaminate
 from paperweave.llm.frames import numbered, pick
-from paperweave.llm.jaccard_join import BROADCAST_IDS, jaccard_components
+from paperweave.llm.jaccard_join import jaccard_components
 from paperweave.llm.mixing import count_words, sample
 from paperweave.llm.scratch import Scratch
 from paperweave.llm.sharding import shard_documents
@@ -43,15 +43,14 @@ def _texts(wide: DataFrame, names: list[str]) -> DataFrame:
     return wide.select(F.col("_row").alias("doc_id"), F.col(_place(names, "text")).alias("text"))
 
 
-def _counted(frame: DataFrame) -> DataFrame:
-    """A written table: few rows are broadcast, after they are counted; more are joined by shuffling."""
-    frame = Scratch(frame.sparkSession).write("counted", frame)
-    return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame.hint("merge")
+def _written(frame: DataFrame) -> DataFrame:
+    """A written table that is joined by shuffling, whatever its size."""
+    return Scratch(frame.sparkSession).write("written", frame).hint("merge")
 
 
 def _without(wide: DataFrame, names: list[str], rows: DataFrame) -> DataFrame:
     """The rows whose key is not among rows (one column)."""
-    gone = _counted(rows.toDF("_gone"))
+    gone = _written(rows.toDF("_gone"))
     return _restored(wide.join(gone, F.col("_row") == F.col("_gone"), "left_anti"), names)
 
 
@@ -77,11 +76,11 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     wide, names = _keyed(docs)
     found = jaccard_components(_texts(wide, names), NEAR_WORDS, NEAR_LEAST).where(F.col("n_shingles") > 0)
     found = Scratch(spark).write("found", found.select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_group")))
-    several = _counted(found.where("_of != _group").select("_group").distinct())
+    several = _written(found.where("_of != _group").select("_group").distinct())
     members = found.join(several, "_group", "left_semi")
     members = wide.select("_row", F.col(_place(names, "doc_id")).cast("long").alias("_id")).join(members, F.col("_row") == F.col("_of"))
     members = Scratch(spark).write("members", members.select("_row", "_id", "_group"))
-    smallest = _counted(members.groupBy("_group").agg(F.min("_id").alias("_least")))
+    smallest = _written(members.groupBy("_group").agg(F.min("_id").alias("_least")))
     return _without(wide, names, members.join(smallest, "_group").where(~F.col("_id").eqNullSafe(F.col("_least"))).select("_row"))
 
 

@@ -7,10 +7,11 @@ rarest, as many as may differ and one more, hold one that both sets have. Sets t
 that many documents share brings nothing together unless it is nearly all they have. Candidates are compared fragment by fragment:
 overlaps are counted apart and summed per pair.
 
-Equal sets are one set throughout. A fragment with many sets is split into cells of bounded size. In a cell each set is first paired
-with one leader only, whose sizes allow similarity. Pairs between sets that are linked already are never formed; what remains between
-different components is compared more fully and in the end in full, cell by cell, so groups of copies cost their size and no link between
-components is lost.
+Equal sets are one set throughout, told by 128 bits. A fragment with many sets is split into cells of bounded size. In a cell each set is
+first paired with one leader only, whose sizes allow similarity. Pairs between sets that are linked already are never formed; what
+remains between different components is compared more fully and in the end in full, so groups of copies cost their size and no link
+between components is lost. By then a fragment that many sets share is no cell any more: two similar sets have as many fragments in
+common as either needs, so prefixes longer by one hold the two rarest of them, and sets meet in a pair of fragments instead.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ SMALL = 7
 COMMON, CELL = 1024, 4096
 #: Sets that a task remembers having sent.
 SEEN = 1_000_000
-#: Ids that are broadcast at most (16 MB); beyond, the join is shuffled.
-BROADCAST_IDS = 2_000_000
+#: Fragments beyond the prefix that are kept, to tell apart the sets of a fragment that many share.
+EXTRA = 2
 
 
 def gram_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -58,11 +59,14 @@ def gram_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, l
         yield part, out
 
 
-def set_key(s: np.ndarray) -> int:
-    """A hash of a set, of its size too."""
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, of its size too."""
+    out = []
     with np.errstate(over="ignore"):
-        m = mix(s)
-        return int(signed(mix(np.array([m.sum(dtype=U) ^ (np.bitwise_xor.reduce(mix(m + U(len(s)))) if len(s) else U(0))], U)))[0])
+        for salt in (U(0), U(0xA0761D6478BD642F)):
+            m = mix(s ^ salt)
+            out.append(int(signed(mix(np.array([m.sum(dtype=U) ^ (np.bitwise_xor.reduce(mix(m + U(len(s)))) if len(s) else U(0))], U)))[0]))
+    return out[0], out[1]
 
 
 class Similarity:
@@ -94,22 +98,28 @@ def signatures(s: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
     how many of the class's keys any set similar to it in that class must have too.
 
     Sizes from 2^c to 2^(c+1) are a class with a number of fragments of its own, chosen so that far more are filled than may differ; c
-    stands in the lowest 6 bits of the key. Were hashes so uneven that no more are filled, links could be missed; from 128 n-grams on
-    that is less likely than 10^-20, and below each n-gram has a fragment of its own.
+    stands in the lowest 6 bits of the key. Two similar sets have a fragment in common if either fills more than may differ. Where hashes
+    are so uneven that a set does not, it takes every n-gram as a fragment besides, as a class of its own; another such set does too.
     """
     n = len(s)
     keys, needs = [], []
     ratio = float(sim.part) * (1 + sim.den / sim.num)
     with np.errstate(over="ignore"):
         sums = np.r_[U(0), np.cumsum(mix(s), dtype=U)]
-        for c in range(n.bit_length() - 1, sim.largest(n).bit_length()):
-            m = 1 << 32 if c < SMALL else int(np.ceil((1 << c) * 2 * ratio / 0.75))
-            frag = ((s >> U(32)) * U(m)) >> U(32)
+
+        def add(frag: np.ndarray, c: int, differ: int) -> bool:
             new = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]])
             end = np.r_[new[1:], n]
             key = mix(sums[end] - sums[new] + mix(frag[new] * U(64) + U(c)) + (end - new).astype(U))
             keys.append((key & ~U(63)) | U(c))
-            needs.append(np.full(len(new), max(1, len(new) - sim.differ(n, min(sim.largest(n), (2 << c) - 1)))))
+            needs.append(np.full(len(new), max(1, len(new) - differ)))
+            return len(new) > differ
+
+        for c in range(n.bit_length() - 1, sim.largest(n).bit_length()):
+            differ = sim.differ(n, min(sim.largest(n), (2 << c) - 1))
+            m = int(np.ceil((1 << c) * 2 * ratio / 0.75))
+            if c < SMALL or not add(((s >> U(32)) * U(m)) >> U(32), c, differ):
+                add(s, c + 32, differ)
     return np.concatenate(keys), np.concatenate(needs)
 
 
@@ -121,26 +131,31 @@ def sizes_by_range(s: np.ndarray) -> bytes:
 # ---- scans ------------------------------------------------------------------------------------------------------------------
 
 
+def _keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    found = [set_key(s) for s in sets]
+    return [pa.array([k[i] for k in found], pa.int64()) for i in (0, 1)]
+
+
 def _profiles(base: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in gram_sets(batch, k):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sizes_by_range(s) for s in sets], pa.binary())],
-                    ["doc_id", "key", "n", "sizes"],
+                    [part.column(0), *_keys(sets), pa.array([len(s) for s in sets], pa.int32()), pa.array([sizes_by_range(s) for s in sets], pa.binary())],
+                    ["doc_id", "k1", "k2", "n", "sizes"],
                 )
 
-    return base.mapInArrow(scan, "doc_id long, key long, n int, sizes binary")
+    return base.mapInArrow(scan, "doc_id long, k1 long, k2 long, n int, sizes binary")
 
 
 def _signature_rows(base: DataFrame, k: int, sim: Similarity) -> DataFrame:
-    """(sig, key, info) of every set that another one may be similar to; info has the set's size above and the need below 32 bits."""
+    """(sig, k1, k2, info) of every set that another one may be similar to; info has the set's size above and the need below 32 bits."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, sets in gram_sets(batch, k):
-                sigs, keys, infos = [], [], []
+                sigs, ones, twos, infos = [], [], [], []
                 for s in sets:
                     # nothing but an equal set is similar to one too small to differ
                     if not len(s) or sim.spread(len(s)) == 0:
@@ -150,21 +165,23 @@ def _signature_rows(base: DataFrame, k: int, sim: Similarity) -> DataFrame:
                         seen.add(key)
                         sig, need = signatures(s, sim)
                         sigs.append(sig)
-                        keys.append(np.full(len(sig), key))
+                        ones.append(np.full(len(sig), key[0]))
+                        twos.append(np.full(len(sig), key[1]))
                         infos.append((len(s) << 32) | need)
                 if len(seen) > SEEN:
                     seen.clear()
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(infos))], ["sig", "key", "info"])
+                    columns = [pa.array(np.concatenate(c)) for c in (ones, twos, infos)]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), *columns], ["sig", "k1", "k2", "info"])
 
-    return base.mapInArrow(scan, "sig long, key long, info long")
+    return base.mapInArrow(scan, "sig long, k1 long, k2 long, info long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig, key: those of signatures that two sets have, each once, with the number of sets, ``COMMON`` at most.
+    """Of rows sorted by sig, k1, k2: those of signatures that two sets have, each once, with the number of sets, ``COMMON`` at most.
     Fewer rows than that are carried on."""
-    names = ["sig", "key", "info"]
-    carry, hot = [np.zeros(0, np.int64)] * 3, None  # hot: a signature known to be common
+    names = ["sig", "k1", "k2", "info"]
+    carry, hot = [np.zeros(0, np.int64)] * 4, None  # hot: a signature known to be common
 
     def rows(c: list[np.ndarray], df: np.ndarray, ok: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*[pa.array(x[ok]) for x in c], pa.array(df[ok].astype(np.int32))], [*names, "df"])
@@ -181,7 +198,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = [np.r_[a, batch.column(n).to_numpy()] for a, n in zip(carry, names, strict=True)]
         if not len(c[0]):
             continue
-        fresh = np.r_[True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])]
+        fresh = np.r_[True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])]
         c = [x[fresh] for x in c]
         df, last = counted(c[0])
         if df[-1] == COMMON:
@@ -194,33 +211,56 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(shared: DataFrame) -> DataFrame:
-    """(sig, key, n): of each set and class with enough shared signatures, the rarest ones, one of which any similar set has as well."""
+    """(sig, k1, k2, n, class, place, need, extra): of each set and class with enough shared signatures the rarest ones, one of which any
+    similar set has as well, and ``EXTRA`` more; with extra up to e, two similar sets have 1 + e in common where either needs as many."""
     need = F.col("info").bitwiseAND((1 << 32) - 1)
-    of = Window.partitionBy("key", F.col("sig").bitwiseAND(63))
-    ranked = shared.withColumn("_all", F.count(F.lit(1)).over(of)).withColumn("_i", F.row_number().over(of.orderBy("df", "sig")))
-    return ranked.where((F.col("_i") + need) <= (F.col("_all") + 1)).select("sig", "key", F.shiftright("info", 32).cast("int").alias("n"))
+    of = Window.partitionBy("k1", "k2", F.col("sig").bitwiseAND(63))
+    ranked = shared.withColumn("need", need).withColumn("_all", F.count(F.lit(1)).over(of)).withColumn("place", F.row_number().over(of.orderBy("df", "sig")))
+    extra = F.greatest(F.col("place") + F.col("need") - F.col("_all") - 1, F.lit(0)).cast("int").alias("extra")
+    ranked = ranked.where(F.col("need") <= F.col("_all")).select("sig", "k1", "k2", F.shiftright("info", 32).cast("int").alias("n"), F.col("sig").bitwiseAND(63).alias("class"), "place", "need", extra)
+    return ranked.where(F.col("extra") <= EXTRA)
 
 
 # ---- comparing --------------------------------------------------------------------------------------------------------------
 
 
-def _sets_of(base: DataFrame, firsts: DataFrame, keys: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(key, frag, grams) of the wanted keys, from one document each, a row for each fragment that the set fills."""
+def _sets_of(base: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(key, frag, grams) of the wanted sets (k1, k2, key, own), from one document each, a row for each fragment that the set fills."""
     edges = np.array([(f << 64) // FRAGMENTS for f in range(1, FRAGMENTS)], U)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in gram_sets(batch, k):
-                rows = [(set_key(s), f, x.tobytes()) for s in sets for f, x in enumerate(np.split(s, np.searchsorted(s, edges))) if len(x)]
-                cols = list(zip(*rows, strict=True)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "frag", "grams"])
+                rows = [(*set_key(s), f, x.tobytes()) for s in sets for f, x in enumerate(np.split(s, np.searchsorted(s, edges))) if len(x)]
+                cols = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["k1", "k2", "frag", "grams"])
+
+    ids = wanted.select(F.col("own").alias("_own")).distinct()  # null where no document of a set has an id: those are all looked at
+    found = base.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_own")), "left_semi").mapInArrow(scan, "k1 long, k2 long, frag int, grams binary")
+    return scratch.write("sets", found.join(wanted.select("k1", "k2", "key").hint("merge"), ["k1", "k2"]).select("key", "frag", "grams").dropDuplicates(["key", "frag"]))
+
 
-    ids = scratch.write("ids", firsts.join(keys, "key").where("own IS NOT NULL").select(F.col("own").alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    found = base.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi").mapInArrow(scan, "key long, frag int, grams binary")
-    sets = scratch.write("sets", found.join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key", "frag"]))
-    scratch.drop(ids)
-    return sets
+def _finer(rows: DataFrame, kept: DataFrame, scratch: Scratch, cell: int | None = None) -> DataFrame:
+    """``rows`` (sig, key, n, label, sizes, class, place, need) with signatures that more than ``cell`` sets of several labels share replaced.
+
+    Instead a set has such a signature together with each of its later ones in a prefix longer by one, and so on for ``EXTRA`` times.
+    Sets that need fewer signatures than are asked of them keep the signature itself, to meet among themselves.
+    """
+    cell = CELL if cell is None else cell
+    out, columns = None, rows.columns
+    for depth in range(1, EXTRA + 1):
+        many = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where((F.col("_n") > cell) & (F.col("_lo") != F.col("_hi")))
+        many = scratch.write("many", many.select(F.col("sig").alias("_s")))
+        if not many.head(1):
+            break
+        hot = rows.join(many.hint("merge"), F.col("sig") == F.col("_s"), "left_semi")
+        cold = rows.join(many.hint("merge"), F.col("sig") == F.col("_s"), "left_anti").unionByName(hot.where(F.col("need") <= depth))
+        out = cold if out is None else out.unionByName(cold)
+        later = kept.where(F.col("extra") <= depth).select(F.col("key").alias("_k"), F.col("class").alias("_c"), F.col("place").alias("_p"), F.col("sig").alias("_later"))
+        both = hot.join(later.hint("merge"), (F.col("key") == F.col("_k")) & (F.col("class") == F.col("_c")) & (F.col("place") < F.col("_p")))
+        rows = both.withColumn("sig", F.xxhash64("sig", "_later")).withColumn("place", F.col("_p")).select(*columns)
+        rows = scratch.write("finer", rows)
+    return rows if out is None else out.unionByName(rows)
 
 
 def _cells(rows: DataFrame, full: bool) -> DataFrame:
@@ -344,22 +384,30 @@ def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction | str | floa
     never the smallest unless there is no other. Repeated rows each give a row. Other columns are not read. An empty table gives none.
     """
     sim = Similarity(Fraction(str(least)) if isinstance(least, float) else Fraction(least))
+    if 2 * sim.num <= sim.den:
+        raise ValueError("sets that share no more than half of their n-grams have no fragment in common for sure")
     scratch = Scratch(docs.sparkSession)
     base = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     profiles = scratch.write("profiles", _profiles(base, k))
-    firsts = scratch.write("firsts", profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("own"), F.first("sizes").alias("sizes")))
-    dealt = _signature_rows(base, k, sim).repartition("sig").sortWithinPartitions("sig", "key")
-    shared = scratch.write("shared", dealt.mapInArrow(_shared, "sig long, key long, info long, df int"))
-    rows = scratch.write("prefixes", _prefixes(shared).join(firsts.select("key", "sizes").hint("merge"), "key"))
+    firsts = profiles.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("own"), F.first("sizes").alias("sizes"))
+    # a number for each set; written, so that it stays
+    firsts = scratch.write("firsts", firsts.withColumn("key", F.monotonically_increasing_id()))
+    dealt = _signature_rows(base, k, sim).repartition("sig").sortWithinPartitions("sig", "k1", "k2")
+    shared = scratch.write("shared", dealt.mapInArrow(_shared, "sig long, k1 long, k2 long, info long, df int"))
+    kept = _prefixes(shared).join(firsts.select("k1", "k2", "key", "sizes").hint("merge"), ["k1", "k2"]).drop("k1", "k2")
+    kept = scratch.write("prefixes", kept)
     scratch.drop(shared)
-    labels, links, tried, spent = None, None, None, [rows]
+    rows = kept.where("extra = 0").drop("extra")
+    wanted = firsts.drop("sizes").join(rows.select("key").distinct().hint("merge"), "key", "left_semi")
+    sets = _sets_of(base, wanted, k, scratch)
+    labels, links, tried, spent = None, None, None, [kept, sets]
     # leaders settle most groups; what stays split is compared ever more fully, and in the end with every set that its sizes allow
     for most in (0, 8, None):
         if labels is None:
             named = rows.withColumn("label", F.col("key"))
         else:
             named = rows.join(labels.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        pairs = _candidates(named, sim, most)
+        pairs = _candidates(named if most is not None else _finer(named, kept, scratch), sim, most)
         if tried is not None:
             pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
         pairs = scratch.write("pairs", pairs)
@@ -367,17 +415,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction | str | floa
         if not pairs.head(1):
             continue
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        sets = _sets_of(base, firsts, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), k, scratch)
         found = scratch.write("links", _links(pairs, sets, sim))
-        scratch.drop(sets)
         spent.append(found)
         links = found if links is None else links.unionByName(found)
         labels = connected(links, scratch)
     scratch.drop(*spent)
     if labels is None:
         labels = firsts.select(F.col("key").alias("node"), F.col("key").alias("label")).limit(0)
-    smallest = firsts.join(labels, F.col("key") == F.col("node"), "left").select("key", "own", F.coalesce("label", "key").alias("label"))
+    smallest = firsts.join(labels, F.col("key") == F.col("node"), "left").select("k1", "k2", "own", F.coalesce("label", "key").alias("label"))
     by_label = smallest.groupBy("label").agg(F.min("own").alias("component"))
-    by_key = smallest.join(by_label, "label").select(F.col("key").alias("of"), "component")
-    out = profiles.select("doc_id", "key", "n").join(by_key, (F.col("key") == F.col("of")) & (F.col("n") > 0), "left")
+    by_key = smallest.join(by_label, "label").select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), "component")
+    out = profiles.select("doc_id", "k1", "k2", "n").join(by_key, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -4,7 +4,8 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from paperweave.llm.jaccard_join import Similarity, jaccard_components, signatures
+from paperweave.llm.jaccard_join import CELL, SMALL, Similarity, _finer, jaccard_components, set_key, signatures
+from paperweave.llm.scratch import Scratch
 
 from .common import ROWS, frame, lower, plain, rows, words
 
@@ -94,10 +95,52 @@ def test_similar_sets_share_the_fragments_they_need(least):
             assert sim.similar(n - swap, len(a) + len(b))
             (x, need_x), (y, need_y) = signatures(a, sim), signatures(b, sim)
             c = len(b).bit_length() - 1
+            c += 32 if c < SMALL else 0
             x, need_x, y, need_y = x[x & 63 == c], need_x[x & 63 == c], y[y & 63 == c], need_y[y & 63 == c]
             assert len(x) and len(y) and len(np.intersect1d(x, y)) >= max(need_x[0], need_y[0])
 
 
+def test_uneven_hashes_lose_no_link():
+    """All n-grams in one fragment: sets at the limit of what may differ still share what they need."""
+    r, sim = np.random.default_rng(7), Similarity(Fraction(9, 10))
+    for n in (130, 400, 1000):
+        a = np.unique(r.integers(0, 1 << 20, 2 * n, dtype=np.uint64))[:n]
+        gone = sim.differ(n, n) // 2
+        b = np.unique(np.r_[a[gone:], r.integers(1 << 20, 1 << 21, gone, dtype=np.uint64)])
+        assert sim.similar(len(np.intersect1d(a, b)), len(a) + len(b))
+        (x, need_x), (y, need_y) = signatures(a, sim), signatures(b, sim)
+        c = len(b).bit_length() - 1 + 32
+        x, need_x, y, need_y = x[x & 63 == c], need_x[x & 63 == c], y[y & 63 == c], need_y[y & 63 == c]
+        assert len(np.intersect1d(x, y)) >= max(need_x[0], need_y[0]) > 1
+
+
+def test_sets_are_told_by_both_keys():
+    sets = [np.array(x, np.uint64) for x in ([1, 2], [1, 3], [2, 3], [1, 2, 3], [])]
+    assert len({set_key(s)[0] for s in sets}) == len({set_key(s)[1] for s in sets}) == 5
+    assert set_key(sets[0])[0] != set_key(sets[0])[1]
+
+
+def test_a_fragment_of_many_unlike_sets_is_no_cell(spark):
+    """Sets that share one fragment and little else meet few others; sets that share two more still meet."""
+    n = 6000
+    rest = lambda i: [7, *(1000 * (i // 2) + j for j in range(1, 4))]  # noqa: E731  pairs of sets have all in common
+    kept = [(s, i, 50, b"", 9, p + 1, 3, max(0, p)) for i in range(n) for p, s in enumerate(rest(i))]
+    kept = spark.createDataFrame(kept, "sig long, key long, n int, sizes binary, class int, place int, need int, extra int").where("extra <= 2")
+    rows = kept.where("extra = 0").drop("extra").selectExpr("sig", "key", "n", "key AS label", "sizes", "class", "place", "need")
+    assert rows.count() == n > CELL
+    out = _finer(rows, kept, Scratch(spark))
+    cells = [r["count"] for r in out.groupBy("sig").count().collect()]
+    assert max(cells) == 2 and sum(c * c for c in cells) < 10 * n
+    low = rows.selectExpr("sig", "key", "n", "label", "sizes", "class", "place", "1 AS need")
+    assert _finer(low, kept, Scratch(spark)).where("sig = 7").count() == n
+
+
+def test_links_through_documents_without_id(spark):
+    w = [f"t{i}" for i in range(100)]
+    texts = [(5, " ".join(w)), (None, " ".join(w[2:] + ["a", "b"])), (9, " ".join(w[4:] + ["a", "b", "c", "d"]))]
+    assert rows(jaccard_components(plain(spark, texts))) == brute(texts, 3, Fraction(9, 10))
+
+
 def test_bounds():
     sim = Similarity(Fraction(9, 10))
     assert sim.differ(100, 100) == 10 and sim.largest(9) == 10 and sim.largest(8) == 8
