@@ -34,7 +34,7 @@ def kinds(text):
 def test_structure_confirms():
     assert kinds(f"key {B64} end") == ["der"]
     assert kinds(f"key {KEY.hex()} end") == ["der"]
-    assert kinds("ssh " + base64.b64encode(SSH).decode()) == ["ssh"]
+    assert kinds("ssh-ed25519 " + base64.b64encode(SSH).decode()) == ["public"] and kinds(SSH.hex()) == ["public"]
     assert kinds(f"x\n-----BEGIN RSA PRIVATE KEY-----\n{B64}\n-----END RSA PRIVATE KEY-----")[0] == "pem"
     assert kinds(f"bearer {JWT}.") == ["jwt"]
 
@@ -57,7 +57,85 @@ def test_encrypted_armour_by_its_parameters():
 
 def test_tags_are_parsed_and_not_just_met():
     strings = der(0x30, der(0x0C, b"\x02\x04\x06 and text") + der(0x0C, b"more text here"))
-    assert S.der_tags(strings) == [0x30, 0x0C, 0x0C] and not S.is_der_key(strings) and S.is_der_key(KEY)
+    assert S.der_tags(strings) == [0x30, 0x0C, 0x0C] and S.der_kind(strings) is None and S.der_kind(KEY) == "der"
+
+
+def field(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def private(cipher=b"none", kdf=b"none", body=None, n=1):
+    inside = bytes([1, 2, 3, 4] * 2) + field(b"ssh-ed25519") + field(bytes(32)) + field(bytes(64)) + field(b"me")
+    inside += bytes(range(1, 9))[: -len(inside) % 8]
+    return b"openssh-key-v1\0" + field(cipher) + field(kdf) + field(b"") + n.to_bytes(4, "big") + field(SSH) * n + field(inside if body is None else body)
+
+
+def text64(x):
+    return base64.b64encode(x).decode()
+
+
+def test_ssh_containers_are_parsed_to_their_end():
+    assert kinds(text64(private())) == ["ssh"] and kinds(private(b"aes256-ctr", b"bcrypt", bytes(64)).hex()) == ["ssh"]
+    assert kinds(text64(b"openssh-key-v1\0" + b"z" * 60)) == []
+    for bad in (private()[:-1], private(body=bytes(13)), private(body=bytes(range(64))), private(n=0), private(b"none", b"bcrypt")):
+        assert kinds(text64(bad)) == []
+    assert kinds(private().hex() + "00") == []
+    armour = "-----BEGIN OPENSSH PRIVATE KEY-----\n{}\n-----END OPENSSH PRIVATE KEY-----"
+    assert "pem" in kinds(armour.format(text64(private()))) and kinds(armour.format(text64(b"openssh-key-v1\0" + b"z" * 60))) == []
+
+
+def test_tokens_have_a_payload_and_a_signature():
+    token = lambda head, body, sign: ".".join(b64url(x) for x in (head, body, sign))
+    assert kinds(token(b'{"alg":"HS256"}', b"{}", b"")) == [] and kinds(token(b'{"alg":"none"}', b"{}", b"")) == ["jwt"]
+    assert kinds(b64url(b'{"alg":"HS256"}') + ".zz.") == [] and kinds(token(b'{"alg":"HS256"}', b"[1]", b"abc")) == []
+    text = f"Authorization.Bearer.{JWT}.x"
+    assert S.confirmed_spans(text) == [(21, 21 + len(JWT), "jwt")]
+    assert kinds(f"{JWT}.{JWT}") == ["jwt", "jwt"]
+
+
+OID = der(0x06, bytes([42, 134, 72]))
+
+
+def test_private_and_public_structures():
+    number = der(0x02, bytes(range(1, 40)))
+    algorithm = der(0x30, OID + der(0x05, b""))
+    for kind, key in {
+        "der": [der(0x30, der(0x02, b"\0") + algorithm + der(0x04, bytes(40))), der(0x30, algorithm + der(0x04, bytes(40))), der(0x30, der(0x02, b"\1") + der(0x04, bytes(32)) + der(0xA0, OID)), der(0x30, der(0x02, b"\0") + number * 8)],
+        "public": [der(0x30, algorithm + der(0x03, bytes(40))), der(0x30, number + der(0x02, b"\1\0\1")), der(0x30, der(0x30, der(0x02, b"\1") + number) + algorithm + der(0x03, bytes(40)))],
+        None: [der(0x30, number + number + number), der(0x30, der(0x0C, bytes(40)) + number), der(0x30, b"") + bytes(30), der(0x30, der(0x30, number) + der(0x04, bytes(40)))],
+    }.items():
+        for k in key:
+            assert S.der_kind(k) == kind and kinds(f"= {text64(k)} .") == ([kind] if kind else [])
+
+
+def test_either_alphabet_and_broken_lines():
+    key = der(0x30, der(0x02, b"\0") + der(0x02, bytes([251, 239, 190, 255] * 30)) + der(0x02, b"\1\0\1"))
+    for encode in (base64.b64encode, base64.urlsafe_b64encode):
+        whole = encode(key).decode()
+        assert ("-" in whole or "_" in whole) == (encode is base64.urlsafe_b64encode)
+        for end in (whole, whole.rstrip("=")):
+            for n in (64, 50, 21):
+                broken = "\n".join(end[i : i + n] for i in range(0, len(end), n))
+                for tail in ("", " and", "\nmore words", "\r\nMIIB"):
+                    assert S.confirmed_spans(f"key: {broken}{tail}") == [(5, 5 + len(broken), "der")], (n, tail)
+    assert kinds(text64(key)[:-8] + "\nword " + text64(key)[-8:]) == []
+
+
+def test_added_spans_equal_a_plain_scan():
+    """Every stretch between characters that base64 has not, against the spans found."""
+    import random
+
+    r = random.Random(4)
+    keys = [KEY, SSH, private(), KEY[:-3], der(0x30, der(0x30, OID) + der(0x03, bytes(30))), bytes(50), b"plain text that is long enough to be looked at"]
+    for _ in range(60):
+        text = "".join(r.choice([" ", ", ", ": ", "é ", "(", "MA ", "AAAA "]) + r.choice([base64.b64encode, base64.urlsafe_b64encode])(r.choice(keys)).decode().rstrip(r.choice(["=", " "])) for _ in range(4)) + " end"
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]+={0,2}", text):
+            data = S.unbase64(m[0])
+            kind = S.der_kind(data) or (k[0] if (k := S.ssh_kind(data)) and k[1] == len(data) else None)
+            if kind:
+                want.append((m.start(), m.end(), kind))
+        assert [x for x in S.confirmed_spans(text) if x[2] != "jwt"] == want
 
 
 def test_structure_refuses():
