@@ -229,12 +229,12 @@ def external_statistics(spark, sf_dir):
 
 _FIRST = f"""{STRENGTHS}, {_EXT}, st AS (SELECT *, CASE WHEN b_cui IS NULL OR d_cui IS NULL THEN 'null key' WHEN row_number() OVER (PARTITION BY b_cui, d_cui ORDER BY seq, relation) > 1 THEN 'repeated' ELSE 'first' END AS status FROM ext),
 fr AS (SELECT * FROM st WHERE status = 'first'),
-m2 AS (SELECT a.p_partkey AS node, b.p_partkey AS relative FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey),
+mb AS (SELECT p_brand, cui_microbe, cui_disease, strength_raw, strength_if FROM strengths JOIN part ON p_partkey = cui_microbe QUALIFY row_number() OVER (PARTITION BY p_brand, cui_disease ORDER BY cui_microbe) <= 2),
 d2 AS (SELECT CAST(a.n_nationkey AS BIGINT) AS node, CAST(b.n_nationkey AS BIGINT) AS relative FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey),
 ex AS (SELECT b_cui, d_cui, b_cui AS b_out, d_cui AS d_out, strength_raw, strength_if FROM fr JOIN strengths ON b_cui = cui_microbe AND d_cui = cui_disease),
 op AS (SELECT b_cui, d_cui FROM fr WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.b_cui = fr.b_cui AND ex.d_cui = fr.d_cui)),
-nr AS (SELECT b_cui, d_cui, m2.relative AS b_out, d2.relative AS d_out, strength_raw, strength_if FROM op JOIN m2 ON m2.node = b_cui JOIN strengths ON cui_microbe = m2.relative JOIN d2 ON d2.node = d_cui AND d2.relative = cui_disease
-       QUALIFY row_number() OVER (PARTITION BY b_cui, d_cui ORDER BY m2.relative, d2.relative) = 1),
+nr AS (SELECT b_cui, d_cui, mb.cui_microbe AS b_out, d2.relative AS d_out, strength_raw, strength_if FROM op JOIN part ON p_partkey = b_cui JOIN d2 ON d2.node = d_cui JOIN mb ON mb.p_brand = part.p_brand AND mb.cui_disease = d2.relative AND mb.cui_microbe <> b_cui
+       QUALIFY row_number() OVER (PARTITION BY b_cui, d_cui ORDER BY mb.cui_microbe, d2.relative) = 1),
 fd AS (SELECT * FROM ex UNION ALL SELECT * FROM nr),
 cmp AS (SELECT fr.b_cui, fr.d_cui, relation, seq, b_out, d_out, strength_raw, strength_if,
   CASE WHEN strength_raw IS NULL THEN NULL WHEN strength_raw = 0 THEN 'unsure' WHEN (strength_raw > 0 AND relation = 'positive') OR (strength_raw < 0 AND relation = 'negative') THEN 'coincide' ELSE 'wrong' END AS agreement,
