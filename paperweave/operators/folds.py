@@ -5,29 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 
-#: Spans of values in which rows are ranked in parallel.
-SPANS = 1024
-
-
-def span_of(rows: DataFrame, column: str, spans: int = SPANS) -> tuple[int, int]:
-    """(least value, width) of so many equal spans over an integer column."""
-    lo, hi = rows.agg(F.min(column), F.max(column)).first() or (None, None)
-    return (0, 1) if lo is None else (int(lo), (int(hi) - int(lo)) // spans + 1)
+#: Ranges for each shuffle partition, in which rows are ranked in parallel.
+RANGES = 4
 
 
 def placed(rows: DataFrame, order: list[str], out: str = "_i") -> DataFrame:
-    """Adds each row's place, from 0, in an order that an integer column leads; rows without a value of it come first.
+    """Adds each row's place, from 0, in the order of columns, nulls first.
 
-    Rows are ranked within ``SPANS`` spans of the leading column, in parallel, and the spans' counts are added up; no task sees all rows.
+    Rows are dealt into ranges of all these columns by a sample, so neither outlying nor frequent values put many of them into one; they
+    are ranked within their range, and the ranges' counts are added up. No task sees all rows.
     """
-    least, width = span_of(rows, order[0])
-    lead = F.floor((F.col(order[0]).cast("decimal(20,0)") - F.lit(least)) / F.lit(width)).cast("int")
-    parts = rows.withColumn("_p", F.coalesce(lead, F.lit(-1)))
+    n = max(16, RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # as files, since another run would sample anew
+    parts = cut(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     firsts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     firsts = firsts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_first"))
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    # at most SPANS + 1 rows
+    # at most as many rows as ranges
     return parts.withColumn("_r", rank).join(F.broadcast(firsts), "_p").withColumn(out, F.col("_first") + F.col("_r") - 1).drop("_p", "_r", "_first")
 
 

@@ -120,3 +120,19 @@ def test_learning_queries_use_the_operators_defaults(spark, sf, monkeypatch, nam
     with pytest.raises(Stop):
         entry.queries()[name](spark, sf)
     assert used == {step: {} for step in steps}
+
+
+def test_places_in_even_ranges(spark):
+    """Outlying and frequent values put no more rows into a range than others."""
+    from pyspark.sql import functions as F
+
+    from paperweave.operators.folds import placed
+
+    rows = spark.range(20_000).select(F.when(F.col("id") == 0, 10**15).when(F.col("id") < 8000, 5).otherwise(F.col("id") % 1000).cast("long").alias("k"), "id")
+    got = placed(rows, ["k", "id"]).collect()
+    want = sorted((r.k, r.id) for r in got)
+    assert [(r.k, r.id) for r in sorted(got, key=lambda r: r._i)] == want and sorted(r._i for r in got) == list(range(20_000))
+    n = [r["count"] for r in rows.repartitionByRange(16, "k", "id").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(n) < 2 * 20_000 / len(n) and len(n) == 16
+    few = placed(spark.createDataFrame([(None, 1), (3, 2), (None, 0)], "k long, id long"), ["k", "id"]).collect()
+    assert {(r.k, r.id): r._i for r in few} == {(None, 0): 0, (None, 1): 1, (3, 2): 2}
