@@ -121,11 +121,11 @@ def bfs_distance(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {STRENGTHS}, u AS (SELECT 'p' || cui_microbe AS a, 'n' || cui_disease AS b FROM strengths WHERE strength_raw > 2 UNION SELECT 'n' || cui_disease, 'p' || cui_microbe FROM strengths WHERE strength_raw > 2),
+    f"""WITH RECURSIVE {STRENGTHS}, u AS (SELECT 'p' || cui_microbe AS a, 'n' || cui_disease AS b FROM strengths WHERE strength_raw <> 0 UNION SELECT 'n' || cui_disease, 'p' || cui_microbe FROM strengths WHERE strength_raw <> 0),
     {_DIST.format('n5')} SELECT * FROM dist"""
 )
 def bfs_distance_strong_edges(spark, sf_dir):
-    s = GraphView(spark, sf_dir).strengths.where("strength_raw > 2")
+    s = GraphView(spark, sf_dir).strengths.where("strength_raw <> 0")
     e = s.select(F.concat(F.lit("p"), F.col("cui_microbe").cast("string")).alias("a"), F.concat(F.lit("n"), F.col("cui_disease").cast("string")).alias("b"))
     return P.distances(P.undirected(e), spark.createDataFrame([("n5",)], "node string"))
 

@@ -111,9 +111,9 @@ def ranked_lineage(spark, sf_dir):
     return P.ranked_lineages(taxa, ranks)
 
 
-@query(f"WITH {_TAXA}, c AS (SELECT DISTINCT child, parent FROM taxa) SELECT a.child, a.parent FROM c a UNION SELECT b.child, b.parent FROM c a JOIN (SELECT child, min(parent) AS parent FROM c GROUP BY child) b ON b.child = a.parent")
+@query(f"WITH {MICROBE_PARENTS}, c AS (SELECT DISTINCT child, parent FROM microbe_parents) SELECT a.child, a.parent FROM c a UNION SELECT b.child, b.parent FROM c a JOIN (SELECT child, min(parent) AS parent FROM c GROUP BY child) b ON b.child = a.parent")
 def microbe_lineage_edges(spark, sf_dir):
-    taxa = GraphView(spark, sf_dir).microbe_parents.where("length(child) % 5 <> 0")
+    taxa = GraphView(spark, sf_dir).microbe_parents
     lines = P.lineages(taxa)
     start = lines.select("node", "line", F.lit(0).alias("step"), F.col("node").alias("ancestor")).distinct()
     return U.lineage_edges(lines.unionByName(start), ["node", "line"], "step", "ancestor")
