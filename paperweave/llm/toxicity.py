@@ -260,10 +260,15 @@ def fit_logistic(rows: list[tuple[int, list[int]]], n: int, l2: float = 0.3, rou
     return w[:n], float(w[n])
 
 
+#: Tasks that the labelled rows are dealt to.
+TAUGHT_PARTS = 64
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: int = FEATURES) -> Model:
     """The character model of all documents, and a classifier of at most ``fit_rows`` labelled rows that are not held out.
 
-    The rows are those with the smallest hash of doc_id. Rows without a label, or whose doc_ids disagree on it, teach nothing.
+    The rows are those with the smallest hash of doc_id; of rows that share one, that with the smallest hash of the text. Rows without a
+    label, or whose doc_ids disagree on it, teach nothing.
     """
     spark = small_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -271,8 +276,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: in
     known = pick(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.where(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 != 2).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("top"))
     known = known.where("toxic = top").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    # fit_rows ids at most
-    taught = docs.join(F.broadcast(known), "doc_id").select("toxic", "text")
+    # fit_rows ids at most, and one row of each
+    taught = docs.join(F.broadcast(known), "doc_id").repartition(TAUGHT_PARTS, "doc_id")
+    taught = taught.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text")
     sent = spark.sparkContext.broadcast(letters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -145,3 +145,14 @@ def test_paths_held_do_not_grow_with_the_text(tables):
     finally:
         T._settled = old
     assert len(held) > 20 and max(held) < 256
+
+
+def test_repeated_ids_teach_once(spark, monkeypatch):
+    """Rows that share a doc_id teach one of their texts, so no more rows than fit_rows come to the driver, whatever repeats."""
+    met, fit = [], T.fit_logistic
+    monkeypatch.setattr(T, "fit_logistic", lambda rows, n: met.append(len(rows)) or fit(rows, n))
+    docs = spark.createDataFrame([(i % 80, f"bad{i % 2} words number{i}") for i in range(320)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    for most in (40, 100):
+        T.train(docs, labels, most)
+    assert len(met) == 2 and met[0] == 40 and met[1] < 80
