@@ -261,7 +261,7 @@ def fit_logistic(rows: list[tuple[int, list[int]]], n: int, l2: float = 0.3, rou
 
 
 #: Tasks that the labelled rows are dealt to.
-TAUGHT_PARTS = 64
+TAUGHT_PARTS = 16
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: int = FEATURES) -> Model:
