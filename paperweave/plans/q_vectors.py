@@ -11,7 +11,9 @@ from ..operators import graph_ml as G
 from ..operators import graph_network as N
 from ..operators import vectors as V
 from ..operators.graph_attention import attention_layer, random_weights
+from ..operators.layout import neighbour_layout
 from ..sources import literature as S
+from ..sources.run_sink import publish, read_run
 from ..streaming import pulls as T
 from .graph_view import STRENGTHS, GraphView
 from .lineage import cut, shared_path
@@ -97,6 +99,13 @@ def pca_2d(spark, sf_dir):
     return G.project_2d(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+@query()
+def neighbour_map(spark, sf_dir):
+    """The map of all vectors that keeps ten neighbours of each, published as one run with its parameters and read back."""
+    place = lambda e, **params: publish(neighbour_layout(e, "vec_id", "embedding", **params), shared_path(spark, "maps"), "map", params)
+    return read_run(spark, place(table(spark, sf_dir, "embeddings"), k=10, min_dist=0.1, seed=42), "map")
+
+
 @query("SELECT CASE WHEN label = 9 THEN 'failed to converge' ELSE CAST(label AS VARCHAR) END AS cluster, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean FROM embeddings GROUP BY 1")
 def cluster_table(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.when(F.col("label") != 9, F.col("label")).alias("c"), F.col("embedding")[0].cast("double").alias("x"))
@@ -262,10 +271,33 @@ def events_daily_stream(spark, sf_dir):
     return spark.table(name)
 
 
-@query("SELECT CAST(s AS VARCHAR) || '-' || i AS _id, 'Title ' || i AS title, CAST(year(s) AS VARCHAR) AS publication_date FROM (SELECT CAST(d AS DATE) AS s FROM generate_series(DATE '2020-01-01', DATE '2020-06-01', INTERVAL 1 MONTH) t(d)), unnest(range(3)) u(i)")
+_ARTICLES = "SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_orderpriority AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS publication_date FROM orders WHERE trim(o_orderpriority) <> '' AND o_orderdate IS NOT NULL AND o_orderkey IS NOT NULL"
+
+
+def _months(spark, sf_dir, last=None):
+    """Windows from the first month with orders to the last one, or to that of ``last``."""
+    first, end = table(spark, sf_dir, "orders").agg(*[f(F.col("o_orderdate").cast("date").cast("string")) for f in (F.min, F.max)]).first()
+    return T.month_windows(spark, f"{first[:7]}-01", last or end), first, end
+
+
+@query(_ARTICLES)
 def literature_pull(spark, sf_dir):
-    windows = T.month_windows(spark, "2020-01-01", "2020-06-01")
-    return S.pull(spark, windows, "paperweave.sources.literature:stub_client").select("_id", "title", "publication_date")
+    """All articles, a window a partition, from a client that answers from the table of orders."""
+    windows, _, _ = _months(spark, sf_dir)
+    return S.pull(spark, windows, "paperweave.sources.literature:table_client", source=f"{sf_dir}/orders.parquet").select("_id", "title", "publication_date")
+
+
+@query(_ARTICLES)
+def literature_stream(spark, sf_dir):
+    """The same as a stream that is stopped half-way and goes on from its checkpoint with the months that are left."""
+    _, first, end = _months(spark, sf_dir)
+    target, checkpoint = shared_path(spark, "articles"), shared_path(spark, "pulls")
+    middle = f"{(int(first[:4]) + int(end[:4])) // 2}-06-01"
+    for last in (max(first, min(middle, end)), end):
+        windows, _, _ = _months(spark, sf_dir, last)
+        stream = S.pull_stream(spark, windows, "paperweave.sources.literature:table_client", source=f"{sf_dir}/orders.parquet")
+        T.append_once(stream, target, ["_id"], ["publication_date"], checkpoint)
+    return spark.read.parquet(target).select("_id", "title", "publication_date")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS _id, source AS journal FROM documents WHERE doc_id % 5 <> 0 AND trim(text) <> ''")
@@ -280,6 +312,13 @@ def literature_query(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(S.matches(F.col("text"), ["License", "worthless"])).select("doc_id")
 
 
+@query("SELECT doc_id, ['positive', 'negative', 'na'][CAST('0x' || substr(md5(text), 1, 2) AS INTEGER) % 3 + 1] AS label FROM documents")
+def published_run(spark, sf_dir):
+    """Labels of all documents, published by their tasks and one commit, and read back by the index."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", M.scalar_model(M.stub_classifier)("text").alias("label"))
+    return read_run(spark, publish(rows, shared_path(spark, "runs"), "labels", {"model": "stub", "table": "documents"}), "labels")
+
+
 @query("SELECT doc_id, ['positive', 'negative', 'na'][CAST('0x' || substr(md5(text), 1, 2) AS INTEGER) % 3 + 1] AS label FROM documents")
 def model_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", M.scalar_model(M.stub_classifier)("text").alias("label"))

@@ -49,6 +49,6 @@ def test_query_equals_sql(spark, duck, sf, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["mmr_rerank", "fastrp_embedding", "negative_sampling", "random_edge_split", "pca_2d", "shortest_path_edges", "neighbour_mean"])
+@pytest.mark.parametrize("name", ["mmr_rerank", "fastrp_embedding", "negative_sampling", "random_edge_split", "pca_2d", "shortest_path_edges", "neighbour_mean", "neighbour_map"])
 def test_query_without_sql_gives_rows(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
