@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import pick
-from .scratch import small_batches
+from .scratch import Scratch, small_batches
 from .textops import runs
 
 #: Letters that a character may stand for.
@@ -41,9 +40,9 @@ _SEPARATE = re.compile(r"(?:[\w@$!|+€£][*.\-_~^'`´·,;:/\\#%&=]+){2,}[\w@$!|
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$-_~^=/\\|+"
 #: Lengths of word beginnings that are features beside the whole word.
 PREFIXES = (3, 4, 5, 6)
-#: Labelled rows that the classifier is fitted on at most, drawn by a hash of doc_id; features that it keeps at most.
-FIT_ROWS, FEATURES = 20_000, 2_000
-#: Standard errors by which a feature's rates must differ between the classes.
+#: Labelled rows that the classifier is fitted on at most, drawn by a hash of doc_id.
+FIT_ROWS = 20_000
+#: Standard errors by which a feature's rates must differ between the classes; all features that do are kept.
 LEAST_SCORE = 3.5
 THRESHOLD = 0.3
 
@@ -264,11 +263,12 @@ def fit_logistic(rows: list[tuple[int, list[int]]], n: int, l2: float = 0.3, rou
 TAUGHT_PARTS = 16
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: int = FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The character model of all documents, and a classifier of at most ``fit_rows`` labelled rows that are not held out.
 
     The rows are those with the smallest hash of doc_id; of rows that share one, that with the smallest hash of the text. Rows without a
-    label, or whose doc_ids disagree on it, teach nothing.
+    label, or whose doc_ids disagree on it, teach nothing. Each of these texts is decoded once, into a table of its features; what comes to
+    the driver is theirs alone, and the features that tell the classes apart.
     """
     spark = small_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -281,45 +281,40 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep: in
     taught = taught.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text")
     sent = spark.sparkContext.broadcast(letters)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, seen = Restorer(sent.value), (Counter(), Counter())
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(sent.value)
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen[y].update({f for w in restorer.words(text.as_py() or "") for f in features(w)})
-            if len(seen[0]) + len(seen[1]) > 100_000:
-                yield _counted(seen)
-                seen = (Counter(), Counter())
-        yield _counted(seen)
-
-    sums = taught.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    n1, n0 = (taught.groupBy().agg(F.sum("toxic"), F.count(F.lit(1)) - F.sum("toxic")).first() or (0, 0))
+            found = [sorted({f for w in restorer.words(text.as_py() or "") for f in features(w)}) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["y", "found"])
+
+    scratch = Scratch(spark)
+    decoded = scratch.write("taught", taught.mapInArrow(decode, "y int, found array<string>"))
+    sums = decoded.select("y", F.explode("found").alias("feature")).groupBy("feature").agg(F.sum("y").cast("long").alias("t"), F.sum(1 - F.col("y")).cast("long").alias("c"))
+    n1, n0 = decoded.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     n1, n0 = n1 or 0, n0 or 0
     if not n1 or not n0:
+        scratch.clear()
         return Model(letters, {}, math.log((n1 + 0.5) / (n0 + 0.5)))
     # how far the feature's rate among toxic rows departs from that among clean ones, in standard errors
     p = (F.col("t") + F.col("c") + 1.0) / (n1 + n0 + 2.0)
     score = (F.col("t") / n1 - F.col("c") / n0) / F.sqrt(p * (1 - p) * (1.0 / n1 + 1.0 / n0))
     telling = sums.where("t + c >= 2").withColumn("score", F.abs(score)).where(F.col("score") >= LEAST_SCORE)
-    chosen = [r[0] for r in telling.orderBy(F.col("score").desc(), "feature").limit(keep).select("feature").collect()]
+    chosen = [r[0] for r in telling.orderBy("feature").select("feature").collect()]
     place = {f: i for i, f in enumerate(chosen)}
     sent_place = spark.sparkContext.broadcast(place)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, at = Restorer(sent.value), sent_place.value
+        at = sent_place.value
         for batch in batches:
-            ids = [sorted({at[f] for w in restorer.words(t.as_py() or "") for f in features(w) if f in at}) for t in batch.column(1)]
+            ids = [[at[f] for f in found if f in at] for found in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["y", "ids"])
 
-    rows = [(r.y, r.ids) for r in taught.mapInArrow(encode, "y int, ids array<int>").toLocalIterator()]
+    rows = [(r.y, r.ids) for r in decoded.mapInArrow(encode, "y int, ids array<int>").orderBy("ids", "y").toLocalIterator()]
+    scratch.clear()
     w, b = fit_logistic(rows, len(chosen))
     return Model(letters, {f: float(x) for f, x in zip(chosen, w, strict=True) if x}, b)
 
 
-def _counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
-    names = list(seen[0] | seen[1])
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], ["feature", "toxic", "clean"])
-
-
 class Scorer:
     def __init__(self, model: Model, memory: int = 50_000):
         # tokens are remembered with their features, so the restorer need not remember them too
