@@ -280,11 +280,18 @@ def _months(spark, sf_dir, last=None):
     return T.month_windows(spark, f"{first[:7]}-01", last or end), first, end
 
 
+def _service(spark, sf_dir):
+    """What the client answers from: the orders in the folder that all executors share, as clients open files without Spark."""
+    path = shared_path(spark, "service")
+    table(spark, sf_dir, "orders").write.parquet(path)
+    return path
+
+
 @query(_ARTICLES)
 def literature_pull(spark, sf_dir):
     """All articles, a window a partition, from a client that answers from the table of orders."""
     windows, _, _ = _months(spark, sf_dir)
-    return S.pull(spark, windows, "paperweave.sources.literature:table_client", source=f"{sf_dir}/orders.parquet").select("_id", "title", "publication_date")
+    return S.pull(spark, windows, "paperweave.sources.literature:table_client", source=_service(spark, sf_dir)).select("_id", "title", "publication_date")
 
 
 @query(_ARTICLES)
@@ -292,10 +299,11 @@ def literature_stream(spark, sf_dir):
     """The same as a stream that is stopped half-way and goes on from its checkpoint with the months that are left."""
     _, first, end = _months(spark, sf_dir)
     target, checkpoint = shared_path(spark, "articles"), shared_path(spark, "pulls")
+    service = _service(spark, sf_dir)
     middle = f"{(int(first[:4]) + int(end[:4])) // 2}-06-01"
     for last in (max(first, min(middle, end)), end):
         windows, _, _ = _months(spark, sf_dir, last)
-        stream = S.pull_stream(spark, windows, "paperweave.sources.literature:table_client", source=f"{sf_dir}/orders.parquet")
+        stream = S.pull_stream(spark, windows, "paperweave.sources.literature:table_client", source=service)
         T.append_once(stream, target, ["_id"], ["publication_date"], checkpoint)
     return spark.read.parquet(target).select("_id", "title", "publication_date")
 
