@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chat import substitute_entities
+from .folds import placed_within
 
 
 def by_class(rows: DataFrame, label: str, classes: list[str]) -> dict[str, DataFrame]:
@@ -26,10 +27,10 @@ def sample_per_group(rows: DataFrame, group: str, order: list[Column], large: in
 
     Rows are taken in the given order, which makes the sample repeatable; half a row or more counts as one.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    ranked = rows.withColumn("_n", n).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    names = [f"_o{i}" for i in range(len(order))]
+    ranked = placed_within(rows.withColumns(dict(zip(names, order, strict=True))), group, names).drop(*names)
     rate = F.when(F.col("_n") > large, rates[0]).when(F.col("_n") > 1, rates[1]).otherwise(1.0)
-    return ranked.where(F.col("_r") <= F.floor(F.col("_n") * rate + 0.5)).drop("_n", "_r")
+    return ranked.where(F.col("_i") < F.floor(F.col("_n") * rate + 0.5)).drop("_n", "_i")
 
 
 def one_per_group(rows: DataFrame, group: str, value: str, order: Column) -> DataFrame:
@@ -42,8 +43,7 @@ def shuffled_entities(rows: DataFrame, label: str, order: list[str], shift: int
 
     The other row is ``shift`` places on, in order, and the first rows lend theirs to the last.
     """
-    w = Window.partitionBy(label).orderBy(*order)
-    ranked = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(label)))
+    ranked = placed_within(rows, label, order)
     lender = ranked.select(label, F.pmod(F.col("_i") - shift, F.col("_n")).alias("_i"), F.col("microbe").alias("new_microbe"), F.col("disease").alias("new_disease"))
     out = ranked.join(lender, [label, "_i"]).drop("_i", "_n")
     return out.withColumn("text", substitute_entities(F.col("text"), F.col("disease"), F.col("new_disease"), F.col("microbe"), F.col("new_microbe")))

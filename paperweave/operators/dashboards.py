@@ -74,9 +74,9 @@ def rank_pairs(strengths: DataFrame, microbes: DataFrame, diseases: DataFrame, m
 
 
 def linked_nodes(strengths: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
-    """Nodes with a strength edge, with the option label 'Name (cui)'."""
+    """Nodes with a strength edge, with the option label 'Name (cui)', sorted by name."""
     linked = nodes.join(strengths.select(F.col(key).alias("cui")).distinct(), "cui", "left_semi")
-    return linked.select("cui", "name", option_label(F.col("name"), F.col("cui").cast("string")).alias("option"))
+    return linked.select("cui", "name", option_label(F.col("name"), F.col("cui").cast("string")).alias("option")).orderBy("name", "cui")
 
 
 def capitalise(c: Column) -> Column:

@@ -27,6 +27,22 @@ def placed(rows: DataFrame, order: list[str], out: str = "_i") -> DataFrame:
     return parts.withColumn("_r", rank).join(F.broadcast(firsts), "_p").withColumn(out, F.col("_first") + F.col("_r") - 1).drop("_p", "_r", "_first")
 
 
+#: Parts that the rows of one group are dealt over when they meet their group's bounds.
+SALTS = 16
+
+
+def placed_within(rows: DataFrame, group: str, order: list[str], out: str = "_i", size: str = "_n") -> DataFrame:
+    """Adds each row's place in its group, from 0, in the order of columns, and the group's size; null is a group too.
+
+    Rows are placed once for all groups, so that many tasks share a large group; what a group begins with is subtracted.
+    """
+    every = placed(rows, [group, *order], "_all").withColumn("_s", F.pmod(F.col("_all"), F.lit(SALTS)))
+    spans = every.groupBy(F.col(group).alias("_g")).agg(F.min("_all").alias("_first"), F.count(F.lit(1)).alias(size))
+    spans = spans.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = every.join(spans, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_s") == F.col("_t")))
+    return met.withColumn(out, F.col("_all") - F.col("_first")).drop("_all", "_s", "_g", "_t", "_first")
+
+
 def counted(rows: DataFrame, out: str = "_n") -> DataFrame:
     """Adds the number of rows."""
     return rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias(out))))
@@ -56,11 +72,9 @@ def stratified_folds(rows: DataFrame, label: str, order: list[str], n: int, fill
 
     An integer column leads the order.
     """
-    by_class = Window.partitionBy(label)
-    others = rows.where(F.col(label) != F.lit(filler))
-    i = F.row_number().over(by_class.orderBy(*order)) - 1
-    per = F.greatest(F.floor(F.count(F.lit(1)).over(by_class) / n), F.lit(1))
-    others = others.withColumn("fold", F.least(F.floor(i / per), F.lit(n - 1)).cast("long"))
+    others = placed_within(rows.where(F.col(label) != F.lit(filler)), label, order)
+    per = F.greatest(F.floor(F.col("_n") / n), F.lit(1))
+    others = others.withColumn("fold", F.least(F.floor(F.col("_i") / per), F.lit(n - 1)).cast("long")).drop("_i", "_n")
     have = others.groupBy("fold").agg(F.count(F.lit(1)).alias("have"))
     folds = rows.sparkSession.range(n).select(F.col("id").alias("fold")).join(have, "fold", "left").withColumn("room", F.greatest(F.lit(size) - F.coalesce("have", F.lit(0)), F.lit(0)))
     ends = folds.withColumn("end", F.sum("room").over(Window.orderBy("fold"))).withColumn("start", F.col("end") - F.col("room")).withColumn("end", F.when(F.col("fold") == n - 1, F.lit((1 << 62))).otherwise(F.col("end")))
