@@ -2,7 +2,8 @@
 
 A benchmark window is a set of shingles that a contaminated text must contain whole, so one of them, the prefix, is necessary: the
 rarest by the corpus's own counts. Documents are probed for prefix shingles only; a hit at word p of a shingle with offset o can only
-be a window at p - o, which must lie within the text; there the window's words are compared one by one.
+be a window at p - o, which must lie within the text; there the window's words are compared one by one, by their hashes and then byte
+by byte.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from .textops import LOWER, NOT_ALNUM, U, row_slices, runs, shingles, word_bound
 WINDOW = 10
 #: Words of a shingle whose rarity orders the windows.
 SHINGLE = 5
-#: Words of benchmark items that one broadcast block holds; a larger benchmark is joined block by block.
+#: Words of benchmark items that one broadcast block holds, and bytes of words; a larger benchmark is joined block by block.
 BLOCK_WORDS = 2_000_000
+BLOCK_BYTES = 32 << 20
+#: Bytes that one step of a comparison holds, a longer word aside.
+COMPARED = 1 << 20
 
 
 def alnum_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -33,11 +37,46 @@ def alnum_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, starts, ends, rows
 
 
+@dataclass
+class Words:
+    """Words in lower case: their hashes, and the bytes that each covers of ``data``."""
+
+    hashes: np.ndarray
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def words_of(data: np.ndarray, at: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The words of rows of text, and each word's row."""
+    low, starts, ends, rows = alnum_words(data, at)
+    return Words(word_hashes(low, starts, ends), low, starts, ends), rows
+
+
+def equal_bytes(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether word i of a is word j of b, pair by pair."""
+    n = a.ends[i] - a.starts[i]
+    same = n == b.ends[j] - b.starts[j]
+    todo = np.flatnonzero(same)
+    total = np.cumsum(n[todo])
+    at = 0
+    while at < len(todo):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + COMPARED, "right")))
+        some = todo[at:end]
+        size = n[some]
+        owner = np.repeat(np.arange(len(some)), size)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        differ = a.data[a.starts[i[some]][owner] + step] != b.data[b.starts[j[some]][owner] + step]
+        same[some[owner[differ]]] = False
+        at = end
+    return same
+
+
 @dataclass
 class Block:
-    """Windows of some items. ``words``: the items' word hashes one after another; window w is ``size[w]`` words from ``first[w]``."""
+    """Windows of some items. ``words``: the items' words one after another; window w is ``size[w]`` words from ``first[w]``."""
 
-    words: np.ndarray
+    words: Words
     first: np.ndarray
     size: np.ndarray
     item: np.ndarray  # place among ids
@@ -46,30 +85,35 @@ class Block:
 
 def item_blocks(items: Iterable[tuple[object, str | None]], window: int, block_words: int) -> Iterator[Block]:
     """Blocks of items with words, each made when it is asked for."""
-    todo, held = [], 0
+    todo, held, size = [], 0, 0
     for ident, text in items:
         raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
-        low, starts, ends, _ = alnum_words(raw, np.array([0, len(raw)]))
-        w = word_hashes(low, starts, ends)
-        if len(w):
+        w, _ = words_of(raw, np.array([0, len(raw)]))
+        if len(w.hashes):
             todo.append((ident, w))
-            held += len(w)
-        if held >= block_words:
+            held += len(w.hashes)
+            size += len(w.data)
+        if held >= block_words or size >= BLOCK_BYTES:
             yield _block(todo, window)
-            todo, held = [], 0
+            todo, held, size = [], 0, 0
     if todo:
         yield _block(todo, window)
 
 
-def _block(items: list[tuple[object, np.ndarray]], window: int) -> Block:
-    first, size, item, base = [], [], [], 0
+def _block(items: list[tuple[object, Words]], window: int) -> Block:
+    first, size, item, starts, ends = [], [], [], [], []
+    base = byte = 0
     for i, (_, w) in enumerate(items):
-        n = max(1, len(w) - window + 1)
+        n = max(1, len(w.hashes) - window + 1)
         first.append(base + np.arange(n))
-        size.append(np.full(n, min(window, len(w))))
+        size.append(np.full(n, min(window, len(w.hashes))))
         item.append(np.full(n, i))
-        base += len(w)
-    return Block(np.concatenate([w for _, w in items]), np.concatenate(first), np.concatenate(size), np.concatenate(item), [i for i, _ in items])
+        starts.append(w.starts + byte)
+        ends.append(w.ends + byte)
+        base += len(w.hashes)
+        byte += len(w.data)
+    words = Words(np.concatenate([w.hashes for _, w in items]), np.concatenate([w.data for _, w in items]), np.concatenate(starts), np.concatenate(ends))
+    return Block(words, np.concatenate(first), np.concatenate(size), np.concatenate(item), [i for i, _ in items])
 
 
 def _grams(words: np.ndarray, k: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -83,17 +127,16 @@ def _grams(words: np.ndarray, k: int, rows: np.ndarray | None = None) -> tuple[n
 
 def rarities(docs: DataFrame, block: Block, shingle: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By shingle length: the block's shingles and how often each occurs in all of ``docs``. As many rows as the block has."""
-    wanted = {k: np.unique(_grams(block.words, k)[0]) for k in sorted({int(min(shingle, n)) for n in np.unique(block.size)})}
+    wanted = {k: np.unique(_grams(block.words.hashes, k)[0]) for k in sorted({int(min(shingle, n)) for n in np.unique(block.size)})}
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {k: np.zeros(len(v), np.int64) for k, v in sent.value.items()}
         for batch in batches:
             for _, data, at in runs(batch):
-                low, starts, ends, rows = alnum_words(data, at)
-                w = word_hashes(low, starts, ends)
+                w, rows = words_of(data, at)
                 for k, v in sent.value.items():
-                    h = _grams(w, k, rows)[0]
+                    h = _grams(w.hashes, k, rows)[0]
                     i = np.minimum(np.searchsorted(v, h), len(v) - 1)
                     i = i[v[i] == h]
                     found[k] += np.bincount(i, minlength=len(v))
@@ -123,7 +166,7 @@ def probes(block: Block, rarity: dict[int, tuple[np.ndarray, np.ndarray]], shing
         w = np.flatnonzero(np.minimum(block.size, shingle) == k)
         if not len(w):
             continue
-        h = shingles(block.words, k)
+        h = shingles(block.words.hashes, k)
         best, offset = np.full(len(w), np.iinfo(np.int64).max), np.zeros(len(w), np.int64)
         for o in range(int(block.size[w].max()) - k + 1):
             ok = o + k <= block.size[w]
@@ -135,12 +178,12 @@ def probes(block: Block, rarity: dict[int, tuple[np.ndarray, np.ndarray]], shing
     return Probe(block, out)
 
 
-def window_hits(words: np.ndarray, at: np.ndarray, rows: np.ndarray, probe: Probe) -> tuple[np.ndarray, np.ndarray]:
+def window_hits(words: Words, at: np.ndarray, rows: np.ndarray, probe: Probe) -> tuple[np.ndarray, np.ndarray]:
     """Word positions at which windows start, and the windows. ``at``: the rows' word offsets; ``rows``: each word's row."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     b = probe.block
     for k, (prefix, window, offset, size) in probe.by_length.items():
-        h, p = _grams(words, k, rows)
+        h, p = _grams(words.hashes, k, rows)
         lo, hi = np.searchsorted(prefix, h, "left"), np.searchsorted(prefix, h, "right")
         hit = np.flatnonzero(hi > lo)
         # copies of one window in the benchmark share a prefix, so a shingle has as many candidates as the benchmark has windows with it
@@ -151,9 +194,9 @@ def window_hits(words: np.ndarray, at: np.ndarray, rows: np.ndarray, probe: Prob
             ok = (start >= at[row]) & (start + size[j] <= at[row + 1])
             start, w, n = start[ok], w[ok], size[j][ok]
             for o in range(int(n.max()) if len(n) else 0):
-                same = (o >= n) | (words[np.minimum(start + o, len(words) - 1)] == b.words[np.minimum(b.first[w] + o, len(b.words) - 1)])
+                same = (o >= n) | (words.hashes[np.minimum(start + o, len(words.hashes) - 1)] == b.words.hashes[np.minimum(b.first[w] + o, len(b.words.hashes) - 1)])
                 start, w, n = start[same], w[same], n[same]
-            found.append((start, w))
+            found.append(_exact(words, start, b, w, n))
             lo[hit] += 1
             hit = hit[lo[hit] < hi[hit]]
     if not found:
@@ -161,6 +204,18 @@ def window_hits(words: np.ndarray, at: np.ndarray, rows: np.ndarray, probe: Prob
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
+def _exact(words: Words, start: np.ndarray, b: Block, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the windows w found at start that hold the same bytes. A word that neighbouring windows share is compared once."""
+    owner = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    here, there = start[owner] + step, b.first[w][owner] + step
+    _, one, back = np.unique(here * len(b.words.hashes) + there, return_index=True, return_inverse=True)
+    wrong = ~equal_bytes(words, here[one], b.words, there[one])[back.ravel()]
+    keep = np.ones(len(n), bool)
+    keep[owner[wrong]] = False
+    return start[keep], w[keep]
+
+
 _COLUMNS = "n_words long, spans array<struct<start: long, end: long, item: string>>"
 
 
@@ -173,8 +228,7 @@ def _scan(docs: DataFrame, probe: Probe, first_block: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at in runs(batch):
-                low, starts, ends, rows = alnum_words(data, at)
-                w = word_hashes(low, starts, ends)
+                w, rows = words_of(data, at)
                 cut = row_slices(rows, part.num_rows)
                 start, win = window_hits(w, cut, rows, sent.value)
                 b = sent.value.block
@@ -206,7 +260,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 scratch.drop(old)
         docs = _scan(docs, probes(block, rarities(base, block, shingle), shingle), first)
         first = False
-    return _scan(docs, Probe(Block(np.zeros(0, U), *[np.zeros(0, np.int64)] * 3, []), {}), True) if first else docs
+    return _scan(docs, Probe(Block(Words(np.zeros(0, U), np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 2), *[np.zeros(0, np.int64)] * 3, []), {}), True) if first else docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -67,10 +67,35 @@ def test_no_more_than_a_block_is_held(monkeypatch, spark):
 
     texts, items = made(3)
     seen, probes = [], D.probes
-    monkeypatch.setattr(D, "probes", lambda block, *a: seen.append(len(block.words)) or probes(block, *a))
+    monkeypatch.setattr(D, "probes", lambda block, *a: seen.append(len(block.words.hashes)) or probes(block, *a))
     given = iter(items)
     first = next(D.item_blocks(given, 10, 30))
-    assert 30 <= len(first.words) < 30 + 25 and next(given, None) is not None
+    assert 30 <= len(first.words.hashes) < 30 + 25 and next(given, None) is not None
     got = decontaminate(plain(spark, texts[:20]), spark.createDataFrame(items, "item_id long, text string"), block_words=60).drop("items")
     assert sorted(map(tuple, got.collect()), key=repr) == brute(texts[:20], items)
     assert len(seen) > 2 and max(seen) < 60 + 25
+
+
+def test_windows_whose_hashes_collide_are_told_apart(monkeypatch):
+    """With a word's length for its hash, only the comparison of bytes can be right; words longer than a step of it included."""
+    import numpy as np
+
+    from paperweave.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "word_hashes", lambda data, starts, ends: (ends - starts).astype(D.U))
+    monkeypatch.setattr(D, "COMPARED", 7)
+    texts, items = made(4)
+    items += [(200, "x" * 50), (201, "x" * 49 + "y"), (202, "mmm nnn")]
+    texts += [(100, "a " + "X" * 50 + " b"), (101, "nnn mmm nnn nn")]
+    block = next(D.item_blocks(items, 10, 1 << 30))
+    rarity = {}
+    for k in sorted(set(np.minimum(block.size, 5).tolist())):
+        known = np.unique(D._grams(block.words.hashes, k)[0])
+        rarity[k] = known, np.zeros(len(known), np.int64)
+    probe = D.probes(block, rarity, 5)
+    for ident, text in texts:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        w, rows = D.words_of(raw, np.array([0, len(raw)]))
+        start, win = D.window_hits(w, np.array([0, len(w.hashes)]), rows, probe)
+        hit = {p for s, n in zip(start.tolist(), block.size[win].tolist(), strict=True) for p in range(s, s + n)}
+        assert (len(hit), len({str(block.ids[i]) for i in block.item[win].tolist()})) == brute([(ident, text)], items)[0][2:4]
