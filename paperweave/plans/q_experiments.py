@@ -12,8 +12,10 @@ from ..operators import augment as A
 from ..operators import evaluation as E
 from ..operators import experiments as T
 from ..operators import folds as K
+from ..operators import generation as W
 from ..operators import vectors as V
 from .graph_view import STRENGTHS, GraphView
+from .lineage import shared_path
 from .registry import query, table
 
 _CLASS = "CASE doc_id % 4 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'relate' ELSE 'na' END"
@@ -103,6 +105,28 @@ def rephrased_rows(spark, sf_dir):
     return r.select("id", "text", A.rephrased(A.stub_rephrase)("text", F.lit("and"), "disease").alias("rephrased"))
 
 
+_UNEVEN = "CASE WHEN p_size % 10 < 6 THEN 'positive' WHEN p_size % 10 < 9 THEN 'negative' ELSE 'na' END"
+
+
+@query(
+    f"""WITH rel AS (SELECT p_name AS microbe, p_type AS disease, {_UNEVEN} AS label FROM part WHERE p_partkey % 5 <> 3),
+    c AS (SELECT label, count(*) AS n FROM rel GROUP BY 1),
+    slots AS (SELECT label, n, unnest(range((SELECT n FROM c WHERE label = 'positive') - n)) AS slot FROM c),
+    mm AS (SELECT microbe, row_number() OVER (ORDER BY microbe) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT microbe FROM rel)),
+    dd AS (SELECT disease, row_number() OVER (ORDER BY disease) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT disease FROM rel)),
+    t AS (SELECT s.*, a, microbe, disease, microbe || CASE WHEN (length(microbe) + length(disease)) % 4 = 0 OR ((length(microbe) + length(disease)) % 3 = 0 AND a % 2 = 1) THEN '' ELSE ' is seen with ' || disease END AS answer
+      FROM slots s, unnest(range(1, 7)) u(a), mm, dd WHERE mm.i = (slot * 7919 + (a - 1) // 2 * 104729) % mm.k AND dd.i = (slot * 15485863 + (a - 1) // 2 * 32452843) % dd.k)
+    SELECT label, slot, CAST(a AS INTEGER) AS attempts, microbe, disease, least(3, greatest(n - 5, 0)) AS shots, CASE WHEN good THEN answer END AS text
+    FROM (SELECT *, contains(lower(answer), lower(disease)) AS good, row_number() OVER (PARTITION BY label, slot ORDER BY good DESC, CASE WHEN good THEN a ELSE -a END) AS r FROM t) WHERE r = 1"""
+)
+def class_filling(spark, sf_dir):
+    """Sentences for as many rows as each class lacks, told by examples from outside a held-out fold, in rounds over what is still open."""
+    rows = table(spark, sf_dir, "part").where("p_partkey % 5 <> 3")
+    text = F.concat("p_name", F.lit(" and "), "p_type")
+    rel = rows.select(text.alias("text"), F.col("p_name").alias("microbe"), F.col("p_type").alias("disease"), F.expr(_UNEVEN).alias("label"))
+    return W.fill_classes(rel, E.needed_to_balance(rel, "label", "positive"), W.stub_writer, shared_path(spark, "sentences"), shots=3)
+
+
 @query("SELECT doc_id, text, doc_id % 5 AS fold FROM documents WHERE doc_id % 2 = 0 AND doc_id % 5 <> 3")
 def augmentation_fold_intersection(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
