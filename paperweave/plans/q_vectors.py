@@ -131,9 +131,12 @@ def walk_word2vec(spark, sf_dir):
 @query()
 def metapath_word2vec(spark, sf_dir):
     e = _weighted(spark, sf_dir).select("a", "b", F.when(F.col("a").startswith("p"), "to_disease").otherwise("to_microbe").alias("type"))
-    up = GraphView(spark, sf_dir).disease_parents.where("child LIKE 'n%'").select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit("to_parent").alias("type"))
-    e = e.unionByName(up).unionByName(up.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("to_child").alias("type")))
-    return G.walk_embeddings(G.random_walks(e, metapath=["to_disease", "to_parent", "to_child", "to_microbe"]))
+    g = GraphView(spark, sf_dir)
+    for parents, child, up, down in ((g.disease_parents, "n%", "to_parent", "to_child"), (g.microbe_parents, "p%", "to_taxon", "to_species")):
+        pairs = parents.where(F.col("child").like(child))
+        e = e.unionByName(pairs.select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit(up).alias("type")))
+        e = e.unionByName(pairs.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.lit(down).alias("type")))
+    return G.walk_embeddings(G.random_walks(e, metapath=["to_disease", "to_parent", "to_child", "to_microbe", "to_taxon", "to_species"]))
 
 
 @query()
