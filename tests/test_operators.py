@@ -195,6 +195,33 @@ def test_years_are_filled(spark):
     assert D.fill_years(spark.createDataFrame([], "year int, n long"), "n").count() == 0
 
 
+def test_block_search_is_bounded_and_leaves_k_a_task():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    draw = np.random.default_rng(1)
+    v, ids = draw.normal(size=(12000, 8)), np.arange(12000)
+    v[6000:6400] = v[:400]  # copies, so that ties go by key
+    batch = lambda at: pa.record_batch([pa.array(ids[at]), pa.array(list(v[at])), pa.array(ids[at] % 3)], ["vec_id", "embedding", "label"])
+    for label in (None, "label"):
+        search = V._block_search(pa.Table.from_batches([batch(slice(0, 2000))]), 5, "vec_id", "embedding", label, True)
+        pieces = [batch(slice(0, 6000)), batch(slice(6000, 12000))]
+        tracemalloc.start()
+        got = pa.Table.from_batches(search(iter(pieces)))
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20  # 2000 queries times 6000 rows alone are 96 MB, and there were four of them
+        tracemalloc.stop()
+        assert got.num_rows == 2000 * 5
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        for query in (0, 7, 399, 1999):
+            s = u @ u[query]
+            want = [i for i in np.lexsort((ids, -s.round(12))) if i != query and (not label or i % 3 == query % 3)][:5]
+            rows = got.filter(pc.equal(got["query"], query)).to_pylist()
+            assert [r["neighbour"] for r in sorted(rows, key=lambda r: (-round(r["similarity"], 12), r["neighbour"]))] == want
+
+
 def test_nearest_settles_ties_by_key(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(6)] + [(9, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = V.nearest(rows.where("vec_id = 3"), rows.repartition(3), 3).orderBy("ranking").collect()
