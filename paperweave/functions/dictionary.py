@@ -126,11 +126,14 @@ _PLACE = re.compile(r"\(\s*([^()\s]{2,10})\s*\)")
 
 def long_form(short: str, before: str) -> str | None:
     """The words at the end of ``before`` that ``short`` stands for: each of its letters and digits is found in them from right to left, the
-    first one at the beginning of a word. At most five words more than it has characters are looked at, and at most twice as many."""
+    first one at the beginning of a word. At most five words more than it has characters are looked at, and at most twice as many, none
+    before a line break, which ends a sentence."""
+    before = before.rstrip()
+    before = before[before.rfind("\n") + 1 :]
     words = list(re.finditer(r"\S+", before))[-min(len(short) + 5, 2 * len(short)) :]
     if not words:
         return None
-    start, text = words[0].start(), before.rstrip().lower()
+    start, text = words[0].start(), before.lower()
     at = len(text) - 1
     for i in range(len(short) - 1, -1, -1):
         c = short[i].lower()

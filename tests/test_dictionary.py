@@ -74,6 +74,12 @@ def test_abbreviations(text, want):
         assert got == want
 
 
+def test_a_long_form_lies_in_one_line():
+    text = "as thanan.khedf\nWe saw the other kind (TNF) rise; TNF fell"
+    assert D.expanded(text) == text
+    assert D.expanded("x\ntumour necrosis factor\n(TNF); TNF") == "x\ntumour necrosis factor\n(tumour necrosis factor); tumour necrosis factor"
+
+
 def test_the_first_character_begins_a_word():
     assert D.long_form("AB", "cat b") is None
     assert D.long_form("HIV", "human immunodeficiency virus") == "human immunodeficiency virus"
