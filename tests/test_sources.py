@@ -80,3 +80,26 @@ def test_scans_read_only_what_they_need(spark, sf):
     assert "partial_sum" in plan and "Python" not in plan
     filtered = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey = 7").select("l_suppkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_partkey), EqualTo(l_partkey,7)]" in filtered
+
+
+def test_table_client_reads_only_what_a_page_needs(tmp_path):
+    from datetime import datetime, timedelta
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from paperweave.sources.literature import table_client
+
+    days = [datetime(2020, 1, 1) + timedelta(minutes=i // 50) for i in range(2_000_000)]
+    text = pa.array([f"{i % 1000:0100d}" for i in range(len(days))])
+    pq.write_table(pa.table({"o_orderkey": range(len(days)), "o_orderdate": pa.array(days, pa.timestamp("us")), "o_orderpriority": text, "o_orderstatus": text}), tmp_path / "o.parquet", row_group_size=50_000)
+    del days, text
+    pool = pa.system_memory_pool()
+    held, before = pa.default_memory_pool(), pa.proxy_memory_pool(pool)
+    pa.set_memory_pool(before)
+    try:
+        got = [int(r[0]) for r in table_client("2020-01-01", "2020-02-01", 700_000, 10, str(tmp_path))]
+    finally:
+        pa.set_memory_pool(held)
+    assert got == list(range(700_000, 700_010))
+    assert before.max_memory() < 100 << 20  # the whole table has 400 MB of text

@@ -4,6 +4,7 @@ import inspect
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,17 @@ def test_token_to_word_takes_every_sentence(spark, tmp_path):
     assert [r[4] for r in got] == [1, 1, 2, 2]
 
 
+def test_similar_bacteria_takes_the_first_of_equal_lines(spark, tmp_path):
+    rows = [(1, 9 if i == 0 else 3 * i + 9, 1, 0.0) for i in range(40)] + [(2, 6, 2, 0.0), (2, 3, 1, 0.0), (2, 9, 1, 0.0)]
+    for parts in (rows, rows[::-1]):
+        folder = tmp_path / str(parts[0][0])
+        folder.mkdir()
+        keys = ("l_orderkey", "l_partkey", "l_linenumber", "l_discount")
+        pq.write_table(pa.table(dict(zip(keys, zip(*parts)))), folder / "lineitem.parquet", row_group_size=7)
+        want = {k: next(r[1] for r in parts if r[0] == k and r[2] == 1) for k in (1, 2)}
+        assert dict(run(spark, folder, "similar_bacteria")) == want
+
+
 def test_two_hop_relatives_take_part_edges(spark, tmp_path):
     parts = [(1, "B1", "T1"), (2, "B1", "T2"), (3, "B2", "T2"), (4, "B2", "T2")]
     nations = [(1, 0), (2, 0), (3, 1)]
