@@ -57,6 +57,37 @@ def test_two_hop_relatives_take_part_edges(spark, tmp_path):
     assert run(spark, tmp_path, "two_hop_relatives") == sorted(want, key=repr)
 
 
+def test_two_hop_relatives_shuffle_no_pairs(spark):
+    from paperweave.operators import paths as P
+
+    def written():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    star = spark.range(1500).select(F.concat(F.lit("c"), "id").alias("child"), F.lit("hub").alias("parent"))
+    before = written()
+    assert P.two_hop_relatives(star).count() == 1500 * 1499
+    assert written() - before < 2 << 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_two_hop_relatives_of_any_edges(spark, seed):
+    from paperweave.operators import paths as P
+
+    draw = np.random.default_rng(seed)
+    names = [None, *"abcdefgh"]
+    edges = [(names[i], names[j]) for i, j in draw.integers(0, 9, (14, 2))] + [("x", "h"), ("y", "h"), ("h", "x"), ("z", "z"), ("z", "a")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (child VARCHAR, parent VARCHAR)")
+    con.executemany("INSERT INTO p VALUES (?, ?)", edges)
+    want = con.sql(
+        """WITH parents AS (SELECT DISTINCT * FROM p), e AS (SELECT child AS x, parent AS y, child, parent FROM parents UNION ALL SELECT parent, child, child, parent FROM parents)
+        SELECT DISTINCT o.x AS node, t.y AS relative FROM e o JOIN e t ON o.y = t.x AND NOT (o.child = t.child AND o.parent = t.parent)"""
+    ).fetchall()
+    got = [tuple(r) for r in P.two_hop_relatives(spark.createDataFrame(edges, "child string, parent string")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("name", ["association_normalise", "external_majority", "external_statistics", "external_compare", "external_summary"])
 def test_external_source_has_every_line(spark, sf, name):
     from .test_contract import value
