@@ -14,7 +14,12 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def distances(edges: DataFrame, sources: DataFrame, most: int = 15) -> DataFrame:
-    """(node, hops) of all nodes within ``most`` hops of a source (node) along edges (a, b)."""
+    """(node, hops) of all nodes within ``most`` hops of a source (node) along edges (a, b), which are written once for all levels."""
+    edges = cut(edges.select("a", "b"))
+    return _levels(edges, sources, most)
+
+
+def _levels(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     seen = cut(sources.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
     for hop in range(1, most + 1):
@@ -29,7 +34,8 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = 15) -> DataFrame
 def shortest_path(edges: DataFrame, source: str, target: str, most: int = 15) -> DataFrame:
     """(step, node) of one shortest path; of equally short ones that with the smallest nodes, seen from the target. No path, no rows."""
     spark = edges.sparkSession
-    found = distances(edges, spark.createDataFrame([(source,)], "node string"), most)
+    edges = cut(edges.select("a", "b"))
+    found = _levels(edges, spark.createDataFrame([(source,)], "node string"), most)
     last = found.where(F.col("node") == target).head()
     if last is None:
         return spark.createDataFrame([], "step int, node string")

@@ -18,7 +18,7 @@ from ..operators import vectors as V
 from ..operators.strength import edge_strengths
 from ..sources import files as S
 from .graph_view import DISEASE_PARENTS, EVIDENCE, MENTIONS, MICROBE_PARENTS, STRENGTHS, GraphView
-from .lineage import shared_path
+from .lineage import cut, shared_path
 from .registry import query, table
 
 # ---- insertion ----------------------------------------------------------------------------------------------------------------
@@ -132,7 +132,7 @@ def _edges(spark, sf_dir, nonzero: bool):
     g = GraphView(spark, sf_dir)
     s = g.strengths.where("strength_raw != 0") if nonzero else g.strengths
     pairs = s.select(F.concat(F.lit("p"), F.col("cui_microbe").cast("string")).alias("a"), F.concat(F.lit("n"), F.col("cui_disease").cast("string")).alias("b"))
-    return pairs, g.microbe_parents.unionByName(g.disease_parents)
+    return cut(pairs), cut(g.microbe_parents.unionByName(g.disease_parents))
 
 
 def _path_any(spark, sf_dir):
