@@ -122,8 +122,16 @@ def synonym_cascade(entities: DataFrame, key: str, candidates: Column, names: Da
 
 def words_from_tokens(tokens: DataFrame) -> DataFrame:
     """Of (sentence, word, position, token, prediction): words with their tokens joined and the mean prediction rounded up."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "token"))), lambda x: x["token"]), "")
-    return tokens.groupBy("sentence", "word").agg(joined.alias("text"), F.ceil(F.avg("prediction")).cast("long").alias("prediction"))
+    each = tokens.groupBy("sentence", "word").agg(F.collect_list(F.struct("position", "token", "prediction")).alias("tokens"))
+    return each.select("sentence", "word", *word_of(F.col("tokens")))
+
+
+def word_of(tokens: Column) -> list[Column]:
+    """``text`` and ``prediction`` of one word's tokens, an array of (position, token, prediction) in any order."""
+    text = F.array_join(F.transform(F.array_sort(tokens), lambda x: x["token"]), "")
+    known = F.filter(F.transform(tokens, lambda x: x["prediction"]), lambda p: p.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda s, p: s + p.cast("double"))
+    return [text.alias("text"), F.when(F.size(known) > 0, F.ceil(total / F.size(known)).cast("long")).alias("prediction")]
 
 
 def tag_ids(tags: DataFrame, column: str) -> DataFrame:
