@@ -7,10 +7,11 @@ rarest, as many as may differ and one more, hold one that both sets have. Sets t
 that many documents share brings nothing together unless it is nearly all they have. Candidates are compared fragment by fragment:
 overlaps are counted apart and summed per pair.
 
-Equal sets are one set throughout, told by 128 bits. A fragment with many sets is split into cells of bounded size. In a cell each set is
-first paired with one leader only, whose sizes allow similarity. Pairs between sets that are linked already are never formed; what
-remains between different components is compared more fully and in the end in full, so groups of copies cost their size and no link
-between components is lost. By then a fragment that many sets share is no cell any more: two similar sets have as many fragments in
+Equal sets are one set throughout, told by 128 bits. A fragment with many sets is split into cells of bounded size. In the first rounds
+each set is compared with one other at most, whatever number of cells it is in: the nearest, by sizes, of the cells' leaders, then of the
+nearest in each cell, then of one drawn in each. Pairs between sets that are linked already are never formed; what remains between
+different components is compared in full in the end, so groups of copies cost their size and no link between components is lost.
+By then a fragment that many sets share is no cell any more: two similar sets have as many fragments in
 common as either needs, so prefixes longer by one hold the two rarest of them, and sets meet in a pair of fragments instead.
 """
 
@@ -39,6 +40,8 @@ COMMON, CELL = 1024, 4096
 SEEN = 1_000_000
 #: Fragments beyond the prefix that are kept, to tell apart the sets of a fragment that many share.
 EXTRA = 2
+#: Rounds of comparing: with one other set each, chosen as told, and in the end with all sets that the sizes allow.
+ROUNDS = (LEADER, NEAREST, DRAWN, ALL) = ("leader", "nearest", "drawn", "all")
 
 
 def gram_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -279,11 +282,11 @@ def _cells(rows: DataFrame, full: bool) -> DataFrame:
     return rows.select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "key", "n", "label", "sizes")
 
 
-def _candidates(rows: DataFrame, sim: Similarity, most: int | None) -> DataFrame:
-    """Of (sig, key, n, label, sizes): pairs (a, b, na, nb) within a cell whose labels differ and whose sizes allow similarity.
+def _candidates(rows: DataFrame, sim: Similarity, how: str) -> DataFrame:
+    """Of (sig, key, n, label, sizes): pairs (a, b, na, nb, apart) within a cell whose labels differ and whose sizes allow similarity.
 
-    Sizes are the set's and those by range, whose differences bound that of the sets from below. With ``most`` 0 a set is paired with
-    the first leader that passes, or leads itself; else with at most so many sets before it, or with all of them where it is None.
+    Sizes are the set's and those by range, whose differences, apart, bound that of the sets from below. In each cell a set is paired with
+    the first leader that passes, or leads itself, with the ``NEAREST`` of the sets before it, with one ``DRAWN``, or with ``ALL`` of them.
     """
 
     def group(block: np.ndarray, key: np.ndarray, n: np.ndarray, label: np.ndarray, x: np.ndarray, apart: bool) -> Iterator[tuple]:
@@ -292,24 +295,25 @@ def _candidates(rows: DataFrame, sim: Similarity, most: int | None) -> DataFrame
         lead = np.zeros(len(key), np.int64)
         leaders = 0
         for i in range(len(key)):
-            before = lead[np.searchsorted(lead[:leaders], least[i]) : leaders] if most == 0 else np.arange(least[i], i)
+            before = lead[np.searchsorted(lead[:leaders], least[i]) : leaders] if how == LEADER else np.arange(least[i], i)
             j = before[(label[before] != label[i]) & ((block[before] != block[i]) | (not apart))]
-            if len(j):
-                j = j[np.abs(x[j] - x[i]).sum(1) <= (n[j] + n[i]) * sim.part.numerator // sim.part.denominator]
-            if most == 0:
-                j = j[:1]
-                if not len(j):
-                    lead[leaders] = i
-                    leaders += 1
-            elif most and len(j) > most:
-                j = j[np.argsort(mix(key[j].view(U) ^ U(key[i].view(U))))[:most]]
-            for m in j.tolist():
+            d = np.abs(x[j] - x[i]).sum(1)
+            passed = d <= (n[j] + n[i]) * sim.part.numerator // sim.part.denominator
+            j, d = j[passed], d[passed]
+            if how == LEADER and not len(j):
+                lead[leaders] = i
+                leaders += 1
+            if how != ALL and len(j):
+                one = 0 if how == LEADER else int(np.argmin(d if how == NEAREST else mix(key[j].view(U) ^ U(key[i].view(U)))))
+                j, d = j[one : one + 1], d[one : one + 1]
+            for m, e in zip(j.tolist(), d.tolist(), strict=True):
                 p, q = (m, i) if key[m] < key[i] else (i, m)
-                yield key[p], key[q], n[p], n[q]
+                yield key[p], key[q], n[p], n[q], e
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        c = list(zip(*found, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64).astype(t)) for v, t in zip(c, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["a", "b", "na", "nb"])
+        c = list(zip(*found, strict=True)) or [()] * 5
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64).astype(t)) for v, t in zip(c, kinds, strict=True)], ["a", "b", "na", "nb", "apart"])
 
     def cells(c: list) -> Iterator[pa.RecordBatch]:
         sig, lo, hi = c[:3]
@@ -343,8 +347,21 @@ def _candidates(rows: DataFrame, sim: Similarity, most: int | None) -> DataFrame
             yield from cells(held)
 
     # by a hash of the cell: dealt by sig itself, a join below would stand in for the exchange and the sort, and may be replaced as it runs
-    dealt = _cells(rows, most is None).repartition(F.xxhash64("sig", "lo", "hi")).sortWithinPartitions("sig", "lo", "hi", "n", "key")
-    return dealt.mapInArrow(pair, "a long, b long, na int, nb int").distinct()
+    dealt = _cells(rows, how == ALL).repartition(F.xxhash64("sig", "lo", "hi")).sortWithinPartitions("sig", "lo", "hi", "n", "key")
+    return dealt.mapInArrow(pair, "a long, b long, na int, nb int, apart int").distinct()
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of a set with sets before it, by size and key, over all cells: the one whose sizes are the least apart."""
+    later = F.when(F.col("nb") >= F.col("na"), F.col("b")).otherwise(F.col("a"))  # a is the smaller key
+    best = F.min_by(F.struct("a", "b", "na", "nb"), F.struct("apart", "a", "b"))
+    return pairs.groupBy(later.alias("later")).agg(best.alias("pair")).select("pair.*")
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """The rows of signatures that sets of different labels share; labels only ever merge, so the others are done with."""
+    many = rows.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo != _hi")
+    return rows.join(many.select(F.col("sig").alias("_s")).hint("merge"), F.col("sig") == F.col("_s"), "left_semi")
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,16 +418,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction | str | floa
     wanted = firsts.drop("sizes").join(rows.select("key").distinct().hint("merge"), "key", "left_semi")
     sets = _sets_of(base, wanted, k, scratch)
     labels, links, tried, spent = None, None, None, [kept, sets]
-    # leaders settle most groups; what stays split is compared ever more fully, and in the end with every set that its sizes allow
-    for most in (0, 8, None):
+    # leaders settle most groups; what stays split is compared in the end with every set that its sizes allow
+    for how in ROUNDS:
         if labels is None:
             named = rows.withColumn("label", F.col("key"))
         else:
             named = rows.join(labels.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        pairs = _candidates(named if most is not None else _finer(named, kept, scratch), sim, most)
+            named = scratch.write("split", _split(named))
+            spent.append(named)
+            rows = named.drop("label")
+        pairs = _candidates(_finer(named, kept, scratch) if how == ALL else named, sim, how)
         if tried is not None:
             pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-        pairs = scratch.write("pairs", pairs)
+        pairs = scratch.write("pairs", pairs.drop("apart") if how == ALL else _one_each(pairs))
         spent.append(pairs)
         if not pairs.head(1):
             continue

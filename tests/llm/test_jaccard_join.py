@@ -83,6 +83,23 @@ def test_fragments_of_many_sets_are_compared_cell_by_cell(spark, monkeypatch, ce
     assert rows(jaccard_components(plain(spark, texts), 3, Fraction(4, 5))) == brute(texts, 3, Fraction(4, 5))
 
 
+def test_near_copies_are_compared_with_few_others(spark, monkeypatch):
+    """A group of near copies: a pair or so for each set, not one for each cell that it is in."""
+    from paperweave.llm import jaccard_join
+
+    r, compared, links = random.Random(3), [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda pairs, *more: compared.append(pairs.count()) or links(pairs, *more))
+    w = [f"t{i}" for i in range(300)]
+    texts = []
+    for i in range(150):
+        x = list(w)
+        for _ in range(r.choice((2, 4))):
+            x[r.randrange(300)] = f"u{i}"
+        texts.append((i, " ".join(x)))
+    assert rows(jaccard_components(plain(spark, texts), 5, Fraction(4, 5))) == brute(texts, 5, Fraction(4, 5))
+    assert 0 < sum(compared) < 2 * len(texts)
+
+
 @pytest.mark.parametrize("least", [Fraction(9, 10), Fraction(4, 5)])
 def test_similar_sets_share_the_fragments_they_need(least):
     """At the limit of what may differ, in every size: both sets' keys have at least the needs of both in common, in the larger's class."""
