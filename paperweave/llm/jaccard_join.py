@@ -8,9 +8,11 @@ that many documents share brings nothing together unless it is nearly all they h
 overlaps are counted apart and summed per pair.
 
 Equal sets are one set throughout, told by 128 bits. A fragment with many sets is split into cells of bounded size. In the first rounds
-each set is compared with one other at most, whatever number of cells it is in: the nearest, by sizes, of the cells' leaders, then of the
+each set is compared with one other at most, whatever number of cells it is in: the nearest, by sketches, of the cells' leaders, then of the
 nearest in each cell, then of one drawn in each. Pairs between sets that are linked already are never formed; what remains between
 different components is compared in full in the end, so groups of copies cost their size and no link between components is lost.
+Sketches are parities: two differ in no more bits than the sets do in n-grams, and in nearly as many where they are wide enough, so hardly
+any pair is formed but those that are similar, however many sets that are not share a cell.
 By then a fragment that many sets share is no cell any more: two similar sets have as many fragments in
 common as either needs, so prefixes longer by one hold the two rarest of them, and sets meet in a pair of fragments instead.
 """
@@ -30,8 +32,11 @@ from .frames import pick
 from .scratch import Scratch
 from .textops import BLANK, LOWER, U, mix, row_slices, runs, shingles, signed, word_bounds, word_hashes
 
-#: Ranges of the n-gram order in which overlaps are counted apart, and those whose sizes bound a pair's difference.
-FRAGMENTS, COUNTED = 8, 128
+#: Ranges of the n-gram order in which overlaps are counted apart.
+FRAGMENTS = 8
+#: Bits of a sketch at most, in the first round and in later ones; the places of both among a set's rows.
+COARSE, FINE = 1024, 4096
+COARSE_ROW, FINE_ROW = -2, -1
 #: Up to this size, as a power of two, every n-gram is a fragment of its own.
 SMALL = 7
 #: Sets sharing a fragment beyond which their number is not counted further; sets in a cell, in which candidates are sought.
@@ -126,9 +131,24 @@ def signatures(s: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(needs)
 
 
-def sizes_by_range(s: np.ndarray) -> bytes:
-    """How many n-grams stand in each of ``COUNTED`` equal ranges of the order, 255 at most."""
-    return np.minimum(np.bincount((s >> U(57)).astype(np.int64), minlength=COUNTED), 255).astype(np.uint8).tobytes()
+def parities(s: np.ndarray, sim: Similarity, most: int) -> np.ndarray:
+    """For each of so many residues of the n-grams' hashes whether it is that of an odd number of them, as bits of 64-bit words.
+
+    An n-gram that one of two sets lacks turns one bit, so two sketches differ in no more bits than the sets in n-grams. There are 4 to 8
+    bits for each n-gram of the largest similar set, a power of two from 64 to ``most``. The halves' differences are the narrower sketch.
+    """
+    bits = min(most, max(64, 4 << sim.largest(len(s)).bit_length()))
+    odd = np.bincount((mix(s) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+
+
+def alike_wide(sketches: list[bytes]) -> np.ndarray:
+    """A row for each sketch, all as wide as the narrowest."""
+    least = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), least), U)
+    for i, b in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(b, U).reshape(-1, least), axis=0)
+    return out
 
 
 # ---- scans ------------------------------------------------------------------------------------------------------------------
@@ -144,11 +164,10 @@ def _profiles(base: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for part, sets in gram_sets(batch, k):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *_keys(sets), pa.array([len(s) for s in sets], pa.int32()), pa.array([sizes_by_range(s) for s in sets], pa.binary())],
-                    ["doc_id", "k1", "k2", "n", "sizes"],
+                    [part.column(0), *_keys(sets), pa.array([len(s) for s in sets], pa.int32())], ["doc_id", "k1", "k2", "n"]
                 )
 
-    return base.mapInArrow(scan, "doc_id long, k1 long, k2 long, n int, sizes binary")
+    return base.mapInArrow(scan, "doc_id long, k1 long, k2 long, n int")
 
 
 def _signature_rows(base: DataFrame, k: int, sim: Similarity) -> DataFrame:
@@ -227,14 +246,19 @@ def _prefixes(shared: DataFrame) -> DataFrame:
 # ---- comparing --------------------------------------------------------------------------------------------------------------
 
 
-def _sets_of(base: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(key, frag, grams) of the wanted sets (k1, k2, key, own), from one document each, a row for each fragment that the set fills."""
+def _sets_of(base: DataFrame, wanted: DataFrame, k: int, sim: Similarity, scratch: Scratch) -> DataFrame:
+    """(key, frag, grams) of the wanted sets (k1, k2, key, own), from one document each, a row for each fragment that the set fills, and
+    one for each of its two sketches."""
     edges = np.array([(f << 64) // FRAGMENTS for f in range(1, FRAGMENTS)], U)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in gram_sets(batch, k):
-                rows = [(*set_key(s), f, x.tobytes()) for s in sets for f, x in enumerate(np.split(s, np.searchsorted(s, edges))) if len(x)]
+                rows = []
+                for s in sets:
+                    parts = [*enumerate(np.split(s, np.searchsorted(s, edges))), (COARSE_ROW, parities(s, sim, COARSE)), (FINE_ROW, parities(s, sim, FINE))]
+                    key = set_key(s)
+                    rows.extend((*key, f, x.tobytes()) for f, x in parts if len(x))
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["k1", "k2", "frag", "grams"])
 
@@ -244,7 +268,7 @@ def _sets_of(base: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> Da
 
 
 def _finer(rows: DataFrame, kept: DataFrame, scratch: Scratch, cell: int | None = None) -> DataFrame:
-    """``rows`` (sig, key, n, label, sizes, class, place, need) with signatures that more than ``cell`` sets of several labels share replaced.
+    """``rows`` (sig, key, n, label, class, place, need) with signatures that more than ``cell`` sets of several labels share replaced.
 
     Instead a set has such a signature together with each of its later ones in a prefix longer by one, and so on for ``EXTRA`` times.
     Sets that need fewer signatures than are asked of them keep the signature itself, to meet among themselves.
@@ -267,7 +291,7 @@ def _finer(rows: DataFrame, kept: DataFrame, scratch: Scratch, cell: int | None
 
 
 def _cells(rows: DataFrame, full: bool) -> DataFrame:
-    """Of (sig, key, n, label, sizes): the rows of signatures with more than one label, with the cell (sig, i, j) in which they are compared.
+    """Of (sig, key, n, label): the rows of signatures with more than one label, with the cell (sig, i, j) in which they are compared.
 
     Signatures of up to ``CELL`` sets are one cell. Those of more are dealt into blocks, each a cell of its own; with ``full`` every two
     blocks are a cell besides, in which sets of different blocks meet.
@@ -279,13 +303,13 @@ def _cells(rows: DataFrame, full: bool) -> DataFrame:
         rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     else:
         rows = rows.withColumn("j", F.col("i"))
-    return rows.select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "key", "n", "label", "sizes")
+    return rows.select("sig", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "key", "n", "label")
 
 
-def _candidates(rows: DataFrame, sim: Similarity, how: str) -> DataFrame:
-    """Of (sig, key, n, label, sizes): pairs (a, b, na, nb, apart) within a cell whose labels differ and whose sizes allow similarity.
+def _candidates(rows: DataFrame, sketches: DataFrame, sim: Similarity, how: str) -> DataFrame:
+    """Of (sig, key, n, label): pairs (a, b, na, nb, apart) within a cell whose labels differ and whose sizes and sketches allow similarity.
 
-    Sizes are the set's and those by range, whose differences, apart, bound that of the sets from below. In each cell a set is paired with
+    Sketches (key, sketch) differ in so many bits, apart, which bounds the sets' difference from below. In each cell a set is paired with
     the first leader that passes, or leads itself, with the ``NEAREST`` of the sets before it, with one ``DRAWN``, or with ``ALL`` of them.
     """
 
@@ -297,7 +321,7 @@ def _candidates(rows: DataFrame, sim: Similarity, how: str) -> DataFrame:
         for i in range(len(key)):
             before = lead[np.searchsorted(lead[:leaders], least[i]) : leaders] if how == LEADER else np.arange(least[i], i)
             j = before[(label[before] != label[i]) & ((block[before] != block[i]) | (not apart))]
-            d = np.abs(x[j] - x[i]).sum(1)
+            d = np.bitwise_count(x[j] ^ x[i]).sum(1, dtype=np.int64)
             passed = d <= (n[j] + n[i]) * sim.part.numerator // sim.part.denominator
             j, d = j[passed], d[passed]
             if how == LEADER and not len(j):
@@ -321,8 +345,7 @@ def _candidates(rows: DataFrame, sim: Similarity, how: str) -> DataFrame:
         found: list[tuple] = []
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             if (c[6][i:j] != c[6][i]).any():
-                x = np.frombuffer(b"".join(c[7][i:j].tolist()), np.uint8).reshape(-1, COUNTED).astype(np.int16)
-                for one in group(*(y[i:j] for y in c[3:7]), x, lo[i] != hi[i]):
+                for one in group(*(y[i:j] for y in c[3:7]), alike_wide(c[7][i:j].tolist()), lo[i] != hi[i]):
                     found.append(one)
                     if len(found) >= 20_000:
                         yield batch_of(found)
@@ -333,7 +356,7 @@ def _candidates(rows: DataFrame, sim: Similarity, how: str) -> DataFrame:
         held: list | None = None
         for batch in batches:
             c = [batch.column(y).to_numpy() for y in ("sig", "lo", "hi", "i", "key", "n", "label")]
-            c.append(np.array([*batch.column("sizes").to_pylist(), None], object)[:-1])
+            c.append(np.array([*batch.column("sketch").to_pylist(), None], object)[:-1])
             if held is not None:
                 c = [np.r_[a, b] for a, b in zip(held, c, strict=True)]
             if not len(c[0]):
@@ -347,12 +370,13 @@ def _candidates(rows: DataFrame, sim: Similarity, how: str) -> DataFrame:
             yield from cells(held)
 
     # by a hash of the cell: dealt by sig itself, a join below would stand in for the exchange and the sort, and may be replaced as it runs
-    dealt = _cells(rows, how == ALL).repartition(F.xxhash64("sig", "lo", "hi")).sortWithinPartitions("sig", "lo", "hi", "n", "key")
+    cells_of = _cells(rows, how == ALL).join(sketches.hint("merge"), "key").select("sig", "lo", "hi", "i", "key", "n", "label", "sketch")
+    dealt = cells_of.repartition(F.xxhash64("sig", "lo", "hi")).sortWithinPartitions("sig", "lo", "hi", "n", "key")
     return dealt.mapInArrow(pair, "a long, b long, na int, nb int, apart int").distinct()
 
 
 def _one_each(pairs: DataFrame) -> DataFrame:
-    """Of the pairs of a set with sets before it, by size and key, over all cells: the one whose sizes are the least apart."""
+    """Of the pairs of a set with sets before it, by size and key, over all cells: the one whose sketches are the least apart."""
     later = F.when(F.col("nb") >= F.col("na"), F.col("b")).otherwise(F.col("a"))  # a is the smaller key
     best = F.min_by(F.struct("a", "b", "na", "nb"), F.struct("apart", "a", "b"))
     return pairs.groupBy(later.alias("later")).agg(best.alias("pair")).select("pair.*")
@@ -406,18 +430,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction | str | floa
     scratch = Scratch(docs.sparkSession)
     base = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     profiles = scratch.write("profiles", _profiles(base, k))
-    firsts = profiles.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("own"), F.first("sizes").alias("sizes"))
+    firsts = profiles.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("own"))
     # a number for each set; written, so that it stays
     firsts = scratch.write("firsts", firsts.withColumn("key", F.monotonically_increasing_id()))
     dealt = _signature_rows(base, k, sim).repartition("sig").sortWithinPartitions("sig", "k1", "k2")
     shared = scratch.write("shared", dealt.mapInArrow(_shared, "sig long, k1 long, k2 long, info long, df int"))
-    kept = _prefixes(shared).join(firsts.select("k1", "k2", "key", "sizes").hint("merge"), ["k1", "k2"]).drop("k1", "k2")
+    kept = _prefixes(shared).join(firsts.select("k1", "k2", "key").hint("merge"), ["k1", "k2"]).drop("k1", "k2")
     kept = scratch.write("prefixes", kept)
     scratch.drop(shared)
     rows = kept.where("extra = 0").drop("extra")
-    wanted = firsts.drop("sizes").join(rows.select("key").distinct().hint("merge"), "key", "left_semi")
-    sets = _sets_of(base, wanted, k, scratch)
-    labels, links, tried, spent = None, None, None, [kept, sets]
+    wanted = firsts.join(rows.select("key").distinct().hint("merge"), "key", "left_semi")
+    sets = _sets_of(base, wanted, k, sim, scratch)
+    sketches = scratch.write("sketches", sets.where("frag < 0").withColumnRenamed("grams", "sketch"))
+    labels, links, tried, spent = None, None, None, [kept, sets, sketches]
     # leaders settle most groups; what stays split is compared in the end with every set that its sizes allow
     for how in ROUNDS:
         if labels is None:
@@ -427,15 +452,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, least: Fraction | str | floa
             named = scratch.write("split", _split(named))
             spent.append(named)
             rows = named.drop("label")
-        pairs = _candidates(_finer(named, kept, scratch) if how == ALL else named, sim, how)
-        if tried is not None:
-            pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
+        narrow = sketches.where(F.col("frag") == (COARSE_ROW if how == LEADER else FINE_ROW)).drop("frag")
+        pairs = _candidates(_finer(named, kept, scratch) if how == ALL else named, narrow, sim, how)
+        # written: a pair is found in many cells, and the join below would else be done before they are made one
         pairs = scratch.write("pairs", pairs.drop("apart") if how == ALL else _one_each(pairs))
         spent.append(pairs)
+        if tried is not None:
+            pairs = scratch.write("untried", pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
+            spent.append(pairs)
         if not pairs.head(1):
             continue
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        found = scratch.write("links", _links(pairs, sets, sim))
+        found = scratch.write("links", _links(pairs, sets.where("frag >= 0"), sim))
         spent.append(found)
         links = found if links is None else links.unionByName(found)
         labels = connected(links, scratch)

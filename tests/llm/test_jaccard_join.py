@@ -4,7 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from paperweave.llm.jaccard_join import CELL, SMALL, Similarity, _finer, jaccard_components, set_key, signatures
+from paperweave.llm.jaccard_join import CELL, COARSE, FINE, SMALL, Similarity, _finer, alike_wide, jaccard_components, parities, set_key, signatures
 from paperweave.llm.scratch import Scratch
 
 from .common import ROWS, frame, lower, plain, rows, words
@@ -100,6 +100,40 @@ def test_near_copies_are_compared_with_few_others(spark, monkeypatch):
     assert 0 < sum(compared) < 2 * len(texts)
 
 
+def test_unlike_variants_of_a_text_are_hardly_compared(spark, monkeypatch):
+    """Variants that share cells and are all a little too unlike to link: their pairs, which grow with the square of the group, are not formed."""
+    from paperweave.llm import jaccard_join
+
+    r, compared, links = random.Random(8), [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda pairs, *more: compared.append(pairs.count()) or links(pairs, *more))
+    w = [f"t{i}" for i in range(300)]
+    texts = []
+    for i in range(150):
+        x = list(w)
+        for p in r.sample(range(5, 295), 4):
+            x[p] = f"u{i}"
+        texts.append((i, " ".join(x)))
+    texts.append((150, texts[7][1] + " and more"))
+    assert rows(jaccard_components(plain(spark, texts), 5, Fraction(4, 5))) == brute(texts, 5, Fraction(4, 5))
+    assert 0 < compared[-1] < len(texts) and sum(compared) < 4 * len(texts)
+
+
+@pytest.mark.parametrize("least", [Fraction(9, 10), Fraction(4, 5)])
+@pytest.mark.parametrize("most", [COARSE, FINE])
+def test_sketches_differ_in_no_more_than_their_sets(least, most):
+    """In every size, of sets of unlike sizes too; where nothing bounds a sketch's width, in nearly as many bits."""
+    r, sim = np.random.default_rng(11), Similarity(least)
+    for n in [1, 2, 9, 60, 127, 130, 300, 500, 1100, 9000]:
+        for gone, more in [(0, 0), (1, 0), (0, n), (n // 8, n // 8), (n // 2, n // 9), (n, n)]:
+            a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.r_[a[gone:], r.integers(0, 1 << 63, more, dtype=np.uint64)])
+            x = alike_wide([parities(s, sim, most).tobytes() for s in (a, b)])
+            apart, differ = int(np.bitwise_count(x[0] ^ x[1]).sum()), len(np.setxor1d(a, b))
+            assert apart <= differ and (apart - differ) % 2 == 0
+            if 60 <= n <= 500 and most == FINE and differ <= n // 3:
+                assert apart > 0.85 * differ - 4
+
+
 @pytest.mark.parametrize("least", [Fraction(9, 10), Fraction(4, 5)])
 def test_similar_sets_share_the_fragments_they_need(least):
     """At the limit of what may differ, in every size: both sets' keys have at least the needs of both in common, in the larger's class."""
