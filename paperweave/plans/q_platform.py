@@ -258,8 +258,8 @@ def external_intersection_ids(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_partkey FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1) WHERE 1 - l_discount > 0.95 AND l_partkey % 3 = 0")
 def similar_bacteria(spark, sf_dir):
-    """Of lines with the same number the one that stands first in the table's files counts."""
-    place = F.struct("l_linenumber", "_metadata.file_path", "_metadata.row_index").alias("place")
+    """Of lines with the same number the one that stands first in the table's files counts; lines without a number come last."""
+    place = F.struct(F.col("l_linenumber").isNull(), "l_linenumber", "_metadata.file_path", "_metadata.row_index").alias("place")
     c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", place, (1 - F.col("l_discount")).alias("similarity"), F.when(F.col("l_partkey") % 3 == 0, N.BACTERIA_TYPE).otherwise("T047").alias("tui"))
     return N.similar_first(c, "l_orderkey", "place", 0.95).select("l_orderkey", "l_partkey")
 

@@ -45,6 +45,15 @@ def test_similar_bacteria_takes_the_first_of_equal_lines(spark, tmp_path):
         assert dict(run(spark, folder, "similar_bacteria")) == want
 
 
+def test_similar_bacteria_takes_lines_without_a_number_last(spark, tmp_path):
+    rows = {"l_orderkey": [1, 1, 2, 3, 3], "l_partkey": [3, 6, 9, 12, 15], "l_linenumber": pa.array([None, 2, None, 1, None], pa.int32()), "l_discount": [0.0] * 5}
+    pq.write_table(pa.table(rows), tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = sorted(con.sql(entry.oracle_sql()["similar_bacteria"]).fetchall())
+    assert want == [(1, 6), (2, 9), (3, 12)] and run(spark, tmp_path, "similar_bacteria") == want
+
+
 def test_two_hop_relatives_take_part_edges(spark, tmp_path):
     parts = [(1, "B1", "T1"), (2, "B1", "T2"), (3, "B2", "T2"), (4, "B2", "T2")]
     nations = [(1, 0), (2, 0), (3, 1)]
