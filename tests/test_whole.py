@@ -79,6 +79,15 @@ def test_two_hop_relatives_shuffle_no_pairs(spark):
     assert written() - before < 2 << 20
 
 
+def test_two_hop_relatives_share_the_pairs_of_one_hub(spark):
+    from paperweave.operators import paths as P
+
+    star = spark.range(1500).select(F.concat(F.lit("c"), "id").alias("child"), F.lit("hub").alias("parent"))
+    found = P.two_hop_relatives(star).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r[1] for r in found) == 1500 * 1499
+    assert max(r[1] for r in found) < 1500 * 1499 / 3
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_two_hop_relatives_of_any_edges(spark, seed):
     from paperweave.operators import paths as P
