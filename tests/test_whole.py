@@ -34,6 +34,17 @@ def test_token_to_word_takes_every_sentence(spark, tmp_path):
     assert [r[4] for r in got] == [1, 1, 2, 2]
 
 
+def test_knn_cosine_asks_for_every_vector(spark, tmp_path):
+    v = np.random.default_rng(5).normal(size=(60, 4))
+    v[7] = v[21] = v[40]
+    pq.write_table(pa.table({"vec_id": np.arange(60) * 3 + 1, "embedding": pa.array(list(v))}), tmp_path / "embeddings.parquet")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = np.round(unit @ unit.T, 12)
+    want = {(i * 3 + 1, j * 3 + 1, r + 1) for i in range(60) for r, j in enumerate(sorted(set(range(60)) - {i}, key=lambda j: (-near[i, j], j))[:10])}
+    got = {(r.query, r.neighbour, r.ranking) for r in entry.queries()["knn_cosine"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_similar_bacteria_takes_the_first_of_equal_lines(spark, tmp_path):
     rows = [(1, 9 if i == 0 else 3 * i + 9, 1, 0.0) for i in range(40)] + [(2, 6, 2, 0.0), (2, 3, 1, 0.0), (2, 9, 1, 0.0)]
     for parts in (rows, rows[::-1]):
